@@ -1,0 +1,44 @@
+"""A Bloom filter that Spark fills and tasks test; its size has a fixed upper bound."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+MOST_BITS = 27  # a filter takes 16 MB at most; beyond what it can tell apart, more rows pass and are sorted out by the join after it
+_SHIFTS = (0, 18, 37)
+
+
+class Bloom:
+    """Holds 64-bit hashes; ``test`` has no false negatives."""
+
+    def __init__(self, words: np.ndarray, power: int) -> None:
+        self.words, self.power = words, power
+
+    def test(self, hashes: np.ndarray) -> np.ndarray:
+        h = hashes.astype(np.int64).view(np.uint64) if hashes.dtype != np.uint64 else hashes
+        mask = np.uint64((1 << self.power) - 1)
+        out = np.ones(len(h), bool)
+        for s in _SHIFTS:
+            at = (h >> np.uint64(s)) & mask
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def build(hashes: DataFrame, column: str | Column, rows: int) -> Bloom:
+    """A filter of a column of well-mixed 64-bit hashes, about ``rows`` of them.
+
+    Executors combine the bits; the driver gathers at most 2**21 words.
+    """
+    power = min(MOST_BITS, max(16, (12 * rows).bit_length()))
+    h = hashes.select((F.col(column) if isinstance(column, str) else column).alias("h"))
+    at = [F.shiftrightunsigned("h", s).bitwiseAND(F.lit((1 << power) - 1)) for s in _SHIFTS]
+    spots = h.select(F.explode(F.array(*at)).alias("at"))
+    one = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    found = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect()
+    words = np.zeros(1 << (power - 6), np.uint64)
+    if found:
+        words[np.array([r["word"] for r in found])] = np.array([r["bits"] for r in found], np.int64).view(np.uint64)
+    return Bloom(words, power)
+
