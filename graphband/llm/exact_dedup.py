@@ -116,6 +116,14 @@ def dedup(docs: DataFrame, largest: bool = True, memtable: int = MEMTABLE, diges
     return good.select(alone.columns).unionByName(alone).select(*out)
 
 
+def keep_one(docs: DataFrame, largest: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    kept = dedup(docs, largest, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    text = F.translate(F.coalesce(docs[text_col], F.lit("")), _UPPER, _LOWER)
+    sha = F.sha2(text.cast("binary"), 256)
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_id"]) & (sha == kept["_sha"]), "left_semi")
+
+
 ORACLE_SQL = f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS body FROM documents),
 g AS (SELECT body, max(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM t GROUP BY body)

@@ -102,10 +102,9 @@ def _signatures(docs: DataFrame, size: int, seed: int) -> DataFrame:
         for b in batches:
             rows = [(len(s), *class_of(s)) for s in shingle_sets(encoded(b["text"]), size, seed)]
             out = pd.DataFrame(rows, columns=["n", "c", "c2"], dtype="int64")
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
-            yield out.astype({"doc_id": "Int64"})
+            yield out.assign(doc_id=b["doc_id"].astype("Int64").array, t=b["t"].array)
 
-    return docs.mapInPandas(run, "doc_id long, n long, c long, c2 long")
+    return docs.mapInPandas(run, "n long, c long, c2 long, doc_id long, t long")
 
 
 def _keys(docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
@@ -268,7 +267,7 @@ def _crowd_pairs(stars: DataFrame, labels: DataFrame, texts: DataFrame, size: in
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+    """doc_id, n_shingles, component_id of every row, and t, a hash of its text that tells rows with one id apart.
 
     Documents are linked when ``100 * intersection >= percent * union`` of
     their sets of ``size``-word n-grams; a text with fewer words has its whole
@@ -279,7 +278,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
     """
     spark = docs.sparkSession
     ship_package(spark)
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("t", F.xxhash64("text"))
     for seed in range(8):  # a number that two different sets share calls for another seed
         rows = materialise(_signatures(docs, size, seed))
         classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("named"), (F.min("c2") != F.max("c2")).alias("clash"))
@@ -293,7 +292,14 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
     ids = named.join(best, "comp").select("c", "component_id")
     out = rows.join(ids, "c", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "t")
+
+
+def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that name their component, with all their columns: one document of each group."""
+    found = near_duplicates(docs, size, percent, id_col, text_col).where("doc_id <=> component_id")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
+    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(docs[text_col]) == found["_t"]), "left_semi")
 
 
 def _links(docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:

@@ -44,17 +44,17 @@ PSEUDO = 2.0  # documents' worth of belief in the start
 ROUNDS = 12
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and exact counts of every whole text; a null text has no words and no lines."""
-    t = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+def measures(rows: DataFrame, key: str) -> DataFrame:
+    """The column ``key`` and exact counts of every whole text; a null text has no words and no lines."""
+    t = rows.select(key, F.coalesce("text", F.lit("")).alias("text"))
     t = t.select(
-        "doc_id",
+        key,
         "text",
         F.filter(F.split("text", SPACES + "+"), lambda w: w != "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(NOT_SPACE)).alias("lines"),
     )
     t = t.select(
-        "doc_id",
+        key,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -123,6 +123,7 @@ def fit(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUN
 
 
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
+KEPT = "NOT base_failed AND posterior >= 0.5D"
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_votes", "posterior"]
 
 
@@ -133,15 +134,34 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
     null or empty text fails them.  Null ids and repeated rows are judged like
     any other; other columns are not read; an empty table gives no rows.
     """
-    measured = materialise(measures(docs, id_col, text_col))
-    votes = measured.withColumn("base_failed", F.expr(BASE_FAILED)).select("*", *map(_vote, rules))
-    names = [f"v_{r.name}" for r in rules]
-    patterns = materialise(votes.where("not base_failed").groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
-    model = fit(patterns, rules)
-    posterior = F.expr(f"1D / (1D + exp(-({_log_odds(rules, model)})))")
-    bad = sum((F.when(F.col(n) == -1, 1).otherwise(0) for n in names), F.lit(0)).cast("long")
-    out = votes.withColumn("posterior", F.round(posterior, 6)).withColumn("n_bad_votes", bad)
-    return out.withColumn("kept", F.expr("NOT base_failed AND posterior >= 0.5D")).select(*COLUMNS)
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    measured = materialise(measures(rows, "doc_id"))
+    votes = _votes(measured, rules)
+    posterior = _posterior(votes, rules)
+    bad = sum((F.when(F.col(f"v_{r.name}") == -1, 1).otherwise(0) for r in rules), F.lit(0)).cast("long")
+    out = votes.withColumn("posterior", posterior).withColumn("n_bad_votes", bad)
+    return out.withColumn("kept", F.expr(KEPT)).select(*COLUMNS)
+
+
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    Measured twice, once to learn and once to filter, so that no text is shuffled.
+    """
+    rows = docs.select(F.struct("*").alias("whole"), docs[text_col].alias("text"))
+    votes = _votes(measures(rows, "whole"), rules)
+    return votes.withColumn("posterior", _posterior(votes, rules)).where(KEPT).select("whole.*")
+
+
+def _votes(measured: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    return measured.withColumn("base_failed", F.expr(BASE_FAILED)).select("*", *map(_vote, rules))
+
+
+def _posterior(votes: DataFrame, rules: tuple[Rule, ...]) -> Column:
+    """Of a model that is fitted to these votes."""
+    patterns = votes.where("not base_failed").groupBy(*[f"v_{r.name}" for r in rules]).agg(F.count(F.lit(1)).alias("n"))
+    model = fit(materialise(patterns.coalesce(1)), rules)
+    return F.round(F.expr(f"1D / (1D + exp(-({_log_odds(rules, model)})))"), 6)
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> str:

@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphband.llm import exact_dedup, packing, quality_rules, token_counts, token_output
+from graphband.llm import exact_dedup, ngram_join, packing, quality_rules, substring_dedup, token_counts, token_output
 from graphband.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _tokenizer(name: str = "word_bpe_49k.json") -> str:
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("t")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -27,19 +35,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.round_trip(table(spark, sf_dir, "documents"), _tokenizer())
+    return token_output.round_trip(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer())
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_exact_dedup, op7_quality_rules, op8_packing, op9_token_output, op10_token_counts)}
+    return {f.__name__: f for f in (op3_substring_dedup, op5_ngram_join, op6_exact_dedup, op7_quality_rules, op8_packing, op9_token_output, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -192,60 +192,69 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -
     return inside.unionByName(ends)
 
 
-def factors(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The spans of each document that stand elsewhere: doc_id, t, start, end (word numbers) and source, factor by factor."""
-    ship_package(docs.sparkSession)
-    runs = duplicate_windows(_read(docs, id_col, text_col), window, seed)
-    order = Window.partitionBy("doc_id", "t").orderBy("low", "high")
-    joined = runs.withColumn("before", F.lag("high").over(order)).withColumn("source_before", F.lag("source").over(order))
-    return joined.select("doc_id", "t", F.col("low").alias("start"), (F.col("high") + window).alias("end"), "source")
-
-
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, kept_text string"
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, n_factors and kept_text (kept words, one space between) of each row.
+def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, n_factors and kept_text of each row, and before them the columns in ``carry``.
 
     A word goes when a run of ``window`` words over it also starts anywhere
-    else, in the same document or another, judged on the input.  Null and
-    shorter texts lose nothing.  Rows with equal or null ids are documents of
-    their own, also when they are equal altogether; other columns are not read;
-    an empty table gives no rows.
+    else, in the same document or another, judged on the input.  kept_text has
+    the kept words with one space between, or the text as it is where nothing
+    goes.  Null and shorter texts lose nothing.  Rows with equal or null ids
+    are documents of their own, also when they are equal altogether; columns
+    not in ``carry`` are not read; an empty table gives no rows.
     """
+    import pyarrow as pa
+
     ship_package(docs.sparkSession)
-    rows = _read(docs, id_col, text_col)
-    runs = duplicate_windows(rows, window, seed)
-    spans = runs.groupBy("doc_id", "t").agg(F.collect_set(F.struct("low", "high", "source")).alias("runs"))  # of one document
-    same = rows["doc_id"].eqNullSafe(spans["doc_id"]) & (rows["t"] == spans["t"])
-    joined = rows.join(spans, same, "left").select(rows["doc_id"], "text", F.expr("transform(runs, r -> r.low)").alias("low"), F.expr("transform(runs, r -> r.high)").alias("high"), F.expr("transform(runs, r -> coalesce(r.source, 0))").alias("source"))
+    source = _read(docs, id_col, text_col)
+    spans = duplicate_windows(source, window, seed).groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+    spans = spans.agg(F.collect_set(F.struct("low", "high", "source")).alias("_runs"))  # of one document
+    rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(carry)], docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = rows.join(spans, rows["doc_id"].eqNullSafe(spans["_id"]) & (F.xxhash64(rows["text"]) == spans["_t"]), "left").drop("_id", "_t")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for name, text, low, high, source in zip(b["doc_id"].astype("Int64"), encoded(b["text"]), b["low"], b["high"], b["source"], strict=True):
-                words = text.split()
-                n, kept, parts = len(words), words, 0
-                if low is not None:
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, np.asarray(low), 1)
-                    np.add.at(edge, np.asarray(high) + window, -1)
-                    gone = np.cumsum(edge)[:n] > 0
+            n_words, n_removed, shas, n_factors, kept_texts = [], [], [], [], []
+            for text, runs in zip(b.column("text"), b.column("_runs"), strict=True):
+                whole = text.as_py()
+                words = (whole or "").encode("utf-8", "surrogatepass").split()
+                kept, parts = words, 0
+                if runs.is_valid:
+                    low, high, place = (runs.values.field(k).to_numpy(zero_copy_only=False) for k in ("low", "high", "source"))
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edge, low, 1)
+                    np.add.at(edge, high + window, -1)
+                    gone = np.cumsum(edge)[:-1] > 0
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                    parts = _count_factors(np.asarray(low), np.asarray(high), np.asarray(source))
-                whole = b" ".join(kept)
-                out.append((name, n, n - len(kept), hashlib.sha256(whole).hexdigest(), parts, whole.decode("utf-8", "replace")))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"doc_id": "Int64"})
-
-    return joined.mapInPandas(cut, RESULT)
+                    parts = _count_factors(low, high, np.nan_to_num(place))
+                joined = b" ".join(kept)
+                n_words.append(len(words))
+                n_removed.append(len(words) - len(kept))
+                shas.append(hashlib.sha256(joined).hexdigest())
+                n_factors.append(parts)
+                kept_texts.append(joined.decode("utf-8", "replace") if len(kept) < len(words) else whole)
+            own = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string()), pa.array(n_factors, pa.int64()), pa.array(kept_texts, pa.string())]
+            carried = [b.column(f"c{i}") for i in range(len(carry))]
+            names = [f"c{i}" for i in range(len(carry))] + [c.split()[0] for c in RESULT.split(", ")]
+            yield pa.RecordBatch.from_arrays([*carried, b.column("doc_id"), *own], names)
+
+    fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
+    out = rows.mapInArrow(cut, ", ".join([*fields, RESULT]))
+    return out.withColumnsRenamed({f"c{i}": f"carried_{c}" for i, c in enumerate(carry)})
 
 
 def _count_factors(low: np.ndarray, high: np.ndarray, source: np.ndarray) -> int:
-    """Greedy: a factor goes on while the next run follows without a gap."""
+    """Greedy: a factor goes on while the next run starts within it, and is counted anew after a gap."""
     order = np.lexsort((high, low))
     low, high = low[order], np.maximum.accumulate(high[order])
     return 1 + int((low[1:] > high[:-1] + 1).sum())
 
 
-def without_passages(docs: DataFrame, **options) -> DataFrame:
-    raise NotImplementedError
+def without_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with repeated passages cut out of its texts and their lengths set anew; rows and columns stay."""
+    carry = tuple(c for c in docs.columns if c not in (text_col, length_col))
+    out = dedup(docs, window, seed, id_col, text_col, carry)
+    fresh = {text_col: F.col("kept_text"), length_col: F.length("kept_text").cast("long")}
+    return out.select(*[fresh[c].alias(c) if c in fresh else F.col(f"carried_{c}").alias(c) for c in docs.columns])
