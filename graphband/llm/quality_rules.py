@@ -146,10 +146,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns.
 
-    Measured twice, once to learn and once to filter, so that no text is shuffled.
+    Rows and measures are written once and read twice, to learn and to filter; no text is shuffled.
     """
     rows = docs.select(F.struct("*").alias("whole"), docs[text_col].alias("text"))
-    votes = _votes(measures(rows, "whole"), rules)
+    votes = _votes(materialise(measures(rows, "whole")), rules)
     return votes.withColumn("posterior", _posterior(votes, rules)).where(KEPT).select("whole.*")
 
 
