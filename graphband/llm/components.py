@@ -11,20 +11,27 @@ from graphband.session import materialise
 def components(edges: DataFrame) -> DataFrame:
     """id, comp (the component's smallest id) of every node with an edge; edges have long columns a and b.
 
-    Smallest labels spread along edges and along labels of labels, so the number
-    of rounds grows with the logarithm of a component's width rather than with
-    the width.  Each round is written to the shared folder.  A null end or an
-    edge from a node to itself counts for nothing.
+    Rounds of contraction: each node points to its smallest neighbour (or to
+    itself), pointers are followed once more, and edges are drawn anew between
+    what their ends point to.  Edges within what has become one node are
+    dropped, so that a star is gone after the first round.  Each round is
+    written to the shared folder.  A null end or an edge from a node to itself
+    counts for nothing.
     """
-    e = edges.where("a <> b").select("a", "b")
-    both = materialise(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
-        spread = labels.join(near, "id").select("id", F.least("comp", "m").alias("new"), "comp")
-        over = labels.select(F.col("id").alias("new"), F.col("comp").alias("far"))
-        step = spread.join(over, "new", "left").select("id", F.least("new", "far").alias("comp"), (F.least("new", "far") < F.col("comp")).alias("moved"))
-        step = materialise(step)
-        labels = step.select("id", "comp")
-        if step.where("moved").isEmpty():
-            return labels
+    left = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
+    while not left.isEmpty():
+        ends = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = materialise(ends.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("to")))
+        far = to.select(F.col("id").alias("to"), F.col("to").alias("far"))
+        to = materialise(to.join(far, "to").select("id", F.col("far").alias("to")))
+        if labels is None:
+            labels = to.withColumnRenamed("to", "comp")
+        else:
+            on = to.select(F.col("id").alias("comp"), "to")
+            labels = materialise(labels.join(on, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
+        for end in ("a", "b"):
+            left = left.join(to.select(F.col("id").alias(end), F.col("to").alias(f"to_{end}")), end)
+        left = left.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        left = materialise(left.distinct())
+    return left.select(F.col("a").alias("id"), F.col("b").alias("comp")) if labels is None else labels
