@@ -104,6 +104,7 @@ def dedup(docs: DataFrame, largest: bool = True, memtable: int = MEMTABLE, diges
     found = rows.where("body is not null")
     staying = found.join(index.select("digest", F.col("best").alias("doc_id")), ["digest", "doc_id"]).groupBy("digest").agg(F.first("body").alias("stays"))
     entries = index.select("digest", F.col("best").alias("keep_id"), F.col("n").alias("group_size")).join(staying, "digest")
+    entries = materialise(entries)  # so that Spark can split a digest with many rows in the join
     verified = found.join(entries, "digest", "left").select("doc_id", "text_sha256", "digest", "keep_id", "group_size", F.coalesce(F.col("body") == F.col("stays"), F.lit(False)).alias("same"))
     verified = materialise(verified)
     odd = verified.where("not same").select("digest").distinct()
