@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphband.llm import exact_dedup, ngram_join, packing, quality_rules, substring_dedup, token_counts, token_output
+from graphband.llm import exact_dedup, kn_quality, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts, token_output, unigram
 from graphband.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,10 +18,22 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("t")
 
@@ -47,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_substring_dedup, op5_ngram_join, op6_exact_dedup, op7_quality_rules, op8_packing, op9_token_output, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_substring_dedup, op4_quality_classifier, op5_ngram_join, op6_exact_dedup, op7_quality_rules, op8_packing, op9_token_output, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
