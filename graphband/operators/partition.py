@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphband.operators.graph import symmetric, weighted_degrees
+from graphband.session import materialise
 
 
 def with_parts(edges: DataFrame, part: DataFrame) -> DataFrame:
@@ -118,3 +119,61 @@ def expand(order: DataFrame, d: int) -> DataFrame:
 def permute(entries: DataFrame, order: DataFrame) -> DataFrame:
     a, b = order.select(F.col("old").alias("i"), F.col("new").alias("ni")), order.select(F.col("old").alias("j"), F.col("new").alias("nj"))
     return entries.join(a, "i").join(b, "j").select(F.col("ni").alias("i"), F.col("nj").alias("j"), "v")
+
+
+def coverage(part: DataFrame, n: int) -> DataFrame:
+    """(id, problem): nodes of 0..n-1 without a part, and parts of other nodes."""
+    want = part.sparkSession.range(n)
+    missing = want.join(part, "id", "left_anti").select("id", F.lit("missing").alias("problem"))
+    extra = part.select("id").join(want, "id", "left_anti").select("id", F.lit("extra").alias("problem"))
+    return missing.unionAll(extra)
+
+
+def bisection_energy(edges: DataFrame, nodes: DataFrame, side: DataFrame, balance: float = 1.0, target: float = 0.5) -> DataFrame:
+    """Energy of a bisection (id, x) under the quadratic model, from sums alone.
+
+    The model has a term for every pair of nodes; summed over a bisection they
+    come to the cut share and the square of side 1's weight share.
+    """
+    share = nodes.join(side, "id").agg((F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("m"))
+    cut = with_parts(edges, side.select("id", F.col("x").alias("p"))).agg((F.sum(F.when(F.col("pu") != F.col("pv"), F.col("w")).otherwise(0.0)) / F.sum(F.abs("w"))).alias("cut"))
+    return share.join(cut).select((F.col("cut") + balance * (F.col("m") * F.col("m") - 2 * target * F.col("m"))).alias("energy"))  # one row each
+
+
+def ising_fields(edges: DataFrame, nodes: DataFrame, balance: float = 1.0, target: float = 0.5) -> DataFrame:
+    """(id, h) of the model in spins: -q_ii / 2 - sum of q_ij / 4, the sum in closed form."""
+    scale, total = edges.agg(F.sum(F.abs("w")).alias("scale")), nodes.agg(F.sum("c").alias("total"))
+    n = nodes.join(weighted_degrees(edges), "id", "left").join(F.broadcast(scale)).join(F.broadcast(total))  # one row each
+    c, deg = F.col("c") / F.col("total"), F.coalesce("deg", F.lit(0.0)) / F.col("scale")
+    own = deg + balance * c * (c - 2 * target)
+    others = 2 * balance * c * (1 - c) - 2 * deg
+    h = F.round(-own / 2 - others / 4, 9)
+    return n.select("id", F.when(h == 0, 0.0).otherwise(h).alias("h"))
+
+
+def independent_moves(edges: DataFrame, part: DataFrame) -> DataFrame:
+    """Best moves that beat those of all their neighbours by (gain, id), so that their gains add up."""
+    moves = best_moves(edges, part)
+    near = symmetric(edges).join(moves.select(F.col("id").alias("u"), F.col("gain").alias("gu")), "u").join(moves.select(F.col("id").alias("v"), F.col("gain").alias("gv")), "v")
+    beaten = near.where("gv > gu OR (gv = gu AND v > u)").select(F.col("u").alias("id")).distinct()
+    return moves.join(beaten, "id", "left_anti")
+
+
+def admitted_moves(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float) -> DataFrame:
+    """Independent moves, best first, while what leaves a part and what enters one keep to the bounds."""
+    b = bounds(part_weights(nodes, part, k), k, tolerance)
+    moves = independent_moves(edges, part).join(nodes, "id")
+    order = lambda p: Window.partitionBy(p).orderBy(F.desc("gain"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    out = moves.withColumn("leaves", F.sum("c").over(order("source"))).withColumn("enters", F.sum("c").over(order("target")))
+    out = out.join(b.select(F.col("p").alias("source"), (F.col("weight") - F.col("lower")).alias("spare")), "source").join(b.select(F.col("p").alias("target"), (F.col("upper") - F.col("weight")).alias("room")), "target")
+    return out.where("leaves <= spare AND enters <= room").select("id", "source", "target", "gain")
+
+
+def refine(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, passes: int = 10) -> DataFrame:
+    """The partition after passes of admitted moves, until there is none; the cut never grows and bounds hold once they do."""
+    for _ in range(passes):
+        moves = materialise(admitted_moves(edges, nodes, part, k, tolerance))
+        if moves.isEmpty():
+            break
+        part = materialise(part.join(moves.select("id", "target"), "id", "left").select("id", F.coalesce("target", "p").alias("p")))
+    return part

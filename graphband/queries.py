@@ -241,12 +241,58 @@ def newest_40(s, d):
     return logs.newest(logs.parse(derived.log_lines(s, d))).select("job_id", F.unix_timestamp("last_ts").alias("last_at"), "lines")
 
 
+SIDE = ", sd AS (SELECT id, id % 2 AS x FROM nodes), tot AS (SELECT sum(abs(w)) AS scale FROM e), wt AS (SELECT sum(c) AS total FROM nodes)"
+MOVES = ", co AS (SELECT s.u AS id, b.p, sum(w) AS w FROM sym s JOIN np b ON s.v = b.id GROUP BY 1, 2), mv AS (SELECT co.id, np.p AS source, co.p AS target, co.w - coalesce(h.w, 0) AS gain FROM co JOIN np ON co.id = np.id AND co.p <> np.p LEFT JOIN co h ON h.id = np.id AND h.p = np.p QUALIFY row_number() OVER (PARTITION BY co.id ORDER BY co.w - coalesce(h.w, 0) DESC, co.p) = 1), gd AS (SELECT * FROM mv WHERE gain > 0)"
+
+
+@_add(f"WITH {KM}{PART} SELECT x.id, 'missing' AS problem FROM (SELECT unnest(range(0, (SELECT n FROM meta))) AS id) x WHERE x.id NOT IN (SELECT id FROM brand) UNION ALL SELECT id, 'extra' FROM brand WHERE id < 0 OR id >= (SELECT n FROM meta)")
+def coverage_missing_extra(s, d):
+    return partition.coverage(derived.p_brand(s, d), derived.size(s, d))
+
+
+@_add(f"WITH {KM}{GRAPH}{SIDE}, q AS (SELECT a.x AS xa, b.x AS xb, 2 * (n1.c / total) * (n2.c / total) - 2 * coalesce(e.w, 0) / scale AS q FROM nodes n1 JOIN nodes n2 ON n1.id < n2.id JOIN sd a ON a.id = n1.id JOIN sd b ON b.id = n2.id LEFT JOIN e ON e.u = n1.id AND e.v = n2.id CROSS JOIN tot CROSS JOIN wt), li2 AS (SELECT sum(x * (coalesce(g.deg, 0) / scale + (c / total) * (c / total) - c / total)) AS l FROM nodes JOIN sd USING (id) LEFT JOIN (SELECT u AS id, sum(w) AS deg FROM sym GROUP BY u) g USING (id) CROSS JOIN tot CROSS JOIN wt) SELECT round(l + (SELECT sum(q * xa * xb) FROM q), 6) AS energy FROM li2")
+def qubo_energy(s, d):
+    e, n = _graph(s, d)
+    return partition.bisection_energy(e, n, n.select("id", (F.col("id") % 2).alias("x"))).select(F.round("energy", 6).alias("energy"))
+
+
+@_add(f"WITH {KM}{GRAPH}{SIDE}, dg AS (SELECT u AS id, sum(w) AS deg FROM sym GROUP BY u), x AS (SELECT id, c / total AS c, coalesce(deg, 0) / scale AS g FROM nodes LEFT JOIN dg USING (id) CROSS JOIN tot CROSS JOIN wt) SELECT id, round(CASE WHEN abs(h) < 1e-9 THEN 0 ELSE h END, 9) AS h FROM (SELECT id, -(g + c * (c - CAST(0.6 AS DOUBLE))) / 2 - (2 * c * (1 - c) - 2 * g) / 4 AS h FROM x)")
+def ising_fields(s, d):
+    return partition.ising_fields(*_graph(s, d), target=0.3)
+
+
+@_add(f"WITH {KM}{GRAPH}{NODEPART}{MOVES} SELECT id, source, target, gain FROM gd WHERE id NOT IN (SELECT s.u FROM sym s JOIN gd a ON s.u = a.id JOIN gd b ON s.v = b.id WHERE b.gain > a.gain OR (b.gain = a.gain AND b.id > a.id))")
+def independent_moves(s, d):
+    e, n = map(materialise, _graph(s, d))
+    return partition.independent_moves(e, _parts(n))
+
+
+@_add(f"WITH {KM}{GRAPH}, cp AS (SELECT CAST(1.5 AS DOUBLE) * sum(c) / 250 AS cap FROM nodes) SELECT s.u, CAST(count(*) AS BIGINT) AS n FROM sym s JOIN nodes a ON s.u = a.id JOIN nodes b ON s.v = b.id, cp WHERE a.c + b.c <= cap GROUP BY s.u")
+def capped_candidates(s, d):
+    e, n = map(materialise, _graph(s, d))
+    cap = graph.weight_cap(n, 250).first()["cap"]
+    return graph.candidates(e, n, cap=cap).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_add(f"WITH {KM}{PART} SELECT i, j, p AS colour FROM k JOIN brand ON k.i = brand.id")
+def spy_colour_rows(s, d):
+    return derived.k_part(s, d).join(derived.p_brand(s, d).select(F.col("id").alias("i"), F.col("p").alias("colour")), "i").select("i", "j", "colour")
+
+
 def coarsening_levels(s, d):
     return locality.levels(s, d)
 
 
+def refined_cut(s, d):
+    """Cut before and after refinement passes."""
+    e, n = map(materialise, _graph(s, d))
+    part = _parts(n)
+    after = partition.refine(e, n, part, K, 20, passes=3)
+    return partition.edge_cut(e, part).withColumnRenamed("cut", "before").join(partition.edge_cut(e, after).withColumnRenamed("cut", "after"))
+
+
 def queries() -> dict[str, Query]:
-    return {k: f for k, (f, _) in _ALL.items()} | {"coarsening_levels": coarsening_levels}
+    return {k: f for k, (f, _) in _ALL.items()} | {f.__name__: f for f in (coarsening_levels, refined_cut)}
 
 
 def oracle_sql() -> dict[str, str]:
