@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphband.operators import graph, metrics, partition
+from graphband.operators import graph, metrics, partition, results
 from graphband.plans import locality
 from graphband.session import materialise
 from graphband.sources import derived
@@ -279,6 +279,26 @@ def spy_colour_rows(s, d):
     return derived.k_part(s, d).join(derived.p_brand(s, d).select(F.col("id").alias("i"), F.col("p").alias("colour")), "i").select("i", "j", "colour")
 
 
+@_add("SELECT coalesce(unit, 'unknown') AS unit, CAST(count(*) AS BIGINT) AS jobs, CAST(sum(event_id % 32) AS BIGINT) AS qubits, CAST(sum(greatest(0, event_id % 100 - 10)) AS BIGINT) AS runtime FROM (SELECT *, CASE WHEN event_id % 7 <> 0 THEN event_type END AS unit FROM events) GROUP BY 1")
+def usage_by_unit(s, d):
+    return results.usage_by_unit(derived.usage(s, d))
+
+
+@_add(f"WITH {KM}{PART}, a AS (UNPIVOT (SELECT CAST(n AS DOUBLE) AS n, CAST(nnz AS DOUBLE) AS nnz, CAST(bandwidth AS DOUBLE) AS bandwidth, avg_bandwidth FROM (SELECT {SHAPE} FROM k)) ON COLUMNS(*) INTO NAME name VALUE value), b AS (UNPIVOT (SELECT CAST(n AS DOUBLE) AS n, CAST(nnz AS DOUBLE) AS nnz, CAST(bandwidth AS DOUBLE) AS bandwidth, avg_bandwidth FROM (SELECT {SHAPE} FROM pm)) ON COLUMNS(*) INTO NAME name VALUE value) SELECT a.name, a.value AS a, b.value AS b, round(b.value - a.value, 6) AS difference, CASE WHEN abs(b.value - a.value) < 1e-6 THEN 'Equal' WHEN b.value < a.value THEN 'B' ELSE 'A' END AS winner FROM a JOIN b ON a.name = b.name")
+def run_compare_ab(s, d):
+    k, n = derived.k_part(s, d), derived.size(s, d)
+    moved = partition.permute(k, partition.node_order(derived.p_brand(s, d)))
+    out = results.compare(results.long_form(metrics.shape(k, n)), results.long_form(metrics.shape(moved, n)))
+    return out.withColumn("difference", F.round("difference", 6))
+
+
+@_add(f"WITH {KM}{PART}, pts AS (SELECT CAST(x AS BIGINT) * 5 AS hundredths, CAST(CASE WHEN x = 0 THEN 0 ELSE greatest(1, ceil(CAST(x AS DOUBLE) * CAST(5.0 AS DOUBLE) / CAST(100.0 AS DOUBLE) / CAST(100.0 AS DOUBLE) * CAST((SELECT n FROM meta) AS DOUBLE))) END AS BIGINT) AS width FROM unnest(range(0, 100)) AS t(x)), h AS (SELECT abs(i - j) AS dist, count(*) AS c FROM k GROUP BY 1), h2 AS (SELECT abs(i - j) AS dist, count(*) AS c FROM pm GROUP BY 1), tt AS (SELECT count(*) AS nnz FROM k) SELECT hundredths, CASE WHEN hundredths = 0 THEN CAST(0 AS DOUBLE) ELSE round(CAST(coalesce((SELECT sum(c) FROM h WHERE dist <= width), 0) AS DOUBLE) / nnz, 9) END AS original, CASE WHEN hundredths = 0 THEN CAST(0 AS DOUBLE) ELSE round(CAST(coalesce((SELECT sum(c) FROM h2 WHERE dist <= width), 0) AS DOUBLE) / nnz, 9) END AS by_brand FROM pts, tt")
+def curve_pivot_by_method(s, d):
+    k, n = derived.k_part(s, d), derived.size(s, d)
+    moved = partition.permute(k, partition.node_order(derived.p_brand(s, d)))
+    return results.curve_by_method({"original": metrics.band_curve(k, n), "by_brand": metrics.band_curve(moved, n)})
+
+
 def coarsening_levels(s, d):
     return locality.levels(s, d)
 

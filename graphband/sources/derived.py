@@ -46,3 +46,11 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     line = F.concat(F.lit("["), stamp, F.lit("] ["), level, F.lit("] "), message, F.lit(" nodes="), F.col("event_id").cast("string"))
     return e.select(F.col("user_id").cast("long").alias("job_id"), F.col("event_id").cast("long").alias("seq"), line.alias("value"))
+
+
+def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage records (job, unit, qubits, started, ended): each event is a job on the unit that its type names, every seventh on none."""
+    e = table(spark, sf_dir, "events")
+    start = F.unix_timestamp("ts")
+    unit = F.when(F.col("event_id") % 7 != 0, F.col("event_type"))
+    return e.select(F.col("event_id").cast("long").alias("job"), unit.alias("unit"), (F.col("event_id") % 32).cast("long").alias("qubits"), start.alias("started"), (start + (F.col("event_id") % 100).cast("long") - 10).alias("ended"))
