@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from graphband.session import ship_package
 
 MARK = "▁"
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 500_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -74,16 +74,17 @@ class DoubleArrayTrie:
                 place[children[s][b]] = t
                 todo.append(children[s][b])
 
-    def prefixes(self, data: bytes, start: int) -> Iterator[tuple[int, int]]:
-        """(end, number) of each key that data has at start, shortest first."""
-        base, check, value, s = self.base, self.check, self.value, 0
-        for i in range(start, len(data)):
-            t = base[s] + data[i] + 1
-            if check[t] != s:
-                return
-            s = t
-            if value[s] >= 0:
-                yield i + 1, value[s]
+
+class _Words(dict):
+    """Ids of words with a marker before them, found when they are first asked for."""
+
+    def __init__(self, codec: UnigramCodec) -> None:
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.codec._chunk(MARK + word)
+        return found
 
 
 class UnigramCodec:
@@ -109,7 +110,9 @@ class UnigramCodec:
         for b, i in self.byte_ids.items():
             self.raw[i] = bytes([b])
         self.raw[self.unknown] = " ⁇ ".encode()
+        self.joined = {x[k : k + 2] for x in (pieces[i] for i in plain) for k in range(len(x) - 1)}
         self.chunks: dict[str, bytes] = {}
+        self.words = _Words(self)
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best segmentation; of equally good ones, the one whose last piece starts first."""
@@ -117,17 +120,23 @@ class UnigramCodec:
         n = len(data)
         best: list[float | None] = [None] * (n + 1)
         back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        base, check, value, score = self.trie.base, self.trie.check, self.trie.value, self.score
         best[0] = 0.0
         at = 0
         while at < n:
             first = data[at]
             char = at + (1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4)
-            so_far, single = best[at], False
-            for end, i in self.trie.prefixes(data, at):
-                total = so_far + self.score[i]
-                if best[end] is None or total > best[end]:
-                    best[end], back[end] = total, (at, i)
-                single |= end == char
+            so_far, single, s = best[at], False, 0
+            for end in range(at + 1, n + 1):  # along the trie
+                t = base[s] + data[end - 1] + 1
+                if check[t] != s:
+                    break
+                s = t
+                if (i := value[s]) >= 0:
+                    total = so_far + score[i]
+                    if best[end] is None or total > best[end]:
+                        best[end], back[end] = total, (at, i)
+                    single |= end == char
             if not single:
                 total = so_far + self.least
                 if best[char] is None or total > best[char]:
@@ -146,8 +155,13 @@ class UnigramCodec:
         return out[::-1]
 
     def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk; it is cut where no piece has these two characters side by side, as no piece can cross there."""
         found = self.chunks.get(chunk)
         if found is None:
+            joined = self.joined
+            cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in joined]
+            if cuts:
+                return b"".join([self._chunk(chunk[a:b]) for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)])
             if len(self.chunks) >= MAX_CHUNKS:
                 self.chunks.clear()
             found = self.chunks[chunk] = np.array(self.viterbi(chunk), "<i4").tobytes()
@@ -157,8 +171,12 @@ class UnigramCodec:
         """Ids of a whole text; none of an empty one."""
         if not text:
             return np.empty(0, "<i4")
-        marked = MARK + text.replace(" ", MARK)
-        chunks = re.findall(f"{MARK}+[^{MARK}]*", marked)
+        words = text.split(" ")
+        if "" not in words and MARK not in text:
+            if len(self.words) >= MAX_CHUNKS:
+                self.words.clear()
+            return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<i4")
+        chunks = re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))
         return np.frombuffer(b"".join(map(self._chunk, chunks)), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
