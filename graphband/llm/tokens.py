@@ -37,8 +37,9 @@ class WordEncoder:
         hard = []
         for w in words:
             if w.isascii():
-                stem, mark = (w[:-1], w[-1:]) if w[-1] in _END_MARKS else (w, b"")
-                ids = self.ids.get(stem) if stem in self.ids else self._plain(stem)
+                # Only letters end a pre-token before a mark; other marks before it would join it.
+                stem, mark = (w[:-1], w[-1:]) if w[-1] in _END_MARKS and w[:-1].isalpha() else (w, b"")
+                ids = self.ids.get(stem) or self._plain(stem)
                 if ids is not None:
                     if mark and mark not in self.ids:
                         self.ids[mark] = self._library([mark])[0]

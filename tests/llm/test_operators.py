@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from graphband.llm import components, exact_dedup, kn_quality, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts, token_output, unigram
+from graphband.llm import components, exact_dedup, kn_quality, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts, token_output, tokens, unigram
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept boolean, t long, key string, t_1 string"
@@ -180,6 +180,15 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
+def test_adjacent_marks_are_one_pre_token():
+    """Whatever words the worker has met before."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tool = tokens.WordEncoder(path)
+    for batch in (["a a! a. . ! b (b) hello hello. 12 12."], [".. ... a!! a.. (b), (b). hello.. hello!! 12.. 12., ?! a; b;:"]):
+        found = tool.encode([t.encode() for t in batch])
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == library_ids(batch)
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack(docs, path).collect()
