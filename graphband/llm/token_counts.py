@@ -73,7 +73,7 @@ class TokenCounter:
         return merged_count([*piece[:-1], piece[-1] + self.end], self.rank)
 
     def _word(self, word: bytes) -> int:
-        if word.isalpha():  # lower-case ASCII letters: one pre-token, left alone by the normaliser
+        if word.isalpha() and word.islower():  # lower-case ASCII letters: one pre-token, left alone by the normaliser
             return self._piece(word.decode("ascii"))
         text, total = word.decode("utf-8", "replace"), 0
         for i, part in enumerate(self.special.split(text) if self.special else [text]):

@@ -29,7 +29,7 @@ class WordEncoder:
 
     def _plain(self, word: bytes) -> bytes | None:
         """Of lower-case ASCII letters, which the normaliser leaves alone and which are one pre-token: by the model itself."""
-        if word.isalpha():
+        if word.isalpha() and word.islower():  # texts with special strings come in their own case
             return np.array([t.id for t in self.tokenizer.model.tokenize(word.decode("ascii"))], "<u4").tobytes()
         return None
 
@@ -38,7 +38,7 @@ class WordEncoder:
         for w in words:
             if w.isascii():
                 # Only letters end a pre-token before a mark; other marks before it would join it.
-                stem, mark = (w[:-1], w[-1:]) if w[-1] in _END_MARKS and w[:-1].isalpha() else (w, b"")
+                stem, mark = (w[:-1], w[-1:]) if w[-1] in _END_MARKS and w[:-1].isalpha() and w[:-1].islower() else (w, b"")
                 ids = self.ids.get(stem) or self._plain(stem)
                 if ids is not None:
                     if mark and mark not in self.ids:

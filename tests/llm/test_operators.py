@@ -189,6 +189,15 @@ def test_adjacent_marks_are_one_pre_token():
         assert [np.frombuffer(x, "<u4").tolist() for x in found] == library_ids(batch)
 
 
+def test_capitals_beside_special_strings():
+    """A text with "<|" keeps its case until the normaliser lowers it."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = ["Hello <| World", "Hello, <|endoftext|>World. HELLO! a <|b", "let F x = x <| G Hello"]
+    want, raw = library_ids(batch), [t.encode() for t in batch]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.WordEncoder(path).encode(raw)] == want
+    assert token_counts.TokenCounter(path).count(raw) == [len(x) for x in want]
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack(docs, path).collect()
