@@ -308,6 +308,58 @@ def test_quality_classifier(spark, texts):
     assert kn_quality.classify(df, labels.where("false")).where("kept").count() == 50
 
 
+def test_word_perplexities(spark):
+    """Against the recursion over words; trusted documents without the n-grams that only they hold."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdeimnorst") for _ in range(rng.randint(3, 6))) for _ in range(30)]
+    text = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 40)))
+    rows = [(i, text(), "en") for i in range(30)]
+    rows += [(i, rows[3][1] if i == 31 else rows[i - 30][1].upper() + " " + text(), "en") for i in range(30, 36)]
+    rows += [(40, "".join(vocabulary), "en"), (41, " ".join(w[::-1] for w in vocabulary), "en"), rows[5], (None, text(), "en")]
+    trusted = set(range(20))
+    labels = spark.createDataFrame([(i, 1) for i in trusted], "doc_id long, quality int")
+
+    def grams(t, k):
+        w = ["<s>"] * 3 + t.lower().split() + ["</s>"]
+        return [tuple(w[i - k + 1 : i + 1]) for i in range(3, len(w))]
+
+    own = [t for i, t, _ in rows if i in trusted]
+    raw = {k: Counter(g for t in own for g in grams(t, k)) for k in (1, 2, 3, 4)}
+    n = {4: raw[4]}
+    for k in (3, 2, 1):
+        n[k] = Counter(g[1:] for g in n[k + 1])
+    cut, total, held = {}, Counter(), Counter()
+    for k in n:
+        t = Counter(n[k].values())
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] + t[2] else 0.5
+        cut[k] = [min(max(i - (i + 1) * y * t[i + 1] / t[i] if t[i] else y, 0.05), i - 0.05) for i in (1, 2, 3)]
+        for g, c in n[k].items():
+            total[g[:-1]] += c
+            held[g[:-1]] += cut[k][min(c, 3) - 1]
+
+    def p(g, known):
+        k, c = len(g), g[:-1]
+        if c and not (c in total and (set(c) == {"<s>"} or known(c))):
+            return p(g[1:], known)
+        share = (n[k][g] - cut[k][min(n[k][g], 3) - 1]) / total[c] if g in n[k] and known(g) else 0
+        spelled = 256.0 ** -(1 if g[-1] == "</s>" else len(g[-1]) + 1)
+        return share + held[c] / total[c] * (p(g[1:], known) if c else spelled)
+
+    def score(i, t):
+        here = Counter(g for k in n for g in grams(t, k))
+        known = (lambda g: raw[len(g)][g] > here[g]) if i in trusted else (lambda g: g in raw[len(g)])
+        letters = len("".join(t.split())) + len(t.split()) + 1
+        return float(np.prod([p(g, known) ** (-1 / letters) for g in grams(t, 4)]))
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = kn_quality.classify(docs, labels).collect()
+    want = sorted((str(i), score(i, t)) for i, t, _ in rows)
+    assert [x for x, _ in sorted((str(r["doc_id"]), r["perplexity"]) for r in got)] == [x for x, _ in want]
+    assert np.allclose([x for _, x in sorted((str(r["doc_id"]), r["perplexity"]) for r in got)], [x for _, x in want])
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert not kept[40] and not kept[41] and kept[31]  # known letter runs, no known word
+
+
 def test_probabilities_sum_to_one():
     import pandas as pd
 
