@@ -308,6 +308,18 @@ def test_quality_classifier(spark, texts):
     assert kn_quality.classify(df, labels.where("false")).where("kept").count() == 50
 
 
+def test_quality_limit_is_the_quantile(spark):
+    """The limit is that of trusted documents, and more than half of those labelled bad lie beyond it."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = kn_quality.classify(docs, labels).collect()
+    for lang in {r["lang"] for r in rows}:
+        found = sorted(r["perplexity"] for r in rows if r["lang"] == lang and quality.get(r["doc_id"]) == 1 and r["perplexity"] is not None)
+        assert {r["threshold"] for r in rows if r["lang"] == lang} == {found[-(-len(found) * 999 // 1000) - 1]}
+    bad = [r["kept"] for r in rows if quality.get(r["doc_id"]) == 0]
+    assert sum(bad) < 0.5 * len(bad)
+
+
 def test_word_perplexities(spark):
     """Against the recursion over words; trusted documents without the n-grams that only they hold."""
     rng = random.Random(11)
