@@ -1,14 +1,14 @@
-"""Removal of passages that stand anywhere else, by relative Lempel-Ziv parsing.
+"""Removal of passages that stand anywhere else, by hashes of content-cut blocks.
 
 The reference is the whole corpus, cut into blocks where its content says so:
 of each ``window``-word window one word position is chosen, the one whose
 ``SEED``-word hash is least, and the windows that chose the same position form a
 block.  Equal windows choose equal positions, so equal passages have equal
 blocks wherever they stand, and the index needs a row for about every fourteenth
-word.  Parsing a document, a factor is the longest run of blocks that the index
-holds elsewhere, in one place as far as that goes; at a factor's ends, where a
-block's surroundings differ from those elsewhere, its windows are looked up one
-by one.  Words under a window that is found are duplicate spans.
+word.  Each block is looked up on its own; where a block's surroundings differ
+from those elsewhere, its windows are looked up one by one.  Words under a
+window that is found are duplicate spans.  No document is parsed: runs of found
+blocks are merged afterwards, whatever their sources, to count ``n_factors``.
 
 Hashes: a block is known by two independent 64-bit hashes, a window by the hash
 of its seed and its own.
@@ -246,7 +246,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str =
 
 
 def _count_factors(low: np.ndarray, high: np.ndarray, source: np.ndarray) -> int:
-    """Greedy: a factor goes on while the next run starts within it, and is counted anew after a gap."""
+    """Merged runs, whatever their sources: one goes on while the next starts within it or at its end."""
     order = np.lexsort((high, low))
     low, high = low[order], np.maximum.accumulate(high[order])
     return 1 + int((low[1:] > high[:-1] + 1).sum())
