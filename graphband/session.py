@@ -19,10 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, local mode) a temporary folder of this machine stands in.
+    and all runs on this machine (tests) a temporary folder stands in.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-graphband-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/graphband-{uuid.uuid4().hex}"
@@ -34,7 +36,19 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*done: DataFrame | str | None) -> None:
+    """Delete tables of ``materialise``, or shared folders, that nothing reads any more."""
+    spark = SparkSession.getActiveSession()
+    for x in done:
+        path = x if isinstance(x, str) else getattr(x, "_scratch", None)
+        if path and "/graphband-" in path:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 _SHIPPED = "_graphband_shipped"
