@@ -1,19 +1,34 @@
 """Answers for tasks: each scan task asks for distinct keys, a join answers, and a later scan task reads its own answers.
 
 Texts then need no shuffle and nothing is broadcast, however large the table of
-answers is.  A chunk is a partition of the scan; both scans must read the same
-frame.  Callers check that an answer is there for all that they look up, so that
-a frame whose partitions change between scans raises rather than gives wrong
-results.
+answers is.  A chunk is a partition of the scan, so a frame is scanned as it is
+only where it comes straight from files, and is written first where it does not
+(``steady``).  Callers check that an answer is there for what they look up, so
+that partitions that change between scans raise rather than give wrong results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+
+from graphband.session import materialise, shared_dir
+
+#: Plans of these nodes alone have the same partitions whenever and with whichever columns they run.
+_STEADY = {"Project", "Filter", "LogicalRelation", "SubqueryAlias"}
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """``df``, or a copy in the shared folder where it does not come straight from files."""
+
+    def straight(node) -> bool:
+        kids = node.children()
+        return node.nodeName() in _STEADY and all(straight(kids.apply(i)) for i in range(kids.size()))
 
-from graphband.session import shared_dir
+    return df if straight(df._jdf.queryExecution().optimizedPlan()) else materialise(df)
 
 
 def chunk() -> int:
@@ -52,3 +67,19 @@ def mine(folder: str, *columns: str) -> list[np.ndarray]:
 def check(found: bool) -> None:
     if not found:
         raise RuntimeError("no answer: the frame's partitions changed between two scans")
+
+
+def keep(docs: DataFrame, kept: DataFrame, a: Column, b: Column) -> DataFrame:
+    """The rows of a steady ``docs`` whose numbers (a, b) stand in ``kept`` (chunk, a, b) for their chunk; all columns, no shuffle of rows."""
+    import pyarrow as pa
+
+    folder, names = publish(kept.select("chunk", "a", "b")), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = set(zip(*(x.tolist() for x in mine(folder, "a", "b")), strict=True))
+        for batch in batches:
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            mask = pa.array([k in own for k in keys], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=names).filter(mask)
+
+    return docs.select(a.alias("_a"), b.alias("_b"), *[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).mapInArrow(run, docs.schema)

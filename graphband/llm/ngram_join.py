@@ -4,16 +4,19 @@ A document's n-grams toggle bits of a wide sketch, so the bits in which two
 sketches differ are at most as many as the n-grams in which the sets do.  By
 size, documents fall into bands; within a band's reach two similar sets differ
 in at most t n-grams.  The sketch is cut into more than t parts: sets that
-differ in t n-grams agree in all other parts.  Parts are ordered, those with
-most bits first, and each document hands out its first t + 1: two similar
-documents then share one of these (a prefix of equal sets of parts, by the
-pigeonhole principle).  Documents that share a part are candidates and are
-verified with their whole texts.
+differ in t n-grams agree in all other parts.  Parts are put in one order for
+all documents, very common patterns last and those with most bits first, and
+each document hands out its first t + 1: two similar documents then share one
+of these (a prefix of equal sets of parts, by the pigeonhole principle).
+Documents that share a part are candidates and are verified with their whole
+texts.
 
 Equal sets are one class from the start.  Few documents on a part are paired
-with each other.  Many are paired with one of them, which mostly joins them; what
-is left apart in such crowds is compared block by block with dense sketches,
-whose Hamming distance bounds the difference from below, and then verified.
+with each other.  Many are paired with one of them, the part's lead, which mostly
+joins them; a very common pattern has an agreed lead, so that what hands it out
+is paired in place and needs no meeting.  What is left apart among the followers
+of a lead is compared with them block by block by dense sketches, whose Hamming
+distance bounds the difference from below, and then verified.
 """
 
 from __future__ import annotations
@@ -25,16 +28,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphband.llm.bloom import build
+from graphband.llm import lookup
 from graphband.llm.components import components
-from graphband.llm.text import U64, Words, encoded, mix64, slices
-from graphband.session import materialise, ship_package
+from graphband.llm.text import PIECE, U64, Words, encoded, mix64, pieces, slices
+from graphband.session import discard, materialise, ship_package
 
 SIZE, PERCENT = 5, 80
 CROWD = 8  # documents on a part; above this they are paired with one of them
 CHUNK = 256  # documents of a crowd that are compared with as many others at once
+PARTS = 64  # at least; so many that small sets do not leave most parts empty
 SKETCH_BITS = 4096
 SEEN = 2_000_000  # classes that a task remembers having handed out
+COUNTED = 2_000_000  # patterns that a task counts at once
+SHARE = 1 << 18  # patterns that are more than this part of all n-grams are very common: at most twice as many, as a set hands out two rows of parts at most
+LEAST = 64  # and that so many classes hold
 
 
 def difference(a: int, b: int, percent: int) -> int:
@@ -45,12 +52,15 @@ def difference(a: int, b: int, percent: int) -> int:
 def parts(band: int, percent: int) -> int:
     """Into how many parts the sketches of a band's reach are cut: a third more than may differ."""
     top = (2 << band) - 1
-    return difference(top, top * 100 // percent, percent) * 4 // 3 + 2
+    return max(PARTS, difference(top, top * 100 // percent, percent) * 4 // 3 + 2)
 
 
 def shingle_sets(texts: list[bytes], size: int, seed: int) -> Iterator[np.ndarray]:
     """Sorted distinct n-gram hashes of each text; A-Z count as a-z."""
     for i, j in slices(texts, 1 << 21):
+        if j == i + 1 and len(texts[i]) > PIECE:
+            yield np.unique(np.concatenate([Words([p.lower()], seed).shingles(0, size) for p, _ in pieces(texts[i], size - 1)]))
+            continue
         words = Words([t.lower() for t in texts[i:j]], seed)
         for k in range(j - i):
             yield np.unique(words.shingles(k, size))
@@ -66,15 +76,18 @@ def class_of(shingles: np.ndarray) -> tuple[int, int]:
     return int(two[0]), int(two[1])
 
 
-def sketch_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """The parts of a set's sketches that it hands out, as 64-bit keys."""
+def sketch_parts(shingles: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each band in reach: the parts' patterns as 64-bit keys, the n-grams in each part, and how many to hand out.
+
+    None where only an equal set is similar, which is the same class.
+    """
     n = len(shingles)
-    if not n:
-        return np.empty(0, U64)
-    home = n.bit_length() - 1
+    home = max(n, 1).bit_length() - 1
     reach = [(home, n * 100 // percent)]
     if -(-n * percent // 100) < 1 << home:  # a similar set may be in the band below
         reach.append((home - 1, (1 << home) - 1))
+    if not n or n * 100 // percent == n and -(-n * percent // 100) == n:
+        return []
     spot = mix64(shingles ^ U64(0x8EBC6AF09C88C6E3))
     code = mix64(spot)
     out = []
@@ -86,8 +99,20 @@ def sketch_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
         pattern, bits = np.zeros(p, U64), np.zeros(p, np.int64)
         pattern[held] = np.bitwise_xor.reduceat(code[order], first)
         bits[held] = np.diff(np.append(first, n))
-        first_ones = np.lexsort((pattern, -bits))[: difference(n, other, percent) + 1]
-        out.append(mix64(pattern[first_ones] ^ mix64(first_ones.astype(U64) + U64(band << 40))))
+        key = mix64(pattern ^ mix64(np.arange(p).astype(U64) + U64(band << 40)))
+        out.append((key, bits, difference(n, other, percent) + 1))
+    return out
+
+
+NONE = np.empty(0, U64)
+
+
+def sketch_keys(shingles: np.ndarray, percent: int, common: np.ndarray = NONE) -> np.ndarray:
+    """The parts that a set hands out, as 64-bit keys; ``common`` (sorted) come last."""
+    out = [NONE]
+    for key, bits, n in sketch_parts(shingles, percent):
+        late = np.isin(key, common) if len(common) else np.zeros(len(key), bool)
+        out.append(key[np.lexsort((key, -bits, late))[:n]])
     return np.concatenate(out)
 
 
@@ -97,20 +122,68 @@ def dense_sketch(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def _signatures(docs: DataFrame, size: int, seed: int) -> DataFrame:
+def _signatures(docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
+    """n, c, c2, doc_id, t, chunk of each row; and as n = -1 partial counts of patterns: c2 the least class of those that hold pattern c, t their number."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, int]] = []
+        counted = 0
+
+        def common() -> pd.DataFrame:
+            key = np.concatenate([k for k, _ in held]).view(np.int64)
+            c = np.repeat(np.array([x for _, x in held], np.int64), [len(k) for k, _ in held])
+            held.clear()
+            by = np.lexsort((c, key))
+            key, c = key[by], c[by]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            n = np.diff(np.append(first, len(key)))
+            much = n * SHARE >= min(len(key), COUNTED)
+            much &= n > 1
+            return pd.DataFrame({"n": -1, "c": key[first[much]], "c2": c[first[much]], "doc_id": pd.array([None] * int(much.sum()), "Int64"), "t": n[much], "chunk": lookup.chunk()})
+
         for b in batches:
-            rows = [(len(s), *class_of(s)) for s in shingle_sets(encoded(b["text"]), size, seed)]
+            rows = []
+            for s in shingle_sets(encoded(b["text"]), size, seed):
+                c, c2 = class_of(s)
+                rows.append((len(s), c, c2))
+                if len(s) and c not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(c)
+                    for key, bits, _ in sketch_parts(s, percent):
+                        held.append((key[bits > 0], c))
+                        counted += len(held[-1][0])
+                    if counted >= COUNTED:
+                        counted = 0
+                        yield common()
             out = pd.DataFrame(rows, columns=["n", "c", "c2"], dtype="int64")
-            yield out.assign(doc_id=b["doc_id"].astype("Int64").array, t=b["t"].array)
+            yield out.assign(doc_id=b["doc_id"].astype("Int64").array, t=b["t"].array, chunk=lookup.chunk())
+        if held:
+            yield common()
 
-    return docs.mapInPandas(run, "n long, c long, c2 long, doc_id long, t long")
+    return docs.mapInPandas(run, "n long, c long, c2 long, doc_id long, t long, chunk int")
 
 
-def _keys(docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
-    """key, c: what each class hands out; a task hands out a class once."""
+def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Very common patterns, sorted, and the lead of each: at most 2 * SHARE, 8 MB."""
+    total = rows.where("n > 0").agg(F.sum("n")).first()[0] or 0
+    counts = rows.where("n = -1").groupBy("c").agg(F.sum("t").alias("n"), F.min("c2").alias("lead"))
+    found = counts.where(F.col("n") >= max(LEAST, total / SHARE)).select("c", "lead").toPandas()
+    key, lead = found["c"].to_numpy(np.int64).view(U64), found["lead"].to_numpy(np.int64)
+    by = np.argsort(key)
+    return key[by], lead[by]
+
+
+def _keys(docs: DataFrame, size: int, percent: int, seed: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, c, lead: what each class hands out, with the lead of a very common pattern; a task hands out a class once.
+
+    With a lead, the key is the class itself: such rows have no one to meet.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common, leads = shared.value
         seen: set[int] = set()
         for b in batches:
             keys, classes = [], []
@@ -120,23 +193,33 @@ def _keys(docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(c)
-                    keys.append(sketch_keys(s, percent))
+                    keys.append(sketch_keys(s, percent, common))
                     classes.append(np.full(len(keys[-1]), c, np.int64))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "c": np.concatenate(classes)})
+                key, c = np.concatenate(keys), np.concatenate(classes)
+                at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+                led = common[at] == key if len(common) else np.zeros(len(key), bool)
+                lead = pd.Series(leads[at] if len(common) else c, dtype="Int64").mask(~led)
+                yield pd.DataFrame({"key": np.where(led, c, key.view(np.int64)), "c": c, "lead": lead})
 
-    return docs.mapInPandas(run, "key long, c long")
+    return docs.mapInPandas(run, "key long, c long, lead long")
 
 
 def _pairs(keys: DataFrame, crowd: int) -> DataFrame:
-    """a, b, crowded: candidates of rows sorted by key, one run of equal keys after another, in bounded memory."""
+    """a, b (a < b), shared, led_by_a, led_by_b: candidates of rows sorted by key, one run of equal keys after another, in bounded memory."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = c = np.empty(0, np.int64)
         open_key = open_first = None  # of a run that went on beyond a batch and was a crowd already
 
+        def table(lead: np.ndarray, c: np.ndarray, led: np.ndarray) -> pd.DataFrame:
+            ok = lead != c
+            lead, c, led = lead[ok], c[ok], led[ok]
+            frame = pd.DataFrame({"a": np.minimum(lead, c), "b": np.maximum(lead, c), "led_by_a": led & (lead < c), "led_by_b": led & (lead > c)})
+            return frame.groupby(["a", "b"], as_index=False).agg(shared=("led_by_a", "size"), led_by_a=("led_by_a", "max"), led_by_b=("led_by_b", "max"))
+
         def pairs(key: np.ndarray, c: np.ndarray) -> pd.DataFrame:
-            found = []
+            found = [(c[:0], c[:0], False)]
             if len(key):
                 new = np.append(True, key[1:] != key[:-1])
                 first = np.flatnonzero(new)
@@ -149,19 +232,19 @@ def _pairs(keys: DataFrame, crowd: int) -> DataFrame:
                 lead = np.repeat(c[first], length)
                 many = ~small & ~new
                 found.append((lead[many], c[many], True))
-            a, b = (np.concatenate([np.empty(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
-            crowded = np.concatenate([np.empty(0, bool), *(np.full(len(f[0]), f[2]) for f in found)])
-            frame = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "crowded": crowded})
-            return frame.groupby(["a", "b"], as_index=False).agg(shared=("crowded", "size"), crowded=("crowded", "max"))
+            a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            return table(a, b, np.repeat([f[2] for f in found], [len(f[0]) for f in found]))
 
         for batch in batches:
-            key = np.concatenate([key, batch["key"].to_numpy()])
-            c = np.concatenate([c, batch["c"].to_numpy()])
+            led = batch["lead"].notna().to_numpy()
+            if led.any():
+                yield table(batch["lead"][led].to_numpy(np.int64), batch["c"].to_numpy()[led], np.ones(int(led.sum()), bool))
+            key = np.concatenate([key, batch["key"].to_numpy()[~led]])
+            c = np.concatenate([c, batch["c"].to_numpy()[~led]])
             if open_key is not None:
                 n = int(np.searchsorted(key, open_key, side="right"))
                 if n:
-                    a, b = np.minimum(c[:n], open_first), np.maximum(c[:n], open_first)
-                    yield pd.DataFrame({"a": a, "b": b, "shared": 1, "crowded": True})[a != b]
+                    yield table(np.full(n, open_first), c[:n], np.ones(n, bool))
                     key, c = key[n:], c[n:]
                 if len(key):
                     open_key = None
@@ -180,31 +263,30 @@ def _pairs(keys: DataFrame, crowd: int) -> DataFrame:
         yield pairs(key, c)
 
     ordered = keys.repartition("key").sortWithinPartitions("key", "c")
-    found = ordered.mapInPandas(run, "a long, b long, shared long, crowded boolean")
-    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("crowded").alias("crowded"))
+    found = ordered.mapInPandas(run, "a long, b long, shared long, led_by_a boolean, led_by_b boolean")
+    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("led_by_a").alias("led_by_a"), F.max("led_by_b").alias("led_by_b"))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, size: int, seed: int) -> DataFrame:
-    """c, text: one text for each wanted class."""
-    rows = wanted.count()
-    bloom = docs.sparkSession.sparkContext.broadcast(build(wanted, "c", rows))
+def _texts(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int, seed: int) -> DataFrame:
+    """c, text: one text for each wanted class, from the first chunk that has it."""
+    place = rows.where("n > 0").groupBy("c").agg(F.min("chunk").alias("chunk")).join(wanted, "c", "left_semi")
+    folder = lookup.publish(place.select("chunk", "c"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+        left = set(lookup.mine(folder, "c")[0].tolist())
         for b in batches:
-            texts = encoded(b["text"])
-            classes = np.fromiter((class_of(s)[0] for s in shingle_sets(texts, size, seed)), np.int64, len(texts))
-            out = []
-            for i in np.flatnonzero(bloom.value.test(classes)):
-                if int(classes[i]) not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(int(classes[i]))
-                    out.append((int(classes[i]), texts[i]))
+            if not left:
+                continue
+            texts, out = encoded(b["text"]), []
+            for text, s in zip(texts, shingle_sets(texts, size, seed), strict=True):
+                c = class_of(s)[0]
+                if len(s) and c in left:
+                    left.remove(c)
+                    out.append((c, text))
             yield pd.DataFrame(out, columns=["c", "text"]).astype({"c": "int64"})
+        lookup.check(not left)
 
-    found = docs.select("text").mapInPandas(run, "c long, text binary")
-    return materialise(found.join(wanted, "c", "left_semi").dropDuplicates(["c"]))
+    return materialise(docs.mapInPandas(run, "c long, text binary"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
@@ -232,38 +314,61 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
 
 
-def _crowd_pairs(stars: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
-    """Pairs within crowds that are still apart and whose dense sketches do not rule them out."""
-    crowds = components(stars)
-    member = crowds.withColumnRenamed("id", "c").join(labels.select(F.col("id").alias("c"), F.col("comp").alias("joined")), "c", "left")
-    member = member.withColumn("joined", F.coalesce("joined", "c"))
-    sizes = member.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"), F.min("joined").alias("least"), F.max("joined").alias("most"))
-    mixed = sizes.where("least <> most").drop("least", "most")  # else all are joined already
+def _crowd_pairs(followers: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
+    """Pairs among the followers of a lead that are still apart and whose dense sketches do not rule them out.
+
+    Of a lead's followers most are joined; only those that are not in the
+    largest component are compared, with each other and with the others.
+    """
+    member = followers.join(labels.select(F.col("id").alias("c"), "comp"), "c", "left")
+    member = materialise(member.select("lead", "c", F.coalesce("comp", "c").alias("joined")))
+    joined = member.groupBy("lead", "joined").agg(F.count(F.lit(1)).alias("n"))
+    sizes = joined.groupBy("lead").agg(F.sum("n").alias("all"), F.max(F.struct("n", "joined")).alias("most"))
+    sizes = sizes.where(F.col("all") > F.col("most.n")).select("lead", F.col("most.joined").alias("most"), F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks"), F.ceil((F.col("all") - F.col("most.n")) / CHUNK).cast("int").alias("odd_chunks"))
+    sizes = materialise(sizes)
+    rows = member.join(sizes, "lead").join(texts, "c").select("lead", "c", "joined", "most", "chunks", "odd_chunks", "text")
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = list(shingle_sets([bytes(t) for t in b["text"]], size, seed))
             yield b.drop(columns="text").assign(n=[len(s) for s in sets], sketch=[dense_sketch(s) for s in sets])
 
-    rows = member.join(mixed, "comp").join(texts, "c").select("comp", "c", "joined", "chunks", "text")
-    rows = rows.mapInPandas(sketch, "comp long, c long, joined long, chunks int, n long, sketch binary")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("c"), "chunks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.withColumn("x", F.least("chunk", "other")).withColumn("y", F.greatest("chunk", "other"))
+    rows = rows.mapInPandas(sketch, "lead long, c long, joined long, most long, chunks int, odd_chunks int, n long, sketch binary")
+    spot = F.xxhash64("c")
+    odd = rows.where("joined <> most").withColumn("side", F.lit(0)).withColumn("x", F.pmod(spot, "odd_chunks").cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    all_ = rows.withColumn("side", F.lit(1)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("odd_chunks") - 1))).withColumn("y", F.pmod(spot, "chunks").cast("int"))
 
     def compare(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        left, right = (b[b["chunk"] == k].reset_index(drop=True) for k in key[1:])
+        left, right = (b[b["side"] == k].reset_index(drop=True) for k in (0, 1))
         found = []
         bits = np.frombuffer(b"".join(right["sketch"]), np.uint64).reshape(len(right), -1)
-        n, joined, c = (right[k].to_numpy() for k in ("n", "joined", "c"))
+        n, joined, c, most = (right[k].to_numpy() for k in ("n", "joined", "c", "most"))
         for r in left.itertuples():
-            most = (r.n + n) * (100 - percent) // (100 + percent)
             far = np.bitwise_count(bits ^ np.frombuffer(r.sketch, np.uint64)).sum(axis=1)
-            good = (far <= most) & (joined != r.joined) & (100 * np.minimum(n, r.n) >= percent * np.maximum(n, r.n))
+            good = (far <= (r.n + n) * (100 - percent) // (100 + percent)) & (joined != r.joined) & (100 * np.minimum(n, r.n) >= percent * np.maximum(n, r.n))
+            good &= (joined == most) | (c > r.c)
             found += [(min(r.c, x), max(r.c, x)) for x in c[good].tolist()]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return rows.groupBy("comp", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    return odd.unionByName(all_).groupBy("lead", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _classify(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, t, chunk, n, component_id of every row of docs (doc_id, text, t, more)."""
+    for seed in range(8):  # a number that two different sets share calls for another seed
+        seen = materialise(_signatures(docs, size, percent, seed))
+        rows = seen.where("n >= 0")
+        classes = materialise(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("named"), (F.min("c2") != F.max("c2")).alias("clash")))
+        if classes.where("clash").isEmpty():
+            break
+    else:
+        raise RuntimeError("different sets share a number under each of eight seeds")
+    labels = components(_links(docs, seen, size, percent, seed))
+    named = classes.join(labels.withColumnRenamed("id", "c"), "c", "left").select("c", "named", F.coalesce("comp", "c").alias("comp"))
+    best = named.groupBy("comp").agg(F.min("named").alias("component_id"))
+    ids = materialise(named.join(best, "comp").select("c", "component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.join(ids, "c", "left").select("doc_id", "t", "chunk", "n", component.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,46 +381,46 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
     document; a null id never names a component that has others.  Other columns
     are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("t", F.xxhash64("text"))
-    for seed in range(8):  # a number that two different sets share calls for another seed
-        rows = materialise(_signatures(docs, size, seed))
-        classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("named"), (F.min("c2") != F.max("c2")).alias("clash"))
-        classes = materialise(classes)
-        if classes.where("clash").isEmpty():
-            break
-    links = _links(docs, size, percent, seed)
-    labels = components(links)
-    named = classes.join(labels.withColumnRenamed("id", "c"), "c", "left").select("c", "named", F.coalesce("comp", "c").alias("comp"))
-    best = named.groupBy("comp").agg(F.min("named").alias("component_id"))
-    ids = named.join(best, "comp").select("c", "component_id")
-    out = rows.join(ids, "c", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "t")
+    ship_package(docs.sparkSession)
+    found = _classify(_read(lookup.steady(docs), id_col, text_col), size, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "t")
+
+
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    return rows.withColumn("t", F.xxhash64("text"))
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their component, with all their columns: one document of each group."""
-    found = near_duplicates(docs, size, percent, id_col, text_col).where("doc_id <=> component_id")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(docs[text_col]) == found["_t"]), "left_semi")
+    """The rows of ``docs`` that name their component, with all their columns: one document of each group.
+
+    Rows that repeat an id and its text stay or go together; a null id stays
+    where its component has no other.  No text is shuffled.
+    """
+    ship_package(docs.sparkSession)
+    docs = lookup.steady(docs)
+    found = _classify(_read(docs, id_col, text_col), size, percent)
+    kept = found.where("doc_id <=> component_id").select("chunk", F.xxhash64("doc_id").alias("a"), F.col("t").alias("b")).distinct()
+    return lookup.keep(docs, kept, F.xxhash64(docs[id_col].cast("long")), F.xxhash64(docs[text_col]))
 
 
-def _links(docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
+def _links(docs: DataFrame, seen: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
     """Verified links between classes that join all that are linked."""
-    candidates = materialise(_pairs(_keys(docs, size, percent, seed), CROWD))
+    candidates = materialise(_pairs(_keys(docs, size, percent, seed, _common(seen)), CROWD))
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    texts = _texts(docs, wanted, size, seed)
+    texts = _texts(docs, seen, wanted, size, seed)
     check = lambda pairs: materialise(_verified(pairs, texts, size, percent, seed))
 
     # First each class with the one that shares most parts with it, which leaves few others apart.
-    best = candidates.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("x")).select("x.a", "b")
+    best = materialise(candidates.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("x")).select("x.a", "b"))
     links = check(best)
     rest = _apart(candidates.join(best, ["a", "b"], "left_anti"), components(links))
     links = links.unionAll(check(rest))
-    stars = candidates.where("crowded")
-    if not stars.isEmpty():
-        labels = components(links)
-        links = links.unionAll(check(_crowd_pairs(stars.select("a", "b"), labels, texts, size, percent, seed)))
-    return links
+    a, b = candidates.where("led_by_a"), candidates.where("led_by_b")
+    followers = a.select(F.col("a").alias("lead"), F.col("b").alias("c")).unionAll(b.select(F.col("b").alias("lead"), F.col("a").alias("c")))
+    if not followers.isEmpty():
+        followers = followers.unionAll(followers.select("lead", F.col("lead").alias("c"))).distinct()
+        links = links.unionAll(check(_crowd_pairs(followers, components(links), texts, size, percent, seed)))
+    out = materialise(links)
+    discard(texts, candidates)
+    return out

@@ -7,6 +7,7 @@ a whole batch of texts with a few numpy passes, never word by word.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,3 +111,28 @@ def slices(texts: list[bytes], budget: int = 1 << 22) -> Iterator[tuple[int, int
         size += len(t) + 1
     if at < len(texts):
         yield at, len(texts)
+
+
+PIECE = 1 << 22
+_BLANK = re.compile(rb"[\x09-\x0d ]")
+
+
+def pieces(text: bytes, overlap: int, budget: int = PIECE) -> Iterator[tuple[bytes, int]]:
+    """Parts of a long text of about ``budget`` bytes, and the number of words before each.
+
+    A part repeats the last ``overlap`` words of the one before it, so that each
+    run of ``overlap`` + 1 words stands in one part alone.
+    """
+    at = before = 0
+    size = budget
+    while len(text) - at > size and (blank := _BLANK.search(text, at + size)):
+        part = text[at : blank.start()]
+        words = len(part.split())
+        if words <= overlap:
+            size *= 2
+            continue
+        yield part, before
+        at += len(part.rsplit(None, overlap)[0]) if overlap else len(part)
+        before += words - overlap
+        size = budget
+    yield text[at:], before

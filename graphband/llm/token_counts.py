@@ -16,10 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from graphband.llm.text import encoded
+from graphband.llm.tokens import ENTRY, LONG, MAX_BYTES
 from graphband.session import ship_package
 
-MAX_WORDS = 800_000  # entries of a worker's table of words; it starts anew when full
-
 
 def merged_count(symbols: list[str], rank: dict[tuple[str, str], int]) -> int:
     """How many symbols are left when no adjacent pair has a rank."""
@@ -68,6 +67,7 @@ class TokenCounter:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.counts: dict[bytes, int] = {}
+        self.held = 0
 
     def _piece(self, piece: str) -> int:
         return merged_count([*piece[:-1], piece[-1] + self.end], self.rank)
@@ -89,12 +89,17 @@ class TokenCounter:
                 split.append((t if b"<|" in low else low).split())
             needed = set().union(*split)
             new = needed.difference(self.counts)
-            if new and len(self.counts) + len(new) > MAX_WORDS:
+            if new and self.held > MAX_BYTES:
                 self.counts.clear()
-                new = needed
+                self.held, new = 0, needed
             self.counts.update((w, self._word(w)) for w in new)
             get = self.counts.__getitem__
             out += [sum(map(get, words)) for words in split]
+            for w in new:
+                if len(w) > LONG:
+                    del self.counts[w]
+                else:
+                    self.held += ENTRY + len(w)
         return out
 
 

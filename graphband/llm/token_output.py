@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphband.llm.lookup import filesystem
 from graphband.llm.text import encoded
 from graphband.llm.tokens import encoder
 from graphband.session import materialise, shared_dir, ship_package
@@ -24,6 +25,7 @@ from graphband.session import materialise, shared_dir, ship_package
 MAGIC = b"GBIDS001"
 BLOCK = 1 << 16
 FILE_IDS = 1 << 22
+FILES_A_TASK = 8
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
@@ -98,7 +100,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, fil
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+        store, root = filesystem(folder)
         store.create_dir(root, recursive=True)
         tool, task = encoder(tokenizer), TaskContext.get()
         bits = max(1, (tool.size - 1).bit_length())
@@ -113,7 +115,12 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, fil
             own = f"{root}/.{name}.{task.taskAttemptId()}"
             with store.open_output_stream(own) as f:
                 f.write(dump(names, parts, bits))
-            store.move(own, f"{root}/{name}")
+            try:
+                store.move(own, f"{root}/{name}")
+            except OSError:  # some file systems do not replace what an earlier attempt has finished: the same file
+                if store.get_file_info(f"{root}/{name}").type != fs.FileType.File:
+                    raise
+                store.delete_file(own)
             row = (name, task.partitionId(), seq, sum(map(len, parts)))
             seq += 1
             names.clear()
@@ -138,8 +145,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, fil
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     files = materialise(ordered.mapInPandas(run, "file string, part long, seq long, n_ids long"))
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for millions of ids
-    return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    up_to = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", up_to(Window.orderBy("part")).alias("before"))  # a row for each task
+    return files.withColumn("inner", up_to(Window.partitionBy("part").orderBy("seq"))).join(parts, "part").select(*files.columns, (F.col("before") + F.col("inner")).alias("base"))
 
 
 def read_ids(files: DataFrame, folder: str) -> DataFrame:
@@ -147,9 +155,7 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
     ship_package(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+        store, root = filesystem(folder)
         for b in batches:
             for name, base in zip(b["file"], b["base"], strict=True):
                 with store.open_input_file(f"{root}/{name}") as f:
@@ -159,7 +165,10 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
                 sums = [zlib.crc32(flat[4 * s : 4 * e]) for s, e in zip(ids.first[:-1], ids.first[1:], strict=True)]
                 yield pd.DataFrame({"doc_id": pd.array(ids.names, "Int64"), "start": ids.first[:-1] + base, "n_tokens": lengths, "ids_crc32": pd.array(sums, "int64")})
 
-    spread = files.select("file", "base").repartition("file")
+    rows = materialise(files.select("file", "base"))
+    n = rows.count()
+    # A number of its own: these rows are so small that Spark would read all files in one task.
+    spread = rows.repartition(max(1, min(n, 64), n // FILES_A_TASK))
     return spread.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -12,7 +12,9 @@ import os
 
 import numpy as np
 
-MAX_WORDS = 800_000  # entries of a worker's table; it starts anew when full
+MAX_BYTES = 192 << 20  # of a worker's table, by estimate; it starts anew when full
+ENTRY = 150  # bytes of an entry besides its word and ids
+LONG = 256  # bytes of a word that is not kept
 _END_MARKS = b".,;:!?"
 
 
@@ -26,6 +28,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ids: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _plain(self, word: bytes) -> bytes | None:
         """Of lower-case ASCII letters, which the normaliser leaves alone and which are one pre-token: by the model itself."""
@@ -64,12 +67,17 @@ class WordEncoder:
                 split.append((t if b"<|" in low else low).split())
             needed = set().union(*split)
             new = needed.difference(self.ids)
-            if new and len(self.ids) + len(new) > MAX_WORDS:
+            if new and self.held > MAX_BYTES:
                 self.ids.clear()
-                new = needed
+                self.held, new = 0, needed
             self._learn(new)
             get = self.ids.__getitem__
             out += [b"".join(map(get, words)) for words in split]
+            for w in new:
+                if len(w) > LONG:
+                    del self.ids[w]
+                else:
+                    self.held += ENTRY + len(w) + len(self.ids[w])
         return out
 
 

