@@ -1,4 +1,8 @@
-"""Quality rules, exact dedup, near duplicates, repeated passages, packing: a corpus on its way to training."""
+"""Quality rules, exact dedup, near duplicates, repeated passages, packing: a corpus on its way to training.
+
+In each stage a null text is an empty one, a row that repeats another stays or
+goes with it, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphband.llm import exact_dedup, ngram_join, packing, quality_rules, substring_dedup
 from graphband.llm.queries import tokenizer
-from graphband.session import materialise, table
+from graphband.session import discard, materialise, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, those without ten words among them."""
     return quality_rules.keep_good(docs)
 
 
@@ -48,7 +52,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
+        discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,9 @@ Edges are (u, v, w) with u < v; nodes are (id, c) with their weight.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +71,11 @@ def best_candidates(found: DataFrame) -> DataFrame:
 
 def mutual_round(found: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, that are each other's best."""
-    best = best_candidates(found)
+    return mutual(best_candidates(found))
+
+
+def mutual(best: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of (u, v) that choose each other."""
     back = best.select(F.col("v").alias("u"), F.col("u").alias("v"))
     return best.join(back, ["u", "v"]).where("u < v").select(F.col("u").alias("a"), F.col("v").alias("b"))
 
@@ -78,31 +85,43 @@ def matching(edges: DataFrame, nodes: DataFrame, strategy: str = "modified", cap
 
     The best eligible edge is always mutual, so each round matches something.
     """
-    left, pairs = materialise(candidates(edges, nodes, strategy, cap)), None
+    left, found = materialise(candidates(edges, nodes, strategy, cap)), []
     while not left.isEmpty():
-        new = materialise(mutual_round(left))
-        pairs = new if pairs is None else materialise(pairs.unionAll(new))
-        taken = new.select(F.explode(F.array("a", "b")).alias("x"))
-        left = left.join(taken.withColumnRenamed("x", "u"), "u", "left_anti").join(taken.withColumnRenamed("x", "v"), "v", "left_anti")
-        left = materialise(left)
-    if pairs is None:
+        best = materialise(best_candidates(left))
+        pairs = mutual(best)
+        taken = pairs.select(F.explode(F.array("a", "b")).alias("x"))
+        rest = left.join(taken.withColumnRenamed("x", "u"), "u", "left_anti").join(taken.withColumnRenamed("x", "v"), "v", "left_anti")
+        columns = ["u", "v", "w", "score", "tie"]
+        both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), *[F.lit(None).alias(c) for c in columns[2:]], F.lit(True).alias("matched"))
+        both = materialise(both.unionByName(rest.select(*columns, F.lit(False).alias("matched"))))  # and one job for the rest
+        found.append(both.where("matched").select("u", "v"))
+        left = both.where("not matched").select(*columns)
+    if not found:
         return nodes.select("id", F.col("id").alias("mate"))
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("mate")).unionAll(pairs.select(F.col("b").alias("id"), F.col("a").alias("mate")))
-    return nodes.select("id").join(both, "id", "left").select("id", F.coalesce("mate", "id").alias("mate"))
+    pairs = reduce(DataFrame.unionAll, found)
+    ends = pairs.select(F.col("u").alias("id"), F.col("v").alias("mate")).unionAll(pairs.select(F.col("v").alias("id"), F.col("u").alias("mate")))
+    return nodes.select("id").join(ends, "id", "left").select("id", F.coalesce("mate", "id").alias("mate"))
 
 
-def supernodes(mates: DataFrame) -> DataFrame:
-    """(id, coarse): pairs are numbered in the order of their smaller members.
+def ranked(rows: DataFrame, by: str | list[str], name: str, step: Column | None = None) -> DataFrame:
+    """``rows`` with a column of how many rows come before, by ``by`` (or the sum of their ``step``).
 
-    Ranges of ids are numbered side by side and shifted by the counts before
-    them, so that no task sees all nodes.
+    Ranges are numbered side by side and shifted by the sums before them, so
+    that no task sees all rows.
     """
-    leads = mates.where("id <= mate").select(F.col("id").alias("lead"))
-    parts = materialise(leads.repartitionByRange("lead").sortWithinPartitions("lead").withColumn("part", F.spark_partition_id()))
-    shift = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    shift = shift.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = parts.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("lead")) - 1).join(shift, "part")
-    numbered = numbered.select("lead", (F.col("rank") + F.col("before")).cast("long").alias("coarse"))
+    by = [by] if isinstance(by, str) else by
+    step = F.lit(1) if step is None else step
+    parts = materialise(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()))
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = parts.groupBy("part").agg(F.sum(step).alias("n"))  # a row for each range
+    shift = shift.select("part", before("n", Window.orderBy("part")).alias("before"))
+    own = parts.withColumn("own", before(step, Window.partitionBy("part").orderBy(*by)))
+    return own.join(shift, "part").select(*rows.columns, (F.col("own") + F.col("before")).cast("long").alias(name))
+
+
+def supernodes(mates: DataFrame) -> DataFrame:
+    """(id, coarse): pairs are numbered in the order of their smaller members."""
+    numbered = ranked(mates.where("id <= mate").select(F.col("id").alias("lead")), "lead", "coarse")
     return mates.select("id", F.least("id", "mate").alias("lead")).join(numbered, "lead").select("id", "coarse")
 
 
@@ -116,27 +135,80 @@ def contract_nodes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "id").groupBy(F.col("coarse").alias("id")).agg(F.sum("c").alias("c"))
 
 
-def coarsen(edges: DataFrame, nodes: DataFrame, inferior: int, superior: int | None, strategy: str = "modified", cap: float | None = None, ratio: float = 0.99, max_levels: int = 30) -> tuple[list[tuple[DataFrame, DataFrame]], list[DataFrame]]:
-    """Graphs from fine to coarse and the maps (id, coarse) between them.
+def visit_order(edges: DataFrame, nodes: DataFrame, strategy: str, seed: int = 0) -> DataFrame:
+    """(id, deg, place): ``sorted`` visits nodes by weighted degree, largest first; other strategies in an order drawn by hash."""
+    n = nodes.join(weighted_degrees(edges), "id", "left").select("id", F.coalesce("deg", F.lit(0.0)).alias("deg"))
+    key = -F.col("deg") if strategy == "sorted" else F.xxhash64(F.lit(seed), "id").cast("double")
+    return ranked(n.withColumn("key", key), ["key", "id"], "place").drop("key")
+
+
+def level_row(level: int, edges: DataFrame, nodes: DataFrame, before: int | None, inferior: int, superior: int | None, accepted: bool) -> dict:
+    """What a coarsening preview says of a level."""
+    c = nodes.agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).first()
+    n = c["n"]
+    return {
+        "level": level, "nodes": n, "edges": edges.count(), "reduction_ratio": round(n / before, 4) if before else 1.0,
+        "min_weight": round(c["least"] or 0.0, 2), "max_weight": round(c["most"] or 0.0, 2),
+        "in_target_range": n >= inferior and (superior is None or n <= superior), "accepted": accepted,
+    }
 
-    Stops inside [inferior, superior], at a level that would fall below
-    ``inferior``, does not shrink, or shrinks less than ``ratio`` asks for;
-    raises where ``superior`` is set and the last level is outside.
+
+LEVEL = "level long, nodes long, edges long, reduction_ratio double, min_weight double, max_weight double, in_target_range boolean, accepted boolean"
+
+
+@dataclass
+class Chain:
+    """Graphs from fine to coarse, the maps (id, coarse) between them, why coarsening ended, and what each level tried was like."""
+
+    graphs: list[tuple[DataFrame, DataFrame]]
+    maps: list[DataFrame]
+    reason: str
+    reachable: bool
+    levels: list[dict]
+
+
+def chain(edges: DataFrame, nodes: DataFrame, inferior: int, superior: int | None, strategy: str = "modified", cap: float | None = None, ratio: float = 0.99, max_levels: int = 30) -> Chain:
+    """Coarsens until the rules stop it, whether or not the size asked for is reached.
+
+    ``max_levels`` counts the first graph.  A level below ``inferior`` is
+    refused; one that is not above ``superior`` ends the chain whatever its
+    ratio; one that does not shrink, or by less than ``ratio`` asks, is refused.
     """
     if inferior < 1 or (superior is not None and superior < inferior):
         raise ValueError("sizes must satisfy 1 <= inferior <= superior")
-    graphs, maps, n = [(edges, nodes)], [], nodes.count()
-    inside = lambda x: superior is not None and inferior <= x <= superior
-    while not inside(n) and n > inferior and len(graphs) < max_levels:
-        e, c = graphs[-1]
+    row = lambda *x: level_row(*x[:4], inferior, superior, x[4])
+    out = Chain([(edges, nodes)], [], "", False, [row(0, edges, nodes, None, True)])
+    n = out.levels[0]["nodes"]
+    if superior is not None and inferior <= n <= superior:
+        out.reason = "the first graph is in range"
+    while not out.reason and n > inferior and len(out.graphs) < max_levels:
+        e, c = out.graphs[-1]
         labels = materialise(supernodes(matching(e, c, strategy, cap)))
         coarse = materialise(contract_nodes(c, labels))
-        m = coarse.count()
-        if m < inferior or (not inside(m) and (m >= n or m / n > ratio)):
-            break
-        graphs.append((materialise(contract_edges(e, labels)), coarse))
-        maps.append(labels)
-        n = m
-    if superior is not None and not inside(n):
-        raise ValueError(f"{n} nodes are not within [{inferior}, {superior}]")
-    return graphs, maps
+        links = materialise(contract_edges(e, labels))
+        m, level = coarse.count(), len(out.graphs)
+        if m < inferior:
+            out.reason = f"level {level} would fall below the least size ({m} < {inferior})"
+        elif superior is not None and m <= superior:
+            out.reason = f"level {level} is in range"
+        elif m >= n:
+            out.reason = f"level {level} does not shrink"
+        elif m / n > ratio:
+            out.reason = f"level {level} shrinks to {m / n:.3f} only"
+        taken = not out.reason or out.reason.endswith("in range")
+        out.levels.append(row(level, links, coarse, n, taken))
+        if taken:
+            out.graphs.append((links, coarse))
+            out.maps.append(labels)
+            n = m
+    out.reachable = n >= inferior and (superior is None or n <= superior)
+    out.reason = out.reason or (f"{n} nodes reached" if out.reachable else f"{n} nodes after {len(out.graphs)} levels")
+    return out
+
+
+def coarsen(edges: DataFrame, nodes: DataFrame, inferior: int, superior: int | None, strategy: str = "modified", cap: float | None = None, ratio: float = 0.99, max_levels: int = 30) -> tuple[list[tuple[DataFrame, DataFrame]], list[DataFrame]]:
+    """The graphs and maps of ``chain``; raises where ``superior`` is set and the last level is outside."""
+    out = chain(edges, nodes, inferior, superior, strategy, cap, ratio, max_levels)
+    if superior is not None and not out.reachable:
+        raise ValueError(f"{out.levels[-1]['nodes']} nodes are not within [{inferior}, {superior}]: {out.reason}")
+    return out.graphs, out.maps

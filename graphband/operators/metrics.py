@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphband.functions.bands import band_width, percents
+from graphband.functions.bands import band_label, band_width, percents
 
 
 def shape(entries: DataFrame, n: int) -> DataFrame:
@@ -53,11 +53,49 @@ def kpis(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def permutation_check(entries: DataFrame, permuted: DataFrame, order: DataFrame, n: int, samples: int, seed: int = 0) -> DataFrame:
-    """(samples, mismatches, max_abs_err) over positions drawn by hash, with replacement, absent entries read as 0."""
-    h = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(n))
-    at = entries.sparkSession.range(samples).select("id", h(1).alias("i"), h(2).alias("j"))
+def permutation_check(entries: DataFrame, permuted: DataFrame, order: DataFrame, n: int, samples: int, seed: int = 0, tolerance: float = 0.0) -> DataFrame:
+    """(samples, mismatches, max_abs_err, sum_sampled) over positions drawn with replacement, absent entries read as 0.
+
+    Positions follow from whole-number arithmetic that every engine shares; max_abs_err is over mismatches.
+    """
+    i = (F.col("id") * 7919 + seed * 31 + F.expr("id div 7")) % n
+    j = (F.col("id") * 104_729 + seed * 17 + F.expr("id * id") % 1009) % n
+    at = entries.sparkSession.range(samples).select("id", i.alias("i"), j.alias("j"))
     at = at.join(order.select(F.col("old").alias("i"), F.col("new").alias("ni")), "i").join(order.select(F.col("old").alias("j"), F.col("new").alias("nj")), "j")
     at = at.join(entries, ["i", "j"], "left").join(permuted.select(F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("v").alias("pv")), ["ni", "nj"], "left")
-    err = F.abs(F.coalesce("v", F.lit(0.0)) - F.coalesce("pv", F.lit(0.0)))
-    return at.agg(F.count(F.lit(1)).alias("samples"), F.count_if(err > 0).alias("mismatches"), F.coalesce(F.max(err), F.lit(0.0)).alias("max_abs_err"))
+    v = F.coalesce("v", F.lit(0.0))
+    err = F.abs(v - F.coalesce("pv", F.lit(0.0)))
+    bad = err > tolerance
+    return at.agg(F.count(F.lit(1)).alias("samples"), F.count_if(bad).alias("mismatches"), F.coalesce(F.max(F.when(bad, err)), F.lit(0.0)).alias("max_abs_err"), F.coalesce(F.sum(v), F.lit(0.0)).alias("sum_sampled"))
+
+
+def long_figures(entries: DataFrame, n: int) -> DataFrame:
+    """(metric, value): n, nnz, bandwidth, average, the 200-wide band, and the shares of 100 widths by their labels."""
+    one = shape(entries, n).join(fixed_band(entries).select(F.col("within").alias("count_within_200"), F.col("fraction").alias("frac_within_200")))  # one row each
+    rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in one.columns])
+    label = F.concat(F.lit("frac_within_"), band_label(F.col("hundredths") / F.lit(100.0)))
+    return one.select(F.inline(rows)).unionAll(band_curve(entries, n).select(label, "fraction"))
+
+
+#: Sampled positions of the permutation check, by matrix.
+SAMPLES = {"K": 20_000, "M": 5_000}
+
+
+def bundle(matrices: dict[str, tuple[DataFrame, DataFrame]], order: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(matrix, variant, metric, value) of matrices (original, permuted), with each permutation check as the variant ``check``."""
+    out = None
+    for name, (a, b) in matrices.items():
+        rows = [long_figures(x, n).select(F.lit(name).alias("matrix"), F.lit(v).alias("variant"), "metric", "value") for v, x in (("original", a), ("permuted", b))]
+        check = permutation_check(a, b, order, n, SAMPLES.get(name, 5_000), seed)
+        cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in check.columns])
+        rows.append(check.select(F.lit(name).alias("matrix"), F.lit("check").alias("variant"), F.inline(cells)))
+        for r in rows:
+            out = r if out is None else out.unionAll(r)
+    return out
+
+
+def warnings(figures: DataFrame) -> DataFrame:
+    """(matrix, warning) where reordering widened the band or moved an entry wrongly."""
+    wide = figures.where("metric IN ('bandwidth', 'mismatches')").groupBy("matrix").agg(*[F.max(F.when((F.col("variant") == v) & (F.col("metric") == m), F.col("value"))).alias(a) for v, m, a in (("original", "bandwidth", "b0"), ("permuted", "bandwidth", "b1"), ("check", "mismatches", "bad"))])
+    found = F.array(F.when(F.col("b1") > F.col("b0"), "bandwidth grew"), F.when(F.col("bad") > 0, "entries differ"))
+    return wide.select("matrix", F.explode(F.array_compact(found)).alias("warning"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphband.operators.graph import symmetric, weighted_degrees
+from graphband.functions import guards
+from graphband.operators.graph import ranked, symmetric, weighted_degrees
 from graphband.session import materialise
 
 
@@ -21,6 +22,7 @@ def edge_cut(edges: DataFrame, part: DataFrame) -> DataFrame:
 
 def part_weights(nodes: DataFrame, part: DataFrame, k: int) -> DataFrame:
     """(p, weight) of parts 0..k-1, empty ones too; ids outside count as part 0."""
+    nodes = nodes.select("id", guards.balance_weight(F.col("c")).alias("c"))
     p = F.when(F.col("p").between(0, k - 1), F.col("p")).otherwise(0)
     sums = nodes.join(part, "id").groupBy(p.alias("p")).agg(F.sum("c").alias("weight"))
     return nodes.sparkSession.range(k).withColumnRenamed("id", "p").join(sums, "p", "left").select("p", F.coalesce("weight", F.lit(0.0)).alias("weight"))
@@ -60,9 +62,43 @@ def integer_weights(nodes: DataFrame, most: int = 1_000_000) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """(id, degree, neighbours sorted by id): rows of a compressed adjacency."""
-    s = symmetric(edges)
-    return s.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("degree"), F.array_join(F.sort_array(F.collect_list("v")), ",").alias("neighbours"))
+    """(id, degree, start, neighbours, weights): rows of a compressed adjacency, by id; start counts the entries of smaller ids.
+
+    Prefix sums run side by side over ranges of ids.
+    """
+    s = symmetric(edges).groupBy(F.col("u").alias("id")).agg(F.sort_array(F.collect_list(F.struct("v", "w"))).alias("x"))
+    s = s.select("id", F.size("x").cast("long").alias("degree"), F.array_join("x.v", ",").alias("neighbours"), F.array_join(F.transform("x.w", lambda w: w.cast("long")), ",").alias("weights"))
+    return ranked(s, "id", "start", F.col("degree"))
+
+
+def qubo_quadratic(edges: DataFrame, nodes: DataFrame, balance: float = 1.0) -> DataFrame:
+    """(u, v, q) of pairs with an edge: 2 * balance * c_u * c_v - 2 * w / scale.
+
+    All other pairs have the first term alone, a product of two numbers of
+    nodes; it is kept as the nodes' shares and never written out.
+    """
+    return _quadratic(edges, nodes, balance).select("u", "v", F.round("q", 9).alias("q")).where("q <> 0")
+
+
+def _quadratic(edges: DataFrame, nodes: DataFrame, balance: float) -> DataFrame:
+    n, scale = _shares(edges, nodes)
+    a, b = n.select(F.col("id").alias("u"), F.col("share").alias("cu")), n.select(F.col("id").alias("v"), F.col("share").alias("cv"))
+    e = edges.join(a, "u").join(b, "v").join(F.broadcast(scale))  # one row
+    return e.select("u", "v", (2 * balance * F.col("cu") * F.col("cv") - 2 * F.col("w") / F.col("scale")).alias("q"))
+
+
+def ising_couplings(edges: DataFrame, nodes: DataFrame, balance: float = 1.0) -> DataFrame:
+    """(u, v, j) of pairs with an edge: a quarter of the quadratic term."""
+    return _quadratic(edges, nodes, balance).select("u", "v", F.round(F.col("q") / 4, 9).alias("j")).where("j <> 0")
+
+
+def _shares(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, share) of all weight and (scale): the edges' summed magnitudes; 1 where a sum is not positive."""
+    positive = lambda x: F.when(x > 0, x).otherwise(1.0)
+    total = nodes.agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("total"))
+    n = nodes.join(F.broadcast(total))  # one row
+    share = F.when(F.col("total") > 0, F.col("c") / F.col("total")).otherwise(1.0)
+    return n.select("id", share.alias("share")), edges.agg(positive(F.coalesce(F.sum(F.abs("w")), F.lit(0.0))).alias("scale"))
 
 
 def qubo_linear(edges: DataFrame, nodes: DataFrame, balance: float = 1.0, target: float = 0.5) -> DataFrame:
@@ -86,6 +122,36 @@ def connectivity(edges: DataFrame, part: DataFrame) -> DataFrame:
     return with_parts(symmetric(edges), part).groupBy(F.col("u").alias("id"), F.col("pv").alias("p")).agg(F.sum("w").alias("w"))
 
 
+def move_scores(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, objective: str = "cut", balance: float = 0.0) -> DataFrame:
+    """(id, source, target, gain, score) of moves to a neighbouring part that keep both parts within bounds.
+
+    ``cut_balance`` subtracts ``balance`` times the change in the two parts'
+    squared deviations from an even share; ``cut`` scores by the gain alone.
+    Of equal scores both are listed.
+    """
+    if objective not in ("cut", "cut_balance"):
+        raise ValueError(f"unknown objective {objective!r}")
+    b = bounds(part_weights(nodes, part, k), k, tolerance)
+    conn = connectivity(edges, part)
+    own = part.select("id", F.col("p").alias("source")).join(nodes.select("id", guards.node_weight(F.col("c")).alias("c")), "id")
+    here = conn.join(own, "id").where("p = source").select("id", F.col("w").alias("here"))
+    x = conn.withColumnRenamed("p", "target").join(own, "id").where("target <> source").join(here, "id", "left")
+    for end in ("source", "target"):
+        x = x.join(b.select(F.col("p").alias(end), F.col("weight").alias(f"w_{end}"), F.col("lower").alias(f"lower_{end}"), F.col("upper").alias(f"upper_{end}")), end)
+    x = x.where("w_source - c >= lower_source AND w_target + c <= upper_target")
+    gain = F.col("w") - F.coalesce("here", F.lit(0.0))
+    # (a - c - t)^2 + (b + c - t)^2 - (a - t)^2 - (b - t)^2, in which the share t cancels
+    change = 2 * F.col("c") * (F.col("w_target") - F.col("w_source") + F.col("c"))
+    x = x.withColumn("gain", gain).withColumn("score", gain - balance * change if objective == "cut_balance" else gain)
+    return x.where("score > 0").select("id", "source", "target", "gain", "score")
+
+
+def best_by_score(moves: DataFrame) -> DataFrame:
+    """Each node's best move; the smaller part on ties."""
+    best = moves.groupBy("id", "source").agg(F.max(F.struct("score", (-F.col("target")).alias("t"), "gain")).alias("x"))
+    return best.select("id", "source", (-F.col("x.t")).alias("target"), "x.gain", "x.score")
+
+
 def best_moves(edges: DataFrame, part: DataFrame) -> DataFrame:
     """(id, source, target, gain) of nodes whose best move makes the cut smaller; the smaller part on ties."""
     conn = connectivity(edges, part)
@@ -103,11 +169,8 @@ def project(labels: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def node_order(part: DataFrame) -> DataFrame:
-    """(old, new): nodes by part, then id.  Parts are ranked side by side and shifted by the sizes before them."""
-    sizes = part.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each part
-    rank: Column = F.row_number().over(Window.partitionBy("p").orderBy("id")) - 1
-    return part.withColumn("rank", rank).join(sizes.select("p", before.alias("before")), "p").select(F.col("id").alias("old"), (F.col("rank") + F.col("before")).cast("long").alias("new"))
+    """(old, new): nodes by part, then id.  Ranges of (part, id) are numbered side by side, so that a large part is not one task's."""
+    return ranked(part.select("p", F.col("id").alias("old")), ["p", "old"], "new").select("old", "new")
 
 
 def expand(order: DataFrame, d: int) -> DataFrame:
@@ -151,29 +214,71 @@ def ising_fields(edges: DataFrame, nodes: DataFrame, balance: float = 1.0, targe
     return n.select("id", F.when(h == 0, 0.0).otherwise(h).alias("h"))
 
 
-def independent_moves(edges: DataFrame, part: DataFrame) -> DataFrame:
-    """Best moves that beat those of all their neighbours by (gain, id), so that their gains add up."""
-    moves = best_moves(edges, part)
-    near = symmetric(edges).join(moves.select(F.col("id").alias("u"), F.col("gain").alias("gu")), "u").join(moves.select(F.col("id").alias("v"), F.col("gain").alias("gv")), "v")
+def bisection_energies(edges: DataFrame, nodes: DataFrame, sides: DataFrame, balance: float = 1.0, target: float = 0.5) -> DataFrame:
+    """(sample, energy) of many bisections (sample, id, x) under the quadratic model."""
+    n, scale = _shares(edges, nodes)
+    share = sides.join(n, "id").groupBy("sample").agg(F.sum(F.col("share") * F.col("x")).alias("m"))
+    a, b = sides.select("sample", F.col("id").alias("u"), F.col("x").alias("xu")), sides.select("sample", F.col("id").alias("v"), F.col("x").alias("xv"))
+    cut = edges.join(a, "u").join(b, ["sample", "v"]).groupBy("sample").agg(F.sum(F.when(F.col("xu") != F.col("xv"), F.col("w")).otherwise(0.0)).alias("cut"))
+    x = share.join(cut, "sample", "left").join(F.broadcast(scale))  # one row
+    return x.select("sample", (F.coalesce("cut", F.lit(0.0)) / F.col("scale") + balance * (F.col("m") * F.col("m") - 2 * target * F.col("m"))).alias("energy"))
+
+
+def independent(edges: DataFrame, moves: DataFrame) -> DataFrame:
+    """Moves that beat those of all their neighbours by (score, id), so that their gains add up."""
+    near = symmetric(edges).join(moves.select(F.col("id").alias("u"), F.col("score").alias("gu")), "u").join(moves.select(F.col("id").alias("v"), F.col("score").alias("gv")), "v")
     beaten = near.where("gv > gu OR (gv = gu AND v > u)").select(F.col("u").alias("id")).distinct()
     return moves.join(beaten, "id", "left_anti")
 
 
-def admitted_moves(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float) -> DataFrame:
-    """Independent moves, best first, while what leaves a part and what enters one keep to the bounds."""
-    b = bounds(part_weights(nodes, part, k), k, tolerance)
-    moves = independent_moves(edges, part).join(nodes, "id")
-    order = lambda p: Window.partitionBy(p).orderBy(F.desc("gain"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    out = moves.withColumn("leaves", F.sum("c").over(order("source"))).withColumn("enters", F.sum("c").over(order("target")))
-    out = out.join(b.select(F.col("p").alias("source"), (F.col("weight") - F.col("lower")).alias("spare")), "source").join(b.select(F.col("p").alias("target"), (F.col("upper") - F.col("weight")).alias("room")), "target")
-    return out.where("leaves <= spare AND enters <= room").select("id", "source", "target", "gain")
+def independent_moves(edges: DataFrame, part: DataFrame) -> DataFrame:
+    """Best moves by cut that do not touch each other."""
+    return independent(edges, best_moves(edges, part).withColumn("score", F.col("gain"))).drop("score")
 
 
-def refine(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, passes: int = 10) -> DataFrame:
-    """The partition after passes of admitted moves, until there is none; the cut never grows and bounds hold once they do."""
+def admitted_moves(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, objective: str = "cut", balance: float = 0.0, most: int | None = None) -> DataFrame:
+    """Independent moves, best first, while what leaves a part and what enters one keep to the bounds.
+
+    Under ``cut_balance`` penalties do not add up, so one move at most leaves
+    and enters each part.  Of ``most`` moves the best are taken.  The running
+    sums of a part are those of its movers alone.
+    """
+    b = materialise(bounds(part_weights(nodes, part, k), k, tolerance))
+    moves = independent(edges, materialise(best_by_score(move_scores(edges, nodes, part, k, tolerance, objective, balance))))
+    moves = moves.join(nodes.select("id", guards.node_weight(F.col("c")).alias("c")), "id")
+    order = lambda p: Window.partitionBy(p).orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    if objective == "cut_balance":
+        # A part whose best move out is another part's second best in waits for the next pass.
+        out = moves.withColumn("o", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "id"))).where("o = 1")
+        out = out.withColumn("i", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "id"))).where("i = 1")
+        # A part that both gives and takes has two changes: only the better one stands.
+        ends = out.select("id", "score", F.explode(F.array("source", "target")).alias("p"))
+        lost = ends.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score"), "id"))).where("r > 1").select("id").distinct()
+        out = out.join(lost, "id", "left_anti")
+    else:
+        out = moves.withColumn("leaves", F.sum("c").over(order("source"))).withColumn("enters", F.sum("c").over(order("target")))
+        out = out.join(b.select(F.col("p").alias("source"), (F.col("weight") - F.col("lower")).alias("spare")), "source").join(b.select(F.col("p").alias("target"), (F.col("upper") - F.col("weight")).alias("room")), "target")
+        out = out.where("leaves <= spare AND enters <= room")
+    if most is not None:
+        out = out.orderBy(F.desc("score"), "id").limit(most)
+    return out.select("id", "source", "target", "gain", "score")
+
+
+def moved(part: DataFrame, moves: DataFrame) -> DataFrame:
+    return part.join(moves.select("id", "target"), "id", "left").select("id", F.coalesce("target", "p").cast("long").alias("p"))
+
+
+def refine(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, passes: int = 10, objective: str = "cut", balance: float = 0.0, most: int | None = None) -> DataFrame:
+    """The partition after passes of admitted moves, until there is none; the cut never grows under ``cut`` and bounds hold once they do.
+
+    One part or none is one part of all.
+    """
+    if k <= 1:
+        return nodes.select("id", F.lit(0).cast("long").alias("p"))
+    edges = edges.select("u", "v", guards.edge_weight(F.col("w")).alias("w"))
     for _ in range(passes):
-        moves = materialise(admitted_moves(edges, nodes, part, k, tolerance))
+        moves = materialise(admitted_moves(edges, nodes, part, k, tolerance, objective, balance, most))
         if moves.isEmpty():
             break
-        part = materialise(part.join(moves.select("id", "target"), "id", "left").select("id", F.coalesce("target", "p").alias("p")))
+        part = materialise(moved(part, moves))
     return part

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,144 @@ def curve_by_method(curves: dict[str, DataFrame]) -> DataFrame:
         one = curve.select("hundredths", F.when(F.col("hundredths") == 0, 0.0).otherwise(F.col("fraction")).alias(name))
         out = one if out is None else out.join(one, "hundredths", "full")
     return out
+
+
+#: Variants of a figure, in the order of columns.
+VARIANTS = ("original", "permuted")
+
+
+def wide(metrics: DataFrame, names: tuple[str, ...], variants: tuple[str, ...] = VARIANTS) -> DataFrame:
+    """(run_id, matrix, <name>_<variant>): one row for each run's matrix of long figures (run_id, matrix, variant, metric, value)."""
+    cell = lambda m, v: F.max(F.when((F.col("metric") == m) & (F.col("variant") == v), F.col("value"))).alias(f"{key(m)}_{v}")
+    return metrics.groupBy("run_id", "matrix").agg(*[cell(m, v) for m in names for v in variants])
+
+
+def key(metric: str) -> str:
+    """``frac_within_0.1%`` as a column's name: ``frac_0_1pct``."""
+    return metric.replace("frac_within_", "frac_").replace(".", "_").replace("%", "pct")
+
+
+def kpi_summary(metrics: DataFrame, bands: tuple[str, ...]) -> DataFrame:
+    """Key figures of each run's matrix: bandwidth and n * bandwidth ** 2 with their reductions in percent, shares within bands; null where the base is missing or 0."""
+    w = wide(metrics, ("n", "nnz", "bandwidth", "avg_bandwidth", *[f"frac_within_{b}%" for b in bands]))
+    n = F.coalesce("n_original", "n_permuted")
+    b0, b1 = F.col("bandwidth_original"), F.col("bandwidth_permuted")
+    nb2 = lambda b: F.when(b0.isNotNull() & b1.isNotNull(), n * b * b)
+    less = lambda a, b: F.when(a > 0, F.round(100.0 * (a - b) / a, 6))
+    w = w.withColumn("n", n).withColumn("nb2_original", nb2(b0)).withColumn("nb2_permuted", nb2(b1))
+    w = w.withColumn("bandwidth_reduction_pct", less(b0, b1)).withColumn("nb2_reduction_pct", less(F.col("nb2_original"), F.col("nb2_permuted")))
+    return w.drop("n_original", "n_permuted")
+
+
+def curve_series(metrics: DataFrame, strict: bool = False) -> DataFrame:
+    """(run_id, matrix, percent, original, permuted): shares on either side, 0 where a side is missing; ``strict`` keeps points with both."""
+    x = metrics.where("metric LIKE 'frac_within_%' AND metric LIKE '%\\%'")
+    x = x.withColumn("percent", F.regexp_extract("metric", r"([0-9.]+)%$", 1).cast("double"))
+    side = lambda v: F.max(F.when(F.col("variant") == v, F.col("value")))
+    found = x.groupBy("run_id", "matrix", "percent").agg(*[side(v).alias(v) for v in VARIANTS])
+    return found.dropna(subset=VARIANTS) if strict else found.fillna(0.0, subset=VARIANTS)
+
+
+def batch_summary(cases: DataFrame, metrics: DataFrame, bands: tuple[str, ...], matrices: tuple[str, ...] = ("K", "M")) -> DataFrame:
+    """All cases, with the figures of those that left a result."""
+    names = ("bandwidth", "avg_bandwidth", "nnz", *[f"frac_within_{b}%" for b in bands])
+    cell = lambda x, m, v, a: F.max(F.when((F.col("matrix") == x) & (F.col("metric") == m) & (F.col("variant") == v), F.col("value"))).alias(a)
+    cells = [cell(x, m, v, f"{x}_{key(m)}_{v}") for x in matrices for m in names for v in VARIANTS]
+    cells += [cell(x, m, "check", f"{x}_permutation_{m}") for x in matrices for m in ("mismatches", "max_abs_err")]
+    figures = metrics.groupBy("run_id").agg(*cells).withColumn("result_dir", F.concat(F.lit("run_"), F.col("run_id").cast("string"))).drop("run_id")
+    return cases.join(figures, "result_dir", "left")
+
+
+def status_counts(cases: DataFrame) -> DataFrame:
+    """A row for each batch: cases by status, geometries, newest start."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    return cases.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("total_cases"), count("completed").alias("completed_cases"), count("failed").alias("failed_cases"), count("running").alias("running_cases"),
+        F.array_join(F.sort_array(F.collect_set("geometry")), ",").alias("geometries"), F.max("started").alias("newest"), F.max(F.col("status") == "failed").alias("any_failed"),
+    )
+
+
+def completed(cases: DataFrame, geometry: str | None = None) -> DataFrame:
+    """Finished cases that left a result; of one geometry by its name or by the case key's start."""
+    out = cases.where("status = 'completed' AND result_dir <> ''")
+    return out if geometry is None else out.where((F.col("geometry") == geometry) | F.startswith("case_key", F.lit(f"{geometry}__")))
+
+
+def runs_listing(cases: DataFrame, kpis: DataFrame) -> DataFrame:
+    """A row for each geometry: runs, latest run (by start, then id) and its key figures, null where it left none."""
+    latest = cases.groupBy("geometry").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "completed").alias("completed"), F.max(F.struct("started", "run_id", "status")).alias("x"))
+    latest = latest.select("geometry", "runs", "completed", F.col("x.run_id").alias("run_id"), F.col("x.status").alias("latest_status"))
+    return latest.join(kpis.where("matrix = 'K'").select("run_id", "bandwidth_original", "bandwidth_permuted", "bandwidth_reduction_pct"), "run_id", "left")
+
+
+def analysis_curves(cases: DataFrame, metrics: DataFrame, algorithms: tuple[str, ...]) -> DataFrame:
+    """(geometry, matrix, size, percent, original, one column for each algorithm): shares of the first finished case of each; 0 at 0 %."""
+    done = completed(cases)
+    first = done.groupBy("geometry", "size", "algorithm").agg(F.min("run_id").alias("run_id"))
+    shown = curve_series(metrics).join(first, "run_id")
+    by = ["geometry", "matrix", "size", "percent"]
+    cell = lambda a: F.max(F.when(F.col("algorithm") == a, F.col("permuted"))).alias(a)
+    out = shown.groupBy(*by).agg(F.min_by("original", "run_id").alias("original"), *map(cell, algorithms))
+    zero = out.select("geometry", "matrix", "size").distinct().select("*", F.lit(0.0).alias("percent"), F.lit(0.0).alias("original"), *[F.lit(0.0).alias(a) for a in algorithms])
+    return out.unionByName(zero)
+
+
+def overlay(cases: DataFrame, metrics: DataFrame, a: str, b: str, matrix: str = "K") -> DataFrame:
+    """(geometry, size, percent, a, b): two algorithms' curves where both have a finished case of one geometry and size."""
+    first = completed(cases).where(F.col("algorithm").isin(a, b)).groupBy("geometry", "size", "algorithm").agg(F.min("run_id").alias("run_id"))
+    x = curve_series(metrics).where(F.col("matrix") == matrix).join(first, "run_id")
+    one = lambda v, to: x.where(F.col("algorithm") == v).select("geometry", "size", "percent", F.col("permuted").alias(to))
+    return one(a, "a").join(one(b, "b"), ["geometry", "size", "percent"])
+
+
+def report_rows(cases: DataFrame, kpis: DataFrame, sizes: tuple[str, ...]) -> DataFrame:
+    """Lines of a printed table, in order: geometry, size, algorithm, and figures as text; N/A where there is none."""
+    text = lambda c, f, kind="double": F.coalesce(F.format_string(f, F.col(c).cast(kind)), F.lit("N/A"))
+    shown = lambda c, x: F.when(F.col(c).isNull(), F.lit("N/A")).otherwise(x)
+    x = completed(cases).join(kpis.where("matrix = 'K'"), "run_id", "left")
+    rank = F.array_position(F.array(*map(F.lit, sizes)), F.col("size"))
+    cells = [("bandwidth_original", "%d", "long"), ("bandwidth_permuted", "%d", "long"), ("bandwidth_reduction_pct", "%.2f", "double"), ("frac_0_4pct_permuted", "%.4f", "double")]
+    return x.select("geometry", rank.cast("long").alias("size_rank"), "algorithm", "run_id", *[shown(c, text(c, f, k)).alias(c) for c, f, k in cells])
+
+
+def differences(a: DataFrame, b: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(doc, label, a, b) where two sets of flat documents (doc, columns) differ; absent ones are null."""
+    both = a.alias("a").join(b.alias("b"), F.col("a.doc") == F.col("b.doc"), "full")
+    rows = F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"a.{c}").alias("a"), F.col(f"b.{c}").alias("b")) for c in columns])
+    return both.select(F.coalesce("a.doc", "b.doc").alias("doc"), F.inline(rows)).where("NOT a <=> b")
+
+
+def with_fallback(wanted: DataFrame, templates: DataFrame) -> DataFrame:
+    """Each wanted (geometry, algorithm, size) with the template run that fits best: exact, same geometry and algorithm, same geometry, any."""
+    first = lambda *by: templates.groupBy(*by).agg(F.min("run_id").alias("r"))
+    out = wanted
+    for i, by in enumerate((("geometry", "algorithm", "size"), ("geometry", "algorithm"), ("geometry",))):
+        out = out.join(first(*by).withColumnRenamed("r", f"r{i}"), list(by), "left")
+    out = out.join(templates.agg(F.min("run_id").alias("r3")))  # one row
+    level = F.when(F.col("r0").isNotNull(), "exact").when(F.col("r1").isNotNull(), "algorithm").when(F.col("r2").isNotNull(), "geometry").otherwise("any")
+    return out.select(*wanted.columns, F.coalesce("r0", "r1", "r2", "r3").alias("run_id"), level.alias("match"))
+
+
+def latest_state(transitions: DataFrame) -> DataFrame:
+    """(case_id, state, at, transitions, failures): where each case stands after all its transitions."""
+    return transitions.groupBy("case_id").agg(F.max_by("state", F.struct("at", "seq")).alias("state"), F.max("at").alias("at"), F.count(F.lit(1)).alias("transitions"), F.count_if(F.col("state") == "failed").alias("failures"))
+
+
+def probe_limits(attempts: DataFrame) -> DataFrame:
+    """(unit, widest_ok, narrowest_failed, attempts)."""
+    return attempts.groupBy("unit").agg(F.max(F.when(F.col("ok"), F.col("width"))).alias("widest_ok"), F.min(F.when(~F.col("ok"), F.col("width"))).alias("narrowest_failed"), F.count(F.lit(1)).alias("attempts"))
+
+
+def newest_runs(cases: DataFrame, n: int = 3) -> DataFrame:
+    """The n newest runs of each geometry, with their keys cut to 16 characters; Spark cuts each task's rows to n before it shuffles them."""
+    newest = cases.withColumn("r", F.row_number().over(Window.partitionBy("geometry").orderBy(F.desc("started"), F.desc("run_id")))).where(F.col("r") <= n)
+    short = F.when(F.length("case_key") > 16, F.concat(F.substring("case_key", 1, 13), F.lit("..."))).otherwise(F.col("case_key"))
+    return newest.select("geometry", F.col("r").cast("long").alias("place"), "run_id", short.alias("label"))
+
+
+def thinned(points: DataFrame, by: list[str], order: str, most: int) -> DataFrame:
+    """About ``most`` points of each curve, evenly spread, with its last."""
+    w = Window.partitionBy(*by)
+    x = points.withColumn("r", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / most))
+    return x.where((F.col("r") % step == 0) | (F.col("r") == F.col("n") - 1)).drop("r", "n")

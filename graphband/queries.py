@@ -146,7 +146,7 @@ def metis_int_weights(s, d):
     return partition.integer_weights(_graph(s, d)[1])
 
 
-@_add(f"WITH {KM}{GRAPH} SELECT u AS id, CAST(count(*) AS BIGINT) AS degree, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS neighbours FROM sym GROUP BY u")
+@_add(f"WITH {KM}{GRAPH}, x AS (SELECT u AS id, CAST(count(*) AS BIGINT) AS degree, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS neighbours, string_agg(CAST(CAST(w AS BIGINT) AS VARCHAR), ',' ORDER BY v) AS weights FROM sym GROUP BY u) SELECT *, CAST(coalesce(sum(degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM x")
 def csr_adjacency(s, d):
     return partition.adjacency(_graph(s, d)[0])
 
@@ -212,9 +212,9 @@ def locality_before_after(s, d):
     return locality.before_after(s, d)
 
 
-@_add(f"WITH {KM} SELECT CAST(20000 AS BIGINT) AS samples, CAST(0 AS BIGINT) AS mismatches, CAST(0 AS DOUBLE) AS max_abs_err")
+@_add(f"WITH {KM}{PART}, s AS (SELECT id, (id * 7919 + id // 7) % n AS i, (id * 104729 + (id * id) % 1009) % n AS j FROM unnest(range(0, 20000)) AS t(id), meta), x AS (SELECT coalesce(k.v, 0) AS v, coalesce(pm.v, 0) AS pv FROM s JOIN ord a ON s.i = a.old JOIN ord b ON s.j = b.old LEFT JOIN k ON k.i = s.i AND k.j = s.j LEFT JOIN pm ON pm.i = a.new AND pm.j = b.new) SELECT CAST(count(*) AS BIGINT) AS samples, CAST(count(*) FILTER (v <> pv) AS BIGINT) AS mismatches, CAST(coalesce(max(abs(v - pv)) FILTER (v <> pv), 0) AS DOUBLE) AS max_abs_err, CAST(sum(v) AS DOUBLE) AS sum_sampled FROM x")
 def permutation_check(s, d):
-    k, order = derived.k_part(s, d), partition.node_order(derived.p_brand(s, d))
+    k, order = materialise(derived.k_part(s, d)), partition.node_order(derived.p_brand(s, d))
     return metrics.permutation_check(k, partition.permute(k, order), order, derived.size(s, d), 20_000)
 
 
@@ -245,9 +245,10 @@ SIDE = ", sd AS (SELECT id, id % 2 AS x FROM nodes), tot AS (SELECT sum(abs(w))
 MOVES = ", co AS (SELECT s.u AS id, b.p, sum(w) AS w FROM sym s JOIN np b ON s.v = b.id GROUP BY 1, 2), mv AS (SELECT co.id, np.p AS source, co.p AS target, co.w - coalesce(h.w, 0) AS gain FROM co JOIN np ON co.id = np.id AND co.p <> np.p LEFT JOIN co h ON h.id = np.id AND h.p = np.p QUALIFY row_number() OVER (PARTITION BY co.id ORDER BY co.w - coalesce(h.w, 0) DESC, co.p) = 1), gd AS (SELECT * FROM mv WHERE gain > 0)"
 
 
-@_add(f"WITH {KM}{PART} SELECT x.id, 'missing' AS problem FROM (SELECT unnest(range(0, (SELECT n FROM meta))) AS id) x WHERE x.id NOT IN (SELECT id FROM brand) UNION ALL SELECT id, 'extra' FROM brand WHERE id < 0 OR id >= (SELECT n FROM meta)")
+@_add(f"WITH {KM}, h AS (SELECT CAST(p_partkey AS BIGINT) AS id FROM part WHERE p_partkey % 10 <> 3 UNION ALL SELECT CAST(p_partkey AS BIGINT) + (SELECT n FROM meta) FROM part WHERE p_partkey % 10 <> 3 AND p_partkey % 97 = 0) SELECT x.id, 'missing' AS problem FROM (SELECT unnest(range(0, (SELECT n FROM meta))) AS id) x WHERE x.id NOT IN (SELECT id FROM h) UNION ALL SELECT id, 'extra' FROM h WHERE id < 0 OR id >= (SELECT n FROM meta)")
 def coverage_missing_extra(s, d):
-    return partition.coverage(derived.p_brand(s, d), derived.size(s, d))
+    n = derived.size(s, d)
+    return partition.coverage(derived.p_holes(s, d, n), n)
 
 
 @_add(f"WITH {KM}{GRAPH}{SIDE}, q AS (SELECT a.x AS xa, b.x AS xb, 2 * (n1.c / total) * (n2.c / total) - 2 * coalesce(e.w, 0) / scale AS q FROM nodes n1 JOIN nodes n2 ON n1.id < n2.id JOIN sd a ON a.id = n1.id JOIN sd b ON b.id = n2.id LEFT JOIN e ON e.u = n1.id AND e.v = n2.id CROSS JOIN tot CROSS JOIN wt), li2 AS (SELECT sum(x * (coalesce(g.deg, 0) / scale + (c / total) * (c / total) - c / total)) AS l FROM nodes JOIN sd USING (id) LEFT JOIN (SELECT u AS id, sum(w) AS deg FROM sym GROUP BY u) g USING (id) CROSS JOIN tot CROSS JOIN wt) SELECT round(l + (SELECT sum(q * xa * xb) FROM q), 6) AS energy FROM li2")

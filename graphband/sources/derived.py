@@ -54,3 +54,10 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.unix_timestamp("ts")
     unit = F.when(F.col("event_id") % 7 != 0, F.col("event_type"))
     return e.select(F.col("event_id").cast("long").alias("job"), unit.alias("unit"), (F.col("event_id") % 32).cast("long").alias("qubits"), start.alias("started"), (start + (F.col("event_id") % 100).cast("long") - 10).alias("ended"))
+
+
+def p_holes(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """A partition that leaves out some rows and names others that do not exist."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") % 25).cast("long").alias("p"))
+    some = part.where("id % 10 <> 3")
+    return some.unionAll(some.where("id % 97 = 0").select((F.col("id") + n).alias("id"), "p"))

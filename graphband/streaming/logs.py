@@ -48,3 +48,52 @@ def stream_levels(spark: SparkSession, folder: str, minutes: int = 5) -> DataFra
     """Level counts by time window over text files that arrive in ``folder`` (columns job_id, seq, value as JSON lines)."""
     raw = spark.readStream.schema("job_id long, seq long, value string").json(folder)
     return parse(raw).withWatermark("ts", "10 minutes").groupBy(F.window("ts", f"{minutes} minutes").alias("span"), "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: What run messages say, as regular expressions with the numbers in groups, by telemetry name.
+TELEMETRY = {
+    "initial_nodes": (r"Graph G_K with (\d+) nodes and (\d+) edges", 1),
+    "initial_edges": (r"Graph G_K with (\d+) nodes and (\d+) edges", 2),
+    "coarse_nodes": (r"Coarse graph has (\d+) nodes and (\d+) edges with (\d+) levels", 1),
+    "coarse_edges": (r"Coarse graph has (\d+) nodes and (\d+) edges with (\d+) levels", 2),
+    "coarsening_levels": (r"Coarse graph has (\d+) nodes and (\d+) edges with (\d+) levels", 3),
+    "coarse_parts": (r"Partitioning on coarse graph produced (\d+) parts", 1),
+}
+
+
+def telemetry(parsed: DataFrame) -> DataFrame:
+    """A row for each job: the last number of each kind that its lines name, its last result folder and first error."""
+    order = F.struct("ts", "seq")
+    number = lambda rx, g: F.nullif(F.regexp_extract("message", rx, g), F.lit("")).cast("long")
+    last = [F.max_by(number(rx, g), F.when(number(rx, g).isNotNull(), order)).alias(name) for name, (rx, g) in TELEMETRY.items()]
+    saved = F.nullif(F.regexp_extract("message", r"Results saved in (.+)$", 1), F.lit(""))
+    bad = F.col("level") == "ERROR"
+    return parsed.groupBy("job_id").agg(*last, F.max_by(saved, F.when(saved.isNotNull(), order)).alias("result_dir"), F.min_by("message", F.when(bad, order)).alias("first_error"))
+
+
+def progress(parsed: DataFrame) -> DataFrame:
+    """(job_id, stage, percent): the stage each job is in, and 18 percent for each stage begun, 95 at most."""
+    index = F.lit(None).cast("int")
+    for i, (name, _) in enumerate(STAGES):
+        index = F.when(F.col("stage") == name, i).otherwise(index)
+    now = parsed.where("stage is not null").groupBy("job_id").agg(F.max_by("stage", F.struct("ts", "seq")).alias("stage"))
+    return now.select("job_id", "stage", F.least(F.lit(95), (index + 1) * 18).cast("long").alias("percent"))
+
+
+def tail(parsed: DataFrame, n: int = 40, characters: int = 400) -> DataFrame:
+    """(job_id, text): the end of each job's log, of its last ``n`` lines."""
+    last = parsed.withColumn("r", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("seq")))).where(F.col("r") <= n)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]), "\n")
+    return last.groupBy("job_id").agg(text.alias("t")).select("job_id", F.substring("t", -characters, characters).alias("text"))
+
+
+def push(spark: SparkSession, folder: str, checkpoint: str, send, interval: str = "400 milliseconds"):
+    """A running query that hands each batch of new lines' telemetry to ``send``; offsets stand in ``checkpoint``, so that a restart goes on where it stopped."""
+    raw = spark.readStream.schema("job_id long, seq long, value string").json(folder)
+    out = raw.writeStream.foreachBatch(lambda batch, number: send(number, telemetry(parse(batch)))).option("checkpointLocation", checkpoint)
+    return out.trigger(processingTime=interval).start()
+
+
+def line(level: str, message: str, at: str) -> str:
+    """A log line in the form that ``parse`` reads."""
+    return f"[{at}] [{level}] {message}"
