@@ -148,6 +148,36 @@ def test_substring_dedup(docs, empty):
     assert cut.columns == docs.columns and cut.count() == docs.count()
 
 
+def test_factors_are_greedy():
+    """Blocks of one word each: a factor goes on while the next block follows in its source, and takes the longer of two sources."""
+    low = [0, 1, 2, 3, 9]
+    assert substring_dedup.factors(low, low, [0, 1, 2, 3, 9], [100, 101, 500, 501, 7], [300, 301, 302, 900, 7]) == [(0, 2, 300), (3, 3, 501), (9, 9, 7)]
+    assert substring_dedup.factors([5], [8], [77], [77], [77]) == [(5, 8, 77)]  # a row that is there twice
+
+
+def test_long_texts_in_pieces():
+    """Every run of overlap + 1 words stands in one piece alone."""
+    from graphband.llm.text import pieces
+
+    rng = random.Random(1)
+    text = b" ".join(b"w%d" % rng.randint(0, 10**6) * rng.choice((1, 1, 9)) for _ in range(2000))
+    words, seen = text.split(), []
+    for part, before in pieces(text, 4, budget=300):
+        own = part.split()
+        seen += [before + i for i in range(len(own) - 4)]
+        assert own == words[before : before + len(own)]
+    assert seen == list(range(len(words) - 4))
+
+
+def test_quality_rules_measures_on_edge_rows(spark):
+    text = "a b\n \t \na b\n\nA b\x0ba#|\r\nA b\x0ba#|\r\n\u00e9\u0301 ***"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, " \n ")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) for r in quality_rules.judge(df).collect()}
+    lines = [x for x in text.split("\n") if x.encode().split()]
+    want = (len(text.encode().split()), sum(len(w.decode()) for w in text.encode().split()), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)))
+    assert got == {1: want, 2: (0, 0, 0, 0), 3: (0, 0, 0, 0), 4: (0, 0, 0, 0)}
+
+
 def test_quality_rules(docs, empty):
     got = {(str(r["doc_id"]), r["n_words"], r["n_repeat_words"], r["base_failed"]) for r in quality_rules.judge(docs).collect()}
     want = set()
@@ -199,6 +229,32 @@ def test_capitals_beside_special_strings():
     assert token_counts.TokenCounter(path).count(raw) == [len(x) for x in want]
 
 
+def test_token_ids_in_any_order_of_words():
+    """Random texts through warm tables, in two orders, against the library."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(8)
+    marks = ["!", "!!", ".", "..", "...", "?!", "';", "'s", "'", '"', "-", ",", "(", ")", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "'ll", "é", "Ü", "漢", "\u0301", "1", "42", "_"]
+    stems = ["hello", "World", "what", "I", "it", "we", "", "12", "über", "HTML", "x", "don"]
+    word = lambda: "".join(rng.choice(stems if rng.random() < 0.6 else marks) for _ in range(rng.randint(1, 3)))
+    texts = [" ".join(word() for _ in range(rng.randint(1, 6))) for _ in range(20_000)]
+    texts += ["x" * 5000 + "!" * 300, "\t\n a\u00a0b\u2028c\u0085d "]
+    want = library_ids(texts)
+    for order in (range(len(texts)), range(len(texts) - 1, -1, -1)):
+        tool, counter = tokens.WordEncoder(path), token_counts.TokenCounter(path)
+        for start in range(0, len(texts), 1000):
+            part = [order[i] for i in range(start, min(start + 1000, len(texts)))]
+            raw = [texts[i].encode() for i in part]
+            assert [np.frombuffer(x, "<u4").tolist() for x in tool.encode(raw)] == [want[i] for i in part]
+            assert counter.count(raw) == [len(want[i]) for i in part]
+
+
+def test_tables_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_BYTES", 2000)
+    tool = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for i in range(50):
+        tool.encode([f"a{i} b{i} {'long' * 100}{i}".encode()])
+    assert len(tool.ids) < 40 and all(len(w) <= tokens.LONG for w in tool.ids)
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack(docs, path).collect()
@@ -277,6 +333,25 @@ def test_unigram_is_optimal(codec, text):
     assert total == pytest.approx(best[len(marked)])
 
 
+def test_unigram_scores_ties_and_fallback(codec):
+    ranks = unigram.log_scores({5: -1.0, 6: -2.0, 7: -9.0})
+    assert np.exp(list(ranks.values())).sum() == pytest.approx(1) and ranks[5] > ranks[6] > ranks[7]
+    assert unigram.log_scores({5: -1.5, 6: -2.25}) == {5: -1.5, 6: -2.25}
+    assert len(codec.encode("the quality of the international organisation")) < 10
+    known = set(codec.byte_ids)
+    ids = codec.encode("a\U0001f9ff").tolist()
+    assert sum(i in known for i in ids) == 4 and codec.decode(np.array(ids, "<i4")) == "a\U0001f9ff"
+    tied = unigram.UnigramCodec(public_tokenizers.path("piece_bpe_32k.model"))
+    tied.score = dict.fromkeys(tied.score, -1.0)  # fewest pieces win; of equally few, the one whose last piece starts first
+    pieces = [tied.raw[i] for i in tied.encode("newton").tolist()]
+    lengths = {tied.raw[i] for i in tied.score}
+    text = b" newton"
+    ways = [w for n in range(1, 5) for w in itertools.combinations(range(1, len(text)), n - 1) if all(text[a:b] in lengths for a, b in itertools.pairwise((0, *w, len(text))))]
+    least = min(map(len, ways))
+    best = min((w for w in ways if len(w) == least), key=lambda w: w[::-1])
+    assert pieces == [text[a:b] for a, b in itertools.pairwise((0, *best, len(text)))]
+
+
 def test_unigram_query(docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = unigram.encode(docs, path).collect()
@@ -295,6 +370,34 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan(docs).count() == 0 and license_scan.scan(empty).count() == 0
 
 
+def test_license_recall_against_containment():
+    """Edited notices in noise: bands find the windows that plain containment of all templates finds."""
+    rng, index = random.Random(2), license_scan.Index(license_scan.TEMPLATES, license_scan.SIZE)
+    noise = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
+    wanted = found = 0
+    for name, text in license_scan.TEMPLATES.items():
+        for edits in (0, 1, 2, 3):
+            w = license_scan.plain(text.encode()).decode().split()
+            for i in rng.sample(range(len(w)), min(edits, len(w))):
+                w[i] = "gremlin"
+            document = " ".join([*noise(rng.randint(0, 90)), *w, *noise(40)]).encode()
+            t = next(t for t in index.all if t.name == name)
+            codes = license_scan.Words([document]).shingles(0, t.size)
+            holds = 100 * len(set(codes.tolist()) & set(t.shingles.tolist())) >= 80 * len(t.shingles)
+            if holds:
+                wanted += 1
+                found += name in {x[1] for x in index.scan([document], 80)}
+    assert wanted >= 30 and found >= 0.9 * wanted
+
+
+def test_license_places_back_to_back(spark):
+    notice = license_scan.TEMPLATES["isc-grant"]
+    df = spark.createDataFrame([(1, f"a b {notice} {notice} {notice} c")], "doc_id long, text string")
+    rows = [r for r in license_scan.scan(df, {"isc-grant": notice}).collect()]
+    size = len(license_scan.plain(notice.encode()).split())
+    assert sorted(r["start_word"] for r in rows) == [2, 2 + size, 2 + 2 * size] and {r["n_words"] for r in rows} == {size}
+
+
 def test_quality_classifier(spark, texts):
     rng = random.Random(5)
     good = [(i, t, "en", "a") for i, t in enumerate(texts[:40])]
