@@ -123,7 +123,7 @@ def dense_sketch(shingles: np.ndarray) -> bytes:
 
 
 def _signatures(docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
-    """n, c, c2, doc_id, t, chunk of each row; and as n = -1 partial counts of patterns: c2 the least class of those that hold pattern c, t their number."""
+    """n, c, c2, doc_id, t, chunk of each row; and as n = -1 partial counts of patterns: t classes hold pattern c, and c2 has most such patterns of them, doc_id in number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -134,13 +134,19 @@ def _signatures(docs: DataFrame, size: int, percent: int, seed: int) -> DataFram
             key = np.concatenate([k for k, _ in held]).view(np.int64)
             c = np.repeat(np.array([x for _, x in held], np.int64), [len(k) for k, _ in held])
             held.clear()
-            by = np.lexsort((c, key))
+            by = np.argsort(key, kind="stable")
             key, c = key[by], c[by]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             n = np.diff(np.append(first, len(key)))
-            much = n * SHARE >= min(len(key), COUNTED)
-            much &= n > 1
-            return pd.DataFrame({"n": -1, "c": key[first[much]], "c2": c[first[much]], "doc_id": pd.array([None] * int(much.sum()), "Int64"), "t": n[much], "chunk": lookup.chunk()})
+            much = (n * SHARE >= min(len(key), COUNTED)) & (n > 1)
+            often = np.repeat(much, n)
+            key, c = key[often], c[often]
+            # A pattern's lead is the class with most common patterns: copies of one text then have few leads.
+            _, own, total = np.unique(c, return_inverse=True, return_counts=True)
+            score = total[own]
+            by = np.lexsort((c, score, key))
+            last = np.cumsum(n[much]) - 1
+            return pd.DataFrame({"n": -1, "c": key[by][last], "c2": c[by][last], "doc_id": score[by][last], "t": n[much], "chunk": lookup.chunk()}).astype({"doc_id": "Int64"})
 
         for b in batches:
             rows = []
@@ -168,7 +174,7 @@ def _signatures(docs: DataFrame, size: int, percent: int, seed: int) -> DataFram
 def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Very common patterns, sorted, and the lead of each: at most 2 * SHARE, 8 MB."""
     total = rows.where("n > 0").agg(F.sum("n")).first()[0] or 0
-    counts = rows.where("n = -1").groupBy("c").agg(F.sum("t").alias("n"), F.min("c2").alias("lead"))
+    counts = rows.where("n = -1").groupBy("c").agg(F.sum("t").alias("n"), F.max_by("c2", F.struct("doc_id", "c2")).alias("lead"))
     found = counts.where(F.col("n") >= max(LEAST, total / SHARE)).select("c", "lead").toPandas()
     key, lead = found["c"].to_numpy(np.int64).view(U64), found["lead"].to_numpy(np.int64)
     by = np.argsort(key)
