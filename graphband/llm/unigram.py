@@ -97,9 +97,9 @@ class _Words(dict):
 
 
 def log_scores(scores: dict[int, float]) -> dict[int, float]:
-    """Scores as they are; of ranks (whole numbers, no two equal), log probabilities by Zipf's law, best first, that sum to one."""
+    """Scores as they are; of ranks (whole numbers), log probabilities by Zipf's law, best first, that sum to one."""
     values = list(scores.values())
-    if not values or len(set(values)) < len(values) or any(x != int(x) for x in values):
+    if any(x != int(x) for x in values):
         return scores
     order = sorted(scores, key=scores.__getitem__, reverse=True)
     weight = 1.0 / (np.arange(len(order)) + ZIPF_OFFSET)
