@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from graphband.llm.text import encoded
-from graphband.llm.tokens import ENTRY, LONG, MAX_BYTES
+from graphband.llm.tokens import ENTRY, LONG, MAX_BYTES, letters
 from graphband.session import ship_package
 
 
@@ -73,8 +73,9 @@ class TokenCounter:
         return merged_count([*piece[:-1], piece[-1] + self.end], self.rank)
 
     def _word(self, word: bytes) -> int:
-        if word.isalpha() and word.islower():  # lower-case ASCII letters: one pre-token, left alone by the normaliser
-            return self._piece(word.decode("ascii"))
+        spelled = letters(word)
+        if spelled is not None:
+            return self._piece(spelled)
         text, total = word.decode("utf-8", "replace"), 0
         for i, part in enumerate(self.special.split(text) if self.special else [text]):
             total += 1 if i % 2 else sum(self._piece(p) for p, _ in self.cut(self.normalise(part))) if part else 0

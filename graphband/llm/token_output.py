@@ -26,16 +26,21 @@ MAGIC = b"GBIDS001"
 BLOCK = 1 << 16
 FILE_IDS = 1 << 22
 FILES_A_TASK = 8
+_WHOLE = (8, 16, 32)  # widths of whole bytes, which need no single bits
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
     """Ids in ``bits`` bits each, the last byte filled with zeros."""
+    if bits in _WHOLE:
+        return ids.astype(f">u{bits // 8}").tobytes()
     wide = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
     return np.packbits(wide[:, 32 - bits :]).tobytes()
 
 
 def unpack_bits(data: bytes, n: int, bits: int) -> np.ndarray:
     """The first n ids."""
+    if bits in _WHOLE:
+        return np.frombuffer(data, f">u{bits // 8}", n).astype("<u4")
     flat = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits).reshape(n, bits)
     wide = np.zeros((n, 32), np.uint8)
     wide[:, 32 - bits :] = flat

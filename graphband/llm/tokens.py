@@ -9,6 +9,7 @@ for new ones.
 from __future__ import annotations
 
 import os
+import struct
 
 import numpy as np
 
@@ -18,6 +19,32 @@ LONG = 256  # bytes of a word that is not kept
 _END_MARKS = b".,;:!?"
 
 
+def _byte_characters() -> dict[int, int]:
+    """Byte-level vocabularies write a byte as the character of its number if that is printed, else as the next one from 256 on."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printed)]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+_CHARACTERS = _byte_characters()
+
+
+def letters(word: bytes) -> str | None:
+    """A word of lower-case Latin letters as the vocabulary spells it; None of any other.
+
+    The normaliser leaves such a word alone, and it is one pre-token.
+    """
+    if word.isascii():
+        return word.decode("ascii") if word.isalpha() and word.islower() else None  # texts with special strings come in their own case
+    try:
+        text = word.decode()
+    except UnicodeDecodeError:
+        return None
+    if max(text) < "\u0180" and text.isalpha() and text == text.lower():
+        return word.decode("latin-1").translate(_CHARACTERS)
+    return None
+
+
 class WordEncoder:
     """Ids of texts under a word-separating vocabulary of the tokenizers library."""
 
@@ -30,25 +57,23 @@ class WordEncoder:
         self.ids: dict[bytes, bytes] = {}
         self.held = 0
 
-    def _plain(self, word: bytes) -> bytes | None:
-        """Of lower-case ASCII letters, which the normaliser leaves alone and which are one pre-token: by the model itself."""
-        if word.isalpha() and word.islower():  # texts with special strings come in their own case
-            return np.array([t.id for t in self.tokenizer.model.tokenize(word.decode("ascii"))], "<u4").tobytes()
-        return None
+    def _model(self, spelled: str) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, words: set[bytes]) -> None:
+        """Words of letters, with one mark at most after them, by the model itself; all others by the library."""
         hard = []
         for w in words:
-            if w.isascii():
-                # Only letters end a pre-token before a mark; other marks before it would join it.
-                stem, mark = (w[:-1], w[-1:]) if w[-1] in _END_MARKS and w[:-1].isalpha() and w[:-1].islower() else (w, b"")
-                ids = self.ids.get(stem) or self._plain(stem)
-                if ids is not None:
-                    if mark and mark not in self.ids:
-                        self.ids[mark] = self._library([mark])[0]
-                    self.ids[w] = ids + (self.ids[mark] if mark else b"")
-                    continue
-            hard.append(w)
+            # Only letters end a pre-token before a mark; other marks before it would join it.
+            stem, mark = (w[:-1], w[-1:]) if w[-1] in _END_MARKS else (w, b"")
+            spelled = letters(stem)
+            if spelled is None:
+                hard.append(w)
+                continue
+            if mark and mark not in self.ids:
+                self.ids[mark] = self._library([mark])[0]
+            self.ids[w] = (self.ids.get(stem) or self._model(spelled)) + (self.ids[mark] if mark else b"")
         for i in range(0, len(hard), 4096):
             part = hard[i : i + 4096]
             self.ids.update(zip(part, self._library(part), strict=True))

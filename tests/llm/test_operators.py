@@ -233,7 +233,7 @@ def test_token_ids_in_any_order_of_words():
     """Random texts through warm tables, in two orders, against the library."""
     path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(8)
     marks = ["!", "!!", ".", "..", "...", "?!", "';", "'s", "'", '"', "-", ",", "(", ")", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "'ll", "é", "Ü", "漢", "\u0301", "1", "42", "_"]
-    stems = ["hello", "World", "what", "I", "it", "we", "", "12", "über", "HTML", "x", "don"]
+    stems = ["hello", "World", "what", "I", "it", "we", "", "12", "über", "HTML", "x", "don", "été", "straße", "Éa", "ñandú", "ŉ", "ſ", "ĳ", "dž", "ª", "e\u0301"]
     word = lambda: "".join(rng.choice(stems if rng.random() < 0.6 else marks) for _ in range(rng.randint(1, 3)))
     texts = [" ".join(word() for _ in range(rng.randint(1, 6))) for _ in range(20_000)]
     texts += ["x" * 5000 + "!" * 300, "\t\n a\u00a0b\u2028c\u0085d "]
@@ -289,7 +289,14 @@ def test_token_output(docs, empty):
     assert token_output.round_trip(empty, path).count() == 0
 
 
-@pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
+def test_whole_bytes_are_the_same_bits():
+    ids = np.random.default_rng(3).integers(0, 256, 99).astype("<u4")
+    for bits in (8, 16, 32):
+        wide = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - bits :]
+        assert token_output.pack_bits(ids, bits) == np.packbits(wide).tobytes()
+
+
+@pytest.mark.parametrize("bits", [1, 7, 8, 16, 17, 32])
 def test_bit_packing(bits):
     rng = np.random.default_rng(bits)
     parts = [rng.integers(0, 2**bits, n).astype("<u4") for n in (0, 1, 9, 1000, 77)]
