@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -174,3 +174,53 @@ def thinned(points: DataFrame, by: list[str], order: str, most: int) -> DataFram
     x = points.withColumn("r", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     step = F.greatest(F.lit(1), F.floor(F.col("n") / most))
     return x.where((F.col("r") % step == 0) | (F.col("r") == F.col("n") - 1)).drop("r", "n")
+
+
+#: Key figures of a comparison, and whether the larger one wins.
+COMPARED = {"bandwidth_permuted": False, "avg_bandwidth_permuted": False, "bandwidth_reduction_pct": True, "nb2_reduction_pct": True, "frac_0_4pct_permuted": True}
+
+
+def compare_runs(kpis: DataFrame, pairs: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(a_run, b_run, matrix, kpi, a, b, difference, winner) of pairs of runs (a_run, b_run); N/A where a side has no figure."""
+    rows = F.array(*[F.struct(F.lit(k).alias("kpi"), F.col(k).cast("double").alias("value"), F.lit(larger).alias("larger")) for k, larger in COMPARED.items()])
+    x = kpis.select("run_id", "matrix", F.inline(rows))
+    a = pairs.join(x.select(F.col("run_id").alias("a_run"), "matrix", "kpi", "larger", F.col("value").alias("a")), "a_run")
+    both = a.join(x.select(F.col("run_id").alias("b_run"), "matrix", "kpi", F.col("value").alias("b")), ["b_run", "matrix", "kpi"])
+    d = F.col("b") - F.col("a")
+    winner = F.when(d.isNull(), "N/A").when(F.abs(d) < tolerance, "Equal").when((d > 0) == F.col("larger"), "B").otherwise("A")
+    return both.select("a_run", "b_run", "matrix", "kpi", "a", "b", F.round(d, 6).alias("difference"), winner.alias("winner"))
+
+
+def usage_of_resources(jobs: DataFrame, unit: str | None = None) -> DataFrame:
+    """(unit, jobs, qubits, runs, runtime), most jobs first: of jobs (job, started, ended, resources of unit, qubits, runs).
+
+    A job without resources counts as unknown; with several, its runtime
+    counts for each.  ``unit`` keeps jobs that name it, whatever its case.
+    """
+    if unit is not None:
+        jobs = jobs.where(F.exists("resources", lambda r: F.lower(r["unit"]).contains(unit.lower())))
+    seconds = F.greatest(F.lit(0), F.coalesce(F.col("ended") - F.col("started"), F.lit(0)))
+    x = jobs.select(seconds.alias("s"), F.explode_outer("resources").alias("r"))
+    x = x.groupBy(F.coalesce("r.unit", F.lit("unknown")).alias("unit")).agg(F.count(F.lit(1)).alias("jobs"), F.coalesce(F.sum("r.qubits"), F.lit(0)).alias("qubits"), F.coalesce(F.sum("r.runs"), F.lit(0)).alias("runs"), F.sum("s").alias("runtime"))
+    return x.orderBy(F.desc("jobs"), "unit")
+
+
+def case_row(cases: DataFrame, case_key: str) -> DataFrame:
+    """The cases of one key; an unknown key is an error that names some known ones."""
+    found = cases.where(F.col("case_key") == case_key)
+    if found.isEmpty():
+        known = [r[0] for r in cases.select("case_key").distinct().orderBy("case_key").limit(20).collect()]
+        raise ValueError(f"no case {case_key!r}; known are {', '.join(known)}")
+    return found
+
+
+def scientific_rows(cases: DataFrame, kpis: DataFrame) -> DataFrame:
+    """Lines of a printed table of n * bandwidth ** 2: mantissas with two digits, and how many entries were lost."""
+    x = completed(cases).join(kpis.where("matrix = 'K'"), "run_id")
+
+    def text(c: str) -> Column:
+        power = F.floor(F.log10(c)).cast("int")
+        digits = F.floor(F.col(c) / F.pow(F.lit(10.0), power - 2) + 0.5)  # of whole numbers: halves go up
+        return F.format_string("%.2fe%d", digits / 100.0, power)
+
+    return x.select("case_key", "run_id", text("nb2_original").alias("nb2_original"), text("nb2_permuted").alias("nb2_permuted"), (F.col("nnz_original") - F.col("nnz_permuted")).cast("long").alias("lost"))

@@ -215,6 +215,37 @@ def text_search(s, d):
     return table(s, d, "documents").where((F.col("source") == "src3") | found("lang", "fr") | found("text", "tion of")).select("doc_id")
 
 
+@_add(f"WITH {FIGURES}, {CURVE} SELECT * FROM cu WHERE percent <= CAST(0.5 AS DOUBLE)")
+def curve_clipped(s, d):
+    return results.curve_series(study.metrics(s, d)).where(F.col("percent") <= 0.5)
+
+
+COMPARE = " UNION ALL ".join(f"SELECT a.run_id AS a_run, b.run_id AS b_run, a.matrix, '{k}' AS kpi, a.{k} AS a, b.{k} AS b, round(b.{k} - a.{k}, 6) AS difference, CASE WHEN b.{k} - a.{k} IS NULL THEN 'N/A' WHEN abs(b.{k} - a.{k}) < 1e-6 THEN 'Equal' WHEN (b.{k} - a.{k} > 0) = {'true' if larger else 'false'} THEN 'B' ELSE 'A' END AS winner FROM kp a JOIN kp b ON b.run_id = a.run_id + 1 AND a.matrix = b.matrix WHERE a.run_id % 2 = 0" for k, larger in results.COMPARED.items())
+
+
+@_add(f"WITH {FIGURES}, {KPI} {COMPARE}")
+def run_compare_kpis(s, d):
+    kpis = _kpis(s, d)
+    pairs = kpis.where("run_id % 2 = 0").select(F.col("run_id").alias("a_run"), (F.col("run_id") + 1).alias("b_run")).distinct()
+    return results.compare_runs(kpis, pairs)
+
+
+JOBS = "jb AS (SELECT event_id, greatest(0, CAST(event_id % 100 AS BIGINT) - 10) AS sec, event_type FROM events), rs AS (SELECT sec, event_type AS unit, event_id % 32 AS qubits, event_id % 5 AS runs FROM jb WHERE event_id % 7 <> 0 UNION ALL SELECT sec, 'Spare', event_id % 8, 1 FROM jb WHERE event_id % 7 <> 0 AND event_id % 3 = 0 UNION ALL SELECT sec, 'unknown', 0, 0 FROM jb WHERE event_id % 7 = 0)"
+
+
+@_add(f"WITH {JOBS} SELECT unit, CAST(count(*) AS BIGINT) AS jobs, CAST(sum(qubits) AS BIGINT) AS qubits, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(sec) AS BIGINT) AS runtime FROM rs GROUP BY unit")
+def usage_of_resources(s, d):
+    return results.usage_of_resources(study.jobs(s, d))
+
+
+SCIENCE = lambda c: f"printf('%.2f', floor({c} / pow(CAST(10 AS DOUBLE), floor(log10({c})) - 2) + CAST(0.5 AS DOUBLE)) / CAST(100 AS DOUBLE)) || 'e' || CAST(CAST(floor(log10({c})) AS INTEGER) AS VARCHAR)"
+
+
+@_add(f"WITH {CASES}, {FIGURES}, {KPI} SELECT case_key, done.run_id, {SCIENCE('nb2_original')} AS nb2_original, {SCIENCE('nb2_permuted')} AS nb2_permuted, CAST(nnz_original - nnz_permuted AS BIGINT) AS lost FROM done JOIN kp ON kp.run_id = done.run_id AND matrix = 'K'")
+def scientific_rows(s, d):
+    return results.scientific_rows(study.cases(s, d), _kpis(s, d))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in _ALL.items()}
 

@@ -93,3 +93,13 @@ def run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
     line = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] ["), level, F.lit("] "), text)
     return e.select(F.col("user_id").cast("long").alias("job_id"), i.cast("long").alias("seq"), line.alias("value"))
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs (job, started, ended, resources): each event is a job on no unit, one or two."""
+    e = table(spark, sf_dir, "events")
+    i, start = F.col("event_id"), F.unix_timestamp("ts")
+    one = F.struct(F.col("event_type").alias("unit"), (i % 32).cast("long").alias("qubits"), (i % 5).cast("long").alias("runs"))
+    two = F.struct(F.lit("Spare").alias("unit"), (i % 8).cast("long").alias("qubits"), F.lit(1).cast("long").alias("runs"))
+    resources = F.when(i % 7 == 0, None).when(i % 3 == 0, F.array(one, two)).otherwise(F.array(one))
+    return e.select(i.cast("long").alias("job"), start.alias("started"), (start + (i % 100).cast("long") - 10).alias("ended"), resources.alias("resources"))
