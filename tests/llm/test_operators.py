@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from graphband.llm import components, exact_dedup, kn_quality, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts, token_output, tokens, unigram
+from graphband.llm import components, exact_dedup, kn_quality, license_scan, lookup, ngram_join, packing, quality_rules, substring_dedup, token_counts, token_output, tokens, unigram
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept boolean, t long, key string, t_1 string"
@@ -71,6 +71,45 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.keep_one(docs).columns == docs.columns
 
 
+def test_index_lookup(docs, texts):
+    """Compaction keeps one row a digest, in files sorted by digest, and a lookup finds entries by text."""
+    runs = exact_dedup.flush_runs(docs.select("doc_id", "text"), False, 7, 32)
+    index = exact_dedup.compact(runs, largest=False)
+    assert index.count() == len({(t or "").encode().lower() for t in texts})
+    found = exact_dedup.find(docs.sparkSession, index, ["ONE", "not there"]).collect()
+    assert [(r["best"], r["n"]) for r in found] == [(3 * texts.index("one"), 2)]
+    for part in index.inputFiles():
+        digests = [r["digest"] for r in docs.sparkSession.read.parquet(part).collect()]
+        assert digests == sorted(digests)
+
+
+def test_steady_frames(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/d")
+    files = spark.read.parquet(f"{tmp_path}/d").where("doc_id > 3")
+    assert lookup.steady(files) is files
+    assert lookup.steady(docs) is not docs and lookup.steady(docs).count() == docs.count()
+    with pytest.raises(RuntimeError):
+        lookup.check(False)
+
+
+def test_hot_patterns_in_linear_work(spark, monkeypatch):
+    """Thousands of unlike short texts with one common part make few candidates, and copies of one text one lead each."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(60)]
+    rows = [(i, "please subscribe to our newsletter " + " ".join(word() for _ in range(1 + i % 9))) for i in range(3000)]
+    for i in range(3000, 4000):
+        w = list(base)
+        w[rng.randrange(60)] = word()
+        rows.append((i, " ".join(w)))
+    docs = ngram_join._read(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text")
+    seen = ngram_join.materialise(ngram_join._signatures(docs, 5, 80, 0))
+    pairs = ngram_join._pairs(ngram_join._keys(docs, 5, 80, 0, ngram_join._common(seen)), ngram_join.CROWD)
+    assert pairs.count() < 3 * len(rows)
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs).collect()}
+    assert {found[i] for i in range(3000, 4000)} == {3000} and all(found[i] == i for i in range(3000))
+
+
 def test_near_duplicates(docs, empty, texts):
     sets = []
     for i, t in collected(docs):
