@@ -320,11 +320,24 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
 
 
-def _crowd_pairs(followers: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
+def _sketches(followers: DataFrame, texts: DataFrame, size: int, seed: int) -> DataFrame:
+    """c, size, sketch of the followers' classes."""
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = list(shingle_sets([bytes(t) for t in b["text"]], size, seed))
+            yield pd.DataFrame({"c": b["c"], "n": [len(s) for s in sets], "sketch": [dense_sketch(s) for s in sets]})
+
+    return materialise(texts.join(followers.select("c").distinct(), "c", "left_semi").mapInPandas(sketch, "c long, n long, sketch binary"))
+
+
+def _crowd_pairs(followers: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs among the followers of a lead that are still apart and whose dense sketches do not rule them out.
 
     Of a lead's followers most are joined; only those that are not in the
-    largest component are compared, with each other and with the others.
+    largest component are compared, with each other and with the others.  With
+    ``nearest``, each of their components is paired with the nearest document
+    outside it alone.
     """
     member = followers.join(labels.select(F.col("id").alias("c"), "comp"), "c", "left")
     member = materialise(member.select("lead", "c", F.coalesce("comp", "c").alias("joined")))
@@ -332,14 +345,7 @@ def _crowd_pairs(followers: DataFrame, labels: DataFrame, texts: DataFrame, size
     sizes = joined.groupBy("lead").agg(F.sum("n").alias("all"), F.max(F.struct("n", "joined")).alias("most"))
     sizes = sizes.where(F.col("all") > F.col("most.n")).select("lead", F.col("most.joined").alias("most"), F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks"), F.ceil((F.col("all") - F.col("most.n")) / CHUNK).cast("int").alias("odd_chunks"))
     sizes = materialise(sizes)
-    rows = member.join(sizes, "lead").join(texts, "c").select("lead", "c", "joined", "most", "chunks", "odd_chunks", "text")
-
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = list(shingle_sets([bytes(t) for t in b["text"]], size, seed))
-            yield b.drop(columns="text").assign(n=[len(s) for s in sets], sketch=[dense_sketch(s) for s in sets])
-
-    rows = rows.mapInPandas(sketch, "lead long, c long, joined long, most long, chunks int, odd_chunks int, n long, sketch binary")
+    rows = member.join(sizes, "lead").join(sketches, "c")
     spot = F.xxhash64("c")
     odd = rows.where("joined <> most").withColumn("side", F.lit(0)).withColumn("x", F.pmod(spot, "odd_chunks").cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     all_ = rows.withColumn("side", F.lit(1)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("odd_chunks") - 1))).withColumn("y", F.pmod(spot, "chunks").cast("int"))
@@ -352,11 +358,18 @@ def _crowd_pairs(followers: DataFrame, labels: DataFrame, texts: DataFrame, size
         for r in left.itertuples():
             far = np.bitwise_count(bits ^ np.frombuffer(r.sketch, np.uint64)).sum(axis=1)
             good = (far <= (r.n + n) * (100 - percent) // (100 + percent)) & (joined != r.joined) & (100 * np.minimum(n, r.n) >= percent * np.maximum(n, r.n))
-            good &= (joined == most) | (c > r.c)
-            found += [(min(r.c, x), max(r.c, x)) for x in c[good].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+            if nearest:
+                at = np.flatnonzero(good)[np.argsort(far[good], kind="stable")[:1]]
+            else:
+                at = np.flatnonzero(good & ((joined == most) | (c > r.c)))
+            found += [(r.joined, int(f), min(r.c, x), max(r.c, x)) for x, f in zip(c[at].tolist(), far[at].tolist(), strict=True)]
+        return pd.DataFrame(found, columns=["joined", "far", "a", "b"]).astype("int64")
 
-    return odd.unionByName(all_).groupBy("lead", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    found = odd.unionByName(all_).groupBy("lead", "x", "y").applyInPandas(compare, "joined long, far long, a long, b long")
+    if nearest:
+        best = found.groupBy("joined").agg(F.min(F.struct("far", "a", "b")).alias("x"))
+        return best.select("x.a", "x.b").distinct()
+    return found.select("a", "b").distinct()
 
 
 def _classify(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -426,7 +439,16 @@ def _links(docs: DataFrame, seen: DataFrame, size: int, percent: int, seed: int)
     followers = a.select(F.col("a").alias("lead"), F.col("b").alias("c")).unionAll(b.select(F.col("b").alias("lead"), F.col("a").alias("c")))
     if not followers.isEmpty():
         followers = followers.unionAll(followers.select("lead", F.col("lead").alias("c"))).distinct()
-        links = links.unionAll(check(_crowd_pairs(followers, components(links), texts, size, percent, seed)))
+        followers = materialise(followers)
+        sketches, nearest = _sketches(followers, texts, size, seed), True
+        while True:  # components join their nearest ones, round by round; when few do, all pairs that are left are tried
+            pairs = materialise(_crowd_pairs(followers, components(links), sketches, percent, nearest))
+            new = check(pairs)
+            links = materialise(links.unionAll(new))
+            if not nearest:
+                break
+            nearest = 4 * new.count() > pairs.count()
+        discard(followers, sketches)
     out = materialise(links)
     discard(texts, candidates)
     return out
