@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphband.session import materialise
+from graphband.session import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,19 +19,25 @@ def components(edges: DataFrame) -> DataFrame:
     counts for nothing.
     """
     left = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
+    labels = table = None  # the table behind labels
     while not left.isEmpty():
         ends = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = materialise(ends.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("to")))
-        far = to.select(F.col("id").alias("to"), F.col("to").alias("far"))
-        to = materialise(to.join(far, "to").select("id", F.col("far").alias("to")))
+        near = materialise(ends.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("to")))
+        far = near.select(F.col("id").alias("to"), F.col("to").alias("far"))
+        to = materialise(near.join(far, "to").select("id", F.col("far").alias("to")))
+        discard(near)
         if labels is None:
-            labels = to.withColumnRenamed("to", "comp")
+            labels, table = to.withColumnRenamed("to", "comp"), to
         else:
             on = to.select(F.col("id").alias("comp"), "to")
-            labels = materialise(labels.join(on, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
+            new = materialise(labels.join(on, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
+            discard(table)
+            labels = table = new
+        moved = left
         for end in ("a", "b"):
-            left = left.join(to.select(F.col("id").alias(end), F.col("to").alias(f"to_{end}")), end)
-        left = left.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
-        left = materialise(left.distinct())
+            moved = moved.join(to.select(F.col("id").alias(end), F.col("to").alias(f"to_{end}")), end)
+        moved = moved.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        rest = materialise(moved.distinct())
+        discard(left, None if table is to else to)
+        left = rest
     return left.select(F.col("a").alias("id"), F.col("b").alias("comp")) if labels is None else labels
