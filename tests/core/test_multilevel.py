@@ -69,7 +69,7 @@ def test_cut_balance_moves_keep_bounds_and_lower_the_objective(spark):
         return sum(x for u, v, x in link if p[u] != p[v]) + lam * sum((x - share) ** 2 for x in w), w
 
     for name, lam in (("cut", 0.0), ("cut_balance", 0.05)):
-        after = dict(rows(partition.refine(edges, nodes, part, 4, 0.5, 4, name, lam)))
+        after = dict(rows(partition.refine(edges, nodes, part, 4, 0.5, 2, name, lam)))
         assert objective(after, lam)[0] < objective(before, lam)[0]
         assert all(0.5 * share <= x <= 1.5 * share for x in objective(after, lam)[1])
     few = partition.refine(edges, nodes, part, 4, 0.5, 1, "cut", 0.0, most=2)
