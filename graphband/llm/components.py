@@ -41,3 +41,16 @@ def components(edges: DataFrame) -> DataFrame:
         discard(left, None if table is to else to)
         left = rest
     return left.select(F.col("a").alias("id"), F.col("b").alias("comp")) if labels is None else labels
+
+
+def extend(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, comp) of components with further links (a, b): only what they join is worked on."""
+    at = {e: labels.select(F.col("id").alias(e), F.col("comp").alias(f"comp_{e}")) for e in ("a", "b")}
+    ends = links.join(at["a"], "a", "left").join(at["b"], "b", "left")
+    ends = materialise(ends.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).where("a <> b").distinct())
+    if ends.isEmpty():
+        return labels
+    more = components(ends)
+    new = more.join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp"))
+    on = more.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    return materialise(labels.unionAll(new).join(on, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))

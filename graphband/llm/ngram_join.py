@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphband.llm import lookup
-from graphband.llm.components import components
+from graphband.llm.components import components, extend
 from graphband.llm.text import PIECE, U64, Words, encoded, mix64, pieces, slices
 from graphband.session import discard, materialise, ship_package
 
@@ -382,7 +382,7 @@ def _classify(docs: DataFrame, size: int, percent: int) -> DataFrame:
             break
     else:
         raise RuntimeError("different sets share a number under each of eight seeds")
-    labels = components(_links(docs, seen, size, percent, seed))
+    labels = _joined(docs, seen, size, percent, seed)
     named = classes.join(labels.withColumnRenamed("id", "c"), "c", "left").select("c", "named", F.coalesce("comp", "c").alias("comp"))
     best = named.groupBy("comp").agg(F.min("named").alias("component_id"))
     ids = materialise(named.join(best, "comp").select("c", "component_id"))
@@ -423,8 +423,8 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col:
     return lookup.keep(docs, kept, F.xxhash64(docs[id_col].cast("long")), F.xxhash64(docs[text_col]))
 
 
-def _links(docs: DataFrame, seen: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
-    """Verified links between classes that join all that are linked."""
+def _joined(docs: DataFrame, seen: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
+    """id, comp of the classes that verified links join."""
     candidates = materialise(_pairs(_keys(docs, size, percent, seed, _common(seen)), CROWD))
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     texts = _texts(docs, seen, wanted, size, seed)
@@ -432,23 +432,20 @@ def _links(docs: DataFrame, seen: DataFrame, size: int, percent: int, seed: int)
 
     # First each class with the one that shares most parts with it, which leaves few others apart.
     best = materialise(candidates.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("x")).select("x.a", "b"))
-    links = check(best)
-    rest = _apart(candidates.join(best, ["a", "b"], "left_anti"), components(links))
-    links = links.unionAll(check(rest))
+    labels = components(check(best))
+    labels = extend(labels, check(_apart(candidates.join(best, ["a", "b"], "left_anti"), labels)))
     a, b = candidates.where("led_by_a"), candidates.where("led_by_b")
     followers = a.select(F.col("a").alias("lead"), F.col("b").alias("c")).unionAll(b.select(F.col("b").alias("lead"), F.col("a").alias("c")))
     if not followers.isEmpty():
-        followers = followers.unionAll(followers.select("lead", F.col("lead").alias("c"))).distinct()
-        followers = materialise(followers)
+        followers = materialise(followers.unionAll(followers.select("lead", F.col("lead").alias("c"))).distinct())
         sketches, nearest = _sketches(followers, texts, size, seed), True
         while True:  # components join their nearest ones, round by round; when few do, all pairs that are left are tried
-            pairs = materialise(_crowd_pairs(followers, components(links), sketches, percent, nearest))
+            pairs = materialise(_crowd_pairs(followers, labels, sketches, percent, nearest))
             new = check(pairs)
-            links = materialise(links.unionAll(new))
+            labels = extend(labels, new)
             if not nearest:
                 break
             nearest = 4 * new.count() > pairs.count()
         discard(followers, sketches)
-    out = materialise(links)
     discard(texts, candidates)
-    return out
+    return labels

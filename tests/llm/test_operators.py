@@ -167,6 +167,10 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 900), (900, 700), (3, 3)]
     got = {r["id"]: r["comp"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 700: 500, 900: 500}
+    first = components.components(spark.createDataFrame([(1, 2), (5, 6), (8, 9)], "a long, b long"))
+    more = components.extend(first, spark.createDataFrame([(6, 2), (9, 3), (11, 12), (1, 2)], "a long, b long"))
+    assert {r["id"]: r["comp"] for r in more.collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 3: 3, 8: 3, 9: 3, 11: 11, 12: 11}
+    assert components.extend(more, first.where("false").toDF("a", "b")) is more
 
 
 def test_substring_dedup(docs, empty):
