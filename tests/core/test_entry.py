@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__
 from graphband import queries as core
+from graphband import queries_multilevel, queries_study
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,9 +26,13 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["locality_before_after", "band_curve_100", "hem_mutual_round", "move_gain_cut", "independent_moves", "qubo_energy", "stage_durations", "usage_by_unit"])
+KNOWN = core.queries() | queries_multilevel.queries() | queries_study.queries()
+SQL = core.oracle_sql() | queries_multilevel.oracle_sql() | queries_study.oracle_sql()
+
+
+@pytest.mark.parametrize("name", ["locality_before_after", "band_curve_100", "hem_mutual_round", "move_gain_cut", "independent_moves", "qubo_energy", "stage_durations", "usage_by_unit", "permutation_check", "lattice_m", "kpi_summary", "case_product", "config_validation", "telemetry_extract"])
 def test_against_sql(spark, con, name):
-    got, want = core.queries()[name](spark, SF).toPandas(), con.sql(core.oracle_sql()[name]).df()
+    got, want = KNOWN[name](spark, SF).toPandas(), con.sql(SQL[name]).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
     as_rows = lambda f: sorted(map(str, f[cols].itertuples(index=False, name=None)))
