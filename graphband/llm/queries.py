@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphband.llm import exact_dedup, kn_quality, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts, token_output, unigram
+from graphband.llm import exact_dedup, importance_resampling, kn_quality, license_scan, ngram_join, packing, quality_rules, secret_scan, substring_dedup, token_alignment, token_counts, token_output, unigram
 from graphband.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +58,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.summary(secret_scan.scan(docs, secret_scan.train(secret_scan.samples(docs))))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_substring_dedup, op4_quality_classifier, op5_ngram_join, op6_exact_dedup, op7_quality_rules, op8_packing, op9_token_output, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_substring_dedup, op4_quality_classifier, op5_ngram_join, op6_exact_dedup, op7_quality_rules, op8_packing, op9_token_output, op10_token_counts, op11_token_alignment, op12_secret_scan, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
