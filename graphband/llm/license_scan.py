@@ -102,8 +102,7 @@ class Index:
         for k in self.sizes:
             if len(words.codes) < k:
                 continue
-            at = np.arange(len(words.codes) - k + 1)
-            codes = words.spans(at, at + k)
+            codes = words.runs(slice(0, len(words.codes) - k + 1), k)
             hits = np.flatnonzero(np.isin(codes, self.vocabulary[k]))
             whole = np.searchsorted(words.first, hits, side="right") == np.searchsorted(words.first, hits + k - 1, side="right")
             hits = hits[whole]

@@ -2,23 +2,27 @@
 
 A word is a maximal run of characters other than space and U+0009..U+000D.
 On UTF-8 bytes that is what ``bytes.split()`` yields.  Hashes are computed for
-a whole batch of texts with a few numpy passes, never word by word.
+a whole batch of texts with a few numpy passes, never word by word.  They are
+keyed and not linear: words go through a mixer eight bytes at a time (very long
+ones through BLAKE2), and runs of words are mixed pair by pair, so that no
+pattern of letters or words makes two of them meet by construction.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 
 U64 = np.uint64
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_Q_BYTE = 0x9E3779B97F4A7C17  # odd multipliers, with odd halves of (q - 1)
-_Q_WORD = 0xD6E8FEB86659FD93
+_ODD = U64(0x9E3779B97F4A7C15)
+_LENGTH = U64(0xA0761D6478BD642F)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)  # of eight bytes, the first k
+BY_MIXER = 64  # bytes of a word that the mixer takes
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -30,24 +34,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-class _Powers:
-    """q**i and q**-i modulo 2**64 for i below a size that grows on demand."""
+def _times(a: np.uint64, n: int) -> np.uint64:
+    return U64(int(a) * n & (2**64 - 1))
 
-    def __init__(self, q: int) -> None:
-        self.q, self.up, self.down = q, np.ones(1, U64), np.ones(1, U64)
 
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(16, (n - 1).bit_length())
-            inverse = pow(self.q, -1, 1 << 64)
-            for name, base in (("up", self.q), ("down", inverse)):
-                a = np.full(size, base, U64)
-                a[0] = 1
-                setattr(self, name, np.multiply.accumulate(a))
-        return self.up, self.down
-
-
-_byte_powers, _word_powers = _Powers(_Q_BYTE), _Powers(_Q_WORD)
+def word_codes(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each word data[start:end]; different words of eight bytes or fewer, equally long, have different ones."""
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    n = ends - starts
+    h = mix64(n.astype(U64) * _LENGTH + _times(_ODD, seed + 1))
+    which, at, left = slice(None), starts, n
+    for _ in range(0, BY_MIXER, 8):
+        h[which] = mix64(h[which] * _ODD ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return h
+        which = more if isinstance(which, slice) else which[more]
+        at, left = at[more] + 8, left[more] - 8
+    key = seed.to_bytes(8, "little")
+    for i in which.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+    return h
 
 
 class Words:
@@ -64,31 +71,43 @@ class Words:
         space = _SPACE[a]
         edge = np.flatnonzero(np.diff(space, prepend=True))  # in turn a start and the end after it
         self.starts, self.ends = edge[0::2], edge[1::2]
-        up, down = _byte_powers(len(a) + 1)
-        total = np.zeros(len(a) + 1, U64)
-        np.cumsum(_BYTE_CODE[a] * up[: len(a)], out=total[1:])
-        raw = (total[self.ends] - total[self.starts]) * down[self.starts]
-        self.codes = mix64(raw + U64((seed * 0x9E3779B97F4A7C15) & (2**64 - 1)))
+        self.codes = word_codes(self.data, self.starts, self.ends, seed)
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.first = np.searchsorted(self.starts, np.concatenate([[0], np.cumsum(lengths)]))
-        self._sums: np.ndarray | None = None
+        self._doubled = [self.codes]
+
+    def _runs(self, k: int) -> np.ndarray:
+        """Hashes of all runs of 2**k words, by their first one."""
+        while len(self._doubled) <= k:
+            h, step = self._doubled[-1], 1 << (len(self._doubled) - 1)
+            self._doubled.append(_two(h[:-step], h[step:]) if len(h) > step else h[:0])
+        return self._doubled[k]
+
+    def runs(self, start: np.ndarray | slice, size: int) -> np.ndarray:
+        """A 64-bit hash of the ``size`` words from each start on: of the two runs of 2**k words that cover them, and their number."""
+        k = size.bit_length() - 1
+        h = self._runs(k)
+        other = slice(start.start + size - (1 << k), start.stop + size - (1 << k)) if isinstance(start, slice) else start + (size - (1 << k))
+        return mix64(_two(h[start], h[other]) + _times(_LENGTH, size))
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the words start..end-1, for arrays of word indexes."""
-        up, down = _word_powers(len(self.codes) + 1)
-        if self._sums is None:
-            self._sums = np.zeros(len(self.codes) + 1, U64)
-            np.cumsum(self.codes * up[: len(self.codes)], out=self._sums[1:])
-        raw = (self._sums[end] - self._sums[start]) * down[start]
-        return mix64(raw + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
+        """As ``runs``, of the words start..end-1 (one at least)."""
+        n = end - start
+        out = np.empty(len(n), U64)
+        for size in np.unique(n).tolist():
+            own = np.flatnonzero(n == size)
+            out[own] = self.runs(start[own], size)
+        return out
 
     def shingles(self, i: int, size: int) -> np.ndarray:
         """Hashes of text i's word windows, in order; of a shorter text, one of all its words."""
         a, b = int(self.first[i]), int(self.first[i + 1])
-        if b - a <= size:
-            return self.spans(np.array([a]), np.array([b])) if b > a else np.empty(0, U64)
-        at = np.arange(a, b - size + 1)
-        return self.spans(at, at + size)
+        return self.runs(slice(a, b - size + 1), size) if b - a > size else self.runs(slice(a, a + 1), b - a) if b > a else np.empty(0, U64)
+
+
+def _two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order."""
+    return mix64(mix64(a + _LENGTH) * _ODD ^ b)
 
 
 def lower_ascii(text: bytes) -> bytes:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from graphband.llm import components, exact_dedup, kn_quality, license_scan, lookup, ngram_join, packing, quality_rules, substring_dedup, token_counts, token_output, tokens, unigram
+from graphband.llm.text import Words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept boolean, t long, key string, t_1 string"
@@ -92,6 +93,105 @@ def test_steady_frames(spark, docs, tmp_path):
         lookup.check(False)
 
 
+def thue_morse(n):
+    return ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(n)) for flip in (0, 1)]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomials_take_for_equal(spark, n):
+    """A Thue-Morse word and its complement, which meet under every polynomial modulo 2**64, are different words; so are runs of words."""
+    a, b = thue_morse(n)
+    rest = " ".join(f"w{i}" for i in range(34))
+    found = ngram_join.near_duplicates(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (2, 2)]
+    cut = substring_dedup.dedup(spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}")], "doc_id long, text string")).collect()
+    assert [r["n_removed"] for r in cut] == [0, 0]
+    apart = [" ".join(x) for x in (a, b)]
+    words = Words([t.encode() for t in apart])
+    for size in (64, n):
+        x, y = words.runs(np.array([0, n]), size)
+        assert x != y and x == Words([apart[0].encode()]).runs(np.array([0]), size)[0]
+
+
+def test_word_codes():
+    """Codes and runs follow the words alone, whatever stands around them."""
+    rng = random.Random(4)
+    vocabulary = [bytes(rng.choices(b"abc\xc3\xa9xyz", k=k)) for k in (1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 66, 200) for _ in range(4)]
+    words = [rng.choice(vocabulary) for _ in range(3000)]
+    texts = [b" ".join(words[:1000]), b"", b"  \n".join(words[1000:])]
+    found, code = Words(texts), {}
+    for w, c in zip(words, found.codes.tolist(), strict=True):
+        assert code.setdefault(w, c) == c
+    assert len(set(code.values())) == len(code)
+    for size in (1, 2, 3, 5, 10, 35, 60):
+        run = {}
+        for i, h in enumerate(found.spans(np.arange(3000 - size + 1), np.arange(size, 3001)).tolist()):
+            assert run.setdefault(tuple(words[i : i + size]), h) == h
+        assert len(set(run.values())) == len(run)
+
+
+def test_exact_sets():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))).encode() for _ in range(300)]
+    for size in (1, 2, 3, 4, 5, 8):
+        sets = ngram_join.exact_sets(texts, size)
+        plain = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for w in (t.split() for t in texts)]
+        for i, j in itertools.combinations(range(0, 300, 7), 2):
+            assert len(set(sets[i].tolist()) & set(sets[j].tolist())) == len(plain[i] & plain[j])
+            assert len(sets[i]) == len(plain[i])
+
+
+def _written(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).sortWithinPartitions("doc_id").write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@pytest.mark.parametrize("name", ["op3", "op4", "op5", "op6", "keep", "near"])
+def test_partitions_that_change_between_scans(spark, tmp_path, monkeypatch, name):
+    """Smaller splits from the second scan on: an error or the right rows, never others."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=5))
+    base = [" ".join(word() for _ in range(80)) for _ in range(1000)]
+    docs = _written(spark, f"{tmp_path}/d", [(i, base[i % 1000], "en") for i in range(2000)])
+    run = {
+        "op3": lambda: sum(r["n_removed"] for r in substring_dedup.dedup(docs).collect()),
+        "op4": lambda: kn_quality.classify(docs, spark.createDataFrame([(i, 1) for i in range(2000)], "doc_id long, quality long")).count(),
+        "op5": lambda: len({r["component_id"] for r in ngram_join.near_duplicates(docs).collect()}),
+        "op6": lambda: sum(r["kept"] for r in exact_dedup.dedup(docs).collect()),
+        "keep": lambda: exact_dedup.keep_one(docs).count(),
+        "near": lambda: ngram_join.keep_one(docs).count(),
+    }[name]
+    right = {"op3": 160_000, "op4": 2000}.get(name, 1000)
+    assert run() == right
+    publish, default = lookup.publish, spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def and_smaller_splits(rows):
+        folder = publish(rows)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        return folder
+
+    monkeypatch.setattr(lookup, "publish", and_smaller_splits)
+    try:
+        try:
+            assert run() == right
+        except Exception as e:
+            assert "partitions changed" in str(e)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", default)
+
+
+def test_roll_call(spark, tmp_path):
+    docs = lookup.steady(_written(spark, f"{tmp_path}/d", [(i, "x", "en") for i in range(100)]))
+    roll = lookup.roll_call(docs, "doc_id")
+    assert int(roll.told.value[1].sum()) == 100
+    here = lookup.Here((2, 7))
+    here.see(np.array([3, 4]))
+    here.leave()
+    with pytest.raises(RuntimeError):
+        lookup.Here((1, 3)).leave()
+    assert spark.conf.get("spark.sql.files.minPartitionNum")
+
+
 def test_hot_patterns_in_linear_work(spark, monkeypatch):
     """Thousands of unlike short texts with one common part make few candidates, and copies of one text one lead each."""
     rng = random.Random(6)
