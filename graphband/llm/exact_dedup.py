@@ -29,7 +29,7 @@ BODIES = 64 << 20  # bytes of hits' texts that a task keeps to compare copies wi
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def flush_runs(source: DataFrame, largest: bool, memtable: int, digest_bytes: int) -> DataFrame:
+def flush_runs(source: DataFrame, largest: bool, memtable: int, digest_bytes: int, roll: lookup.Roll | None = None) -> DataFrame:
     """Entries (digest, best, n, chunk) of sorted runs, one for each digest of a memtable."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,7 +41,10 @@ def flush_runs(source: DataFrame, largest: bool, memtable: int, digest_bytes: in
             table.clear()
             return out.astype({"best": "Int64"}).assign(chunk=lookup.chunk())
 
+        here = roll.here() if roll else None
         for b in batches:
+            if here:
+                here.see(b["mark"].to_numpy())
             for name, text in zip(b["doc_id"].astype("Int64").tolist(), encoded(b["text"]), strict=True):
                 name = None if name is pd.NA else name
                 key = hashlib.sha256(text.lower()).digest()[:digest_bytes]
@@ -49,6 +52,8 @@ def flush_runs(source: DataFrame, largest: bool, memtable: int, digest_bytes: in
                 table[key] = (name if best is None else best if name is None else better(best, name), n + 1)
                 if len(table) >= memtable:
                     yield flush()
+        if here:
+            here.leave()
         if table:
             yield flush()
 
@@ -77,7 +82,7 @@ def find(spark: SparkSession, index: DataFrame, texts: list[str]) -> DataFrame:
     return index.where(F.col("digest").isin(*[F.lit(d) for d in digests]))
 
 
-def _probe(source: DataFrame, hits: str, digest_bytes: int, odd: str | None = None) -> DataFrame:
+def _probe(source: DataFrame, roll: lookup.Roll, hits: str, digest_bytes: int, odd: str | None = None) -> DataFrame:
     """doc_id, t, text_sha256, chunk, digest, keep_id, group_size, and the normalised text (body) of rows to compare elsewhere.
 
     A row without a hit is its own group.  Of hits, the row that stays has its
@@ -91,8 +96,9 @@ def _probe(source: DataFrame, hits: str, digest_bytes: int, odd: str | None = No
         table = {d: (None if z else b, n) for d, b, z, n in zip(keys, best, none, group, strict=True)}
         every = set(lookup.mine(odd, "digest")[0].tolist()) if odd else set()
         first: dict[bytes, bytes] = {}
-        size = 0
+        size, here = 0, roll.here()
         for b in batches:
+            here.see(b["mark"].to_numpy())
             out = []
             for name, t, text in zip(b["doc_id"].astype("Int64").tolist(), b["t"].tolist(), encoded(b["text"]), strict=True):
                 name, body = None if name is pd.NA else name, text.lower()
@@ -115,20 +121,21 @@ def _probe(source: DataFrame, hits: str, digest_bytes: int, odd: str | None = No
                 out.append((name, t, sha.hexdigest(), digest, *hit, send))
             frame = pd.DataFrame(out, columns=["doc_id", "t", "text_sha256", "digest", "keep_id", "group_size", "body"])
             yield frame.astype({"doc_id": "Int64", "keep_id": "Int64"}).assign(chunk=lookup.chunk())
+        here.leave()
 
     return source.mapInPandas(run, "doc_id long, t long, text_sha256 string, chunk int, digest binary, keep_id long, group_size long, body binary")
 
 
-def _grouped(docs: DataFrame, largest: bool, memtable: int, digest_bytes: int, id_col: str, text_col: str) -> DataFrame:
+def _grouped(docs: DataFrame, roll: lookup.Roll, largest: bool, memtable: int, digest_bytes: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, t, chunk, keep_id, group_size, text_sha256 of every row of a steady frame."""
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("t"))
+    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("t"), lookup.mark(docs[id_col]))
     pick = F.max if largest else F.min
-    runs = _filed(flush_runs(source, largest, memtable, digest_bytes))
+    runs = _filed(flush_runs(source, largest, memtable, digest_bytes, roll))
     index = compact(runs, largest)
     discard(runs)
     several = index.where("n > 1")
     hits = lookup.publish(several.select(F.explode("chunks").alias("chunk"), "digest", F.coalesce("best", F.lit(0)).alias("best"), F.col("best").isNull().alias("none"), "n"))
-    rows = materialise(_probe(source, hits, digest_bytes))
+    rows = materialise(_probe(source, roll, hits, digest_bytes))
     columns = ["doc_id", "t", "chunk", "keep_id", "group_size", "text_sha256"]
 
     bodies = rows.where("body is not null").select("digest", "doc_id", "keep_id", "body")
@@ -140,7 +147,7 @@ def _grouped(docs: DataFrame, largest: bool, memtable: int, digest_bytes: int, i
         return rows.select(columns)
     # Digests that clash: by their bytes.
     every = lookup.publish(several.join(odd, "digest").select(F.explode("chunks").alias("chunk"), "digest"))
-    mixed = materialise(_probe(source, hits, digest_bytes, every).join(odd, "digest", "left_semi"))
+    mixed = materialise(_probe(source, roll, hits, digest_bytes, every).join(odd, "digest", "left_semi"))
     groups = mixed.groupBy("digest", "body").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     mixed = mixed.drop("keep_id", "group_size").join(groups, ["digest", "body"])
     return rows.join(odd, "digest", "left_anti").select(columns).unionByName(mixed.select(columns))
@@ -158,7 +165,8 @@ def dedup(docs: DataFrame, largest: bool = True, memtable: int = MEMTABLE, diges
     ``memtable`` entries, its chunk's hits and at most BODIES of texts.
     """
     ship_package(docs.sparkSession)
-    found = _grouped(lookup.steady(docs), largest, memtable, digest_bytes, id_col, text_col)
+    docs = lookup.steady(docs)
+    found = _grouped(docs, lookup.roll_call(docs, id_col), largest, memtable, digest_bytes, id_col, text_col)
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
@@ -166,9 +174,10 @@ def keep_one(docs: DataFrame, largest: bool = True, id_col: str = "doc_id", text
     """The rows of ``docs`` that stay, with all their columns; no text that is not a copy is shuffled."""
     ship_package(docs.sparkSession)
     docs = lookup.steady(docs)
-    found = _grouped(docs, largest, MEMTABLE, 32, id_col, text_col)
+    roll = lookup.roll_call(docs, id_col)
+    found = _grouped(docs, roll, largest, MEMTABLE, 32, id_col, text_col)
     kept = found.where("doc_id <=> keep_id").select("chunk", F.xxhash64("doc_id").alias("a"), F.col("t").alias("b")).distinct()
-    return lookup.keep(docs, kept, F.xxhash64(docs[id_col].cast("long")), F.xxhash64(docs[text_col]))
+    return lookup.keep(docs, roll, kept, id_col, text_col)
 
 
 ORACLE_SQL = f"""

@@ -9,9 +9,11 @@ all documents, very common patterns last and those with most bits first, and
 each document hands out its first t + 1: two similar documents then share one
 of these (a prefix of equal sets of parts, by the pigeonhole principle).
 Documents that share a part are candidates and are verified with their whole
-texts.
+texts, word by word.
 
-Equal sets are one class from the start.  Few documents on a part are paired
+Equal sets are one class from the start: n-grams have keyed 64-bit hashes, and a
+set two 64-bit sums of these, so that for different sets to be taken for one two
+given n-grams would have to meet by chance.  Few documents on a part are paired
 with each other.  Many are paired with one of them, the part's lead, which mostly
 joins them; a very common pattern has an agreed lead, so that what hands it out
 is paired in place and needs no meeting.  What is left apart among the followers
@@ -122,7 +124,38 @@ def dense_sketch(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def _signatures(docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
+def exact_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Sorted distinct n-gram numbers of each text, which are equal for equal words alone; A-Z count as a-z."""
+    words = [t.lower().split() for t in texts]
+    number: dict[bytes, int] = {}
+    short: dict[tuple[bytes, ...], int] = {}
+    at = np.array([number.setdefault(w, len(number)) for ws in words for w in ws], np.int64)
+    rank, have = at, 1
+
+    def both(step: int) -> np.ndarray:
+        return np.unique(rank[:-step] * (int(rank.max()) + 1) + rank[step:], return_inverse=True)[1] if len(rank) > step else rank[:0]
+
+    while 2 * have <= size and len(rank):
+        rank, have = both(have), 2 * have
+    if have < size and len(rank):
+        rank = both(size - have)
+    first, out = 0, []
+    for ws in words:
+        n = len(ws)
+        if n > size:
+            out.append(np.unique(rank[first : first + n - size + 1]))
+        else:  # numbers of whole texts are negative
+            out.append(np.array([~short.setdefault(tuple(ws), len(short))] if n else [], np.int64) if n < size else np.unique(rank[first : first + 1]))
+        first += n
+    return out
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _signatures(docs: DataFrame, size: int, percent: int, seed: int, roll: lookup.Roll | None = None) -> DataFrame:
     """n, c, c2, doc_id, t, chunk of each row; and as n = -1 partial counts of patterns: t classes hold pattern c, and c2 has most such patterns of them, doc_id in number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,7 +181,10 @@ def _signatures(docs: DataFrame, size: int, percent: int, seed: int) -> DataFram
             last = np.cumsum(n[much]) - 1
             return pd.DataFrame({"n": -1, "c": key[by][last], "c2": c[by][last], "doc_id": score[by][last], "t": n[much], "chunk": lookup.chunk()}).astype({"doc_id": "Int64"})
 
+        here = roll.here() if roll else None
         for b in batches:
+            if here:
+                here.see(b["mark"].to_numpy())
             rows = []
             for s in shingle_sets(encoded(b["text"]), size, seed):
                 c, c2 = class_of(s)
@@ -165,6 +201,8 @@ def _signatures(docs: DataFrame, size: int, percent: int, seed: int) -> DataFram
                         yield common()
             out = pd.DataFrame(rows, columns=["n", "c", "c2"], dtype="int64")
             yield out.assign(doc_id=b["doc_id"].astype("Int64").array, t=b["t"].array, chunk=lookup.chunk())
+        if here:
+            here.leave()
         if held:
             yield common()
 
@@ -296,18 +334,21 @@ def _texts(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int, seed:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+    """The pairs (a, b) whose sets are similar: by hashes, then by the words themselves."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            good = []
+            good = np.zeros(len(b), bool)
             for i in range(0, len(b), 256):
                 part = b.iloc[i : i + 256]
-                sets = shingle_sets([bytes(t) for p in zip(part["ta"], part["tb"], strict=True) for t in p], size, seed)
-                for x, y in zip(sets, sets, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.loc[np.array(good, bool), ["a", "b"]]
+                texts = [bytes(t) for p in zip(part["ta"], part["tb"], strict=True) for t in p]
+                sets = shingle_sets(texts, size, seed)
+                near = [k for k, (x, y) in enumerate(zip(sets, sets, strict=True)) if similar(x, y, percent)]
+                for m, n in slices([texts[2 * k] + texts[2 * k + 1] for k in near], PIECE):
+                    own = exact_sets([texts[2 * k + side] for k in near[m:n] for side in (0, 1)], size)
+                    for k, x, y in zip(near[m:n], own[::2], own[1::2], strict=True):
+                        good[i + k] = similar(x, y, percent)
+            yield b.loc[good, ["a", "b"]]
 
     first = pairs.select("a", "b").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
     return first.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").mapInPandas(run, "a long, b long")
@@ -372,10 +413,10 @@ def _crowd_pairs(followers: DataFrame, labels: DataFrame, sketches: DataFrame, p
     return found.select("a", "b").distinct()
 
 
-def _classify(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _classify(docs: DataFrame, roll: lookup.Roll, size: int, percent: int) -> DataFrame:
     """doc_id, t, chunk, n, component_id of every row of docs (doc_id, text, t, more)."""
     for seed in range(8):  # a number that two different sets share calls for another seed
-        seen = materialise(_signatures(docs, size, percent, seed))
+        seen = materialise(_signatures(docs, size, percent, seed, roll))
         rows = seen.where("n >= 0")
         classes = materialise(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("named"), (F.min("c2") != F.max("c2")).alias("clash")))
         if classes.where("clash").isEmpty():
@@ -401,13 +442,13 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
     are not read; an empty table gives no rows.
     """
     ship_package(docs.sparkSession)
-    found = _classify(_read(lookup.steady(docs), id_col, text_col), size, percent)
+    docs = lookup.steady(docs)
+    found = _classify(_read(docs, id_col, text_col), lookup.roll_call(docs, id_col), size, percent)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "t")
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.withColumn("t", F.xxhash64("text"))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("t"), lookup.mark(docs[id_col]))
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -418,9 +459,10 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col:
     """
     ship_package(docs.sparkSession)
     docs = lookup.steady(docs)
-    found = _classify(_read(docs, id_col, text_col), size, percent)
+    roll = lookup.roll_call(docs, id_col)
+    found = _classify(_read(docs, id_col, text_col), roll, size, percent)
     kept = found.where("doc_id <=> component_id").select("chunk", F.xxhash64("doc_id").alias("a"), F.col("t").alias("b")).distinct()
-    return lookup.keep(docs, kept, F.xxhash64(docs[id_col].cast("long")), F.xxhash64(docs[text_col]))
+    return lookup.keep(docs, roll, kept, id_col, text_col)
 
 
 def _joined(docs: DataFrame, seen: DataFrame, size: int, percent: int, seed: int) -> DataFrame:

@@ -66,8 +66,7 @@ class Blocks:
         self.text = self.low = self.high = self.seed = self.block = empty
         if n < window:
             return
-        at = np.arange(n - seed + 1)
-        seeds = words.spans(at, at + seed)
+        seeds = words.runs(slice(0, n - seed + 1), seed)
         choice = _least(seeds, window - seed + 1)  # for a window start, the seed's place
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
         start = np.arange(len(choice))
@@ -87,7 +86,7 @@ class Blocks:
         """Of these blocks the windows' starts, one block after another, and their hashes."""
         sizes = self.high[which] - self.low[which] + 1
         start = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.low[which], sizes)
-        return start, _signed(self.words.spans(start, start + self.window))
+        return start, _signed(self.words.runs(start, self.window))
 
 
 def _blocks(texts: list[bytes], doc: np.ndarray, t: np.ndarray, window: int, seed: int) -> Iterator[tuple[Blocks, np.ndarray, np.ndarray, np.ndarray]]:
@@ -129,7 +128,7 @@ class Known:
         lookup.check(bool(self.met.all()))
 
 
-def reference_index(docs: DataFrame, window: int, seed: int) -> DataFrame:
+def reference_index(docs: DataFrame, roll: lookup.Roll, window: int, seed: int) -> DataFrame:
     """chunk, block, seed, n, first, last, mixed: for each chunk its blocks whose seed stands in several places.
 
     n places hold the block, first and last among them; ``mixed`` says that
@@ -138,6 +137,7 @@ def reference_index(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
+        here = roll.here()
 
         def flush() -> pd.DataFrame:
             rows = np.concatenate(held)
@@ -148,11 +148,13 @@ def reference_index(docs: DataFrame, window: int, seed: int) -> DataFrame:
             return pd.DataFrame({"seed": rows[new, 0], "block": rows[new, 1], "n": last - new + 1, "first": rows[new, 2], "last": rows[last, 2], "chunk": lookup.chunk()})
 
         for b in batches:
+            here.see(b["mark"].to_numpy())
             for blocks, _, _, place in _blocks(encoded(b["text"]), *_numbers(b), window, seed):
                 if len(place):
                     held.append(np.stack([blocks.seed, blocks.block, place], axis=1))
                     if sum(map(len, held)) >= FLUSH:
                         yield flush()
+        here.leave()
         if held:
             yield flush()
 
@@ -163,11 +165,11 @@ def reference_index(docs: DataFrame, window: int, seed: int) -> DataFrame:
     return several.select(F.explode("chunks").alias("chunk"), "block", "seed", "n", "first", "last", "mixed")
 
 
-def end_windows(docs: DataFrame, known: str, window: int, seed: int) -> DataFrame:
+def end_windows(docs: DataFrame, roll: lookup.Roll, known: str, window: int, seed: int) -> DataFrame:
     """chunk, seed, w: windows that stand elsewhere, for the chunks with blocks that stand nowhere else but hold such a window."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Known(known)
+        index, here = Known(known), roll.here()
         held: list[np.ndarray] = []
 
         def flush() -> pd.DataFrame:
@@ -179,6 +181,7 @@ def end_windows(docs: DataFrame, known: str, window: int, seed: int) -> DataFram
             return pd.DataFrame({"seed": rows[new, 0], "w": rows[new, 1], "n": np.diff(np.append(new, len(rows))), "chunk": pd.Series(np.full(len(new), lookup.chunk()), dtype="Int32").mask(single == 0)})
 
         for b in batches:
+            here.see(b["mark"].to_numpy())
             if not index.mixed.any():
                 continue
             for blocks, _, _, place in _blocks(encoded(b["text"]), *_numbers(b), window, seed):
@@ -192,6 +195,7 @@ def end_windows(docs: DataFrame, known: str, window: int, seed: int) -> DataFram
                     held.append(np.stack([np.repeat(blocks.seed[hit], sizes), w, np.repeat((index.n[at] == 1).astype(np.int64), sizes)], axis=1))
                     if sum(map(len, held)) >= FLUSH:
                         yield flush()
+        here.leave()
         if held:
             yield flush()
 
@@ -239,10 +243,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str =
 
     ship_package(docs.sparkSession)
     docs = lookup.steady(docs)
-    text_and_id = [docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("t")]
+    roll = lookup.roll_call(docs, id_col)
+    text_and_id = [docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("t"), lookup.mark(docs[id_col])]
     source = docs.select(*text_and_id)
-    known = lookup.publish(reference_index(source, window, seed))
-    twice = lookup.publish(end_windows(source, known, window, seed))
+    known = lookup.publish(reference_index(source, roll, window, seed))
+    twice = lookup.publish(end_windows(source, roll, known, window, seed))
 
     def spans(texts: list[bytes], doc: np.ndarray, t: np.ndarray, index: Known, ends: np.ndarray) -> list[list[tuple[int, int]]]:
         """Of each text, first and last window starts of its factors."""
@@ -268,9 +273,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str =
         return out
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Known(known)
+        index, here = Known(known), roll.here()
         ends = np.sort(_ends_key(*lookup.mine(twice, "seed", "w")))
         for b in batches:
+            here.see(b.column("mark").to_numpy())
             n_words, n_removed, shas, n_factors, kept_texts = [], [], [], [], []
             plain = b.column("text").to_pylist()
             texts = encoded(plain)
@@ -294,6 +300,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str =
             carried = [b.column(f"c{i}") for i in range(len(carry))]
             names = [f"c{i}" for i in range(len(carry))] + [c.split()[0] for c in RESULT.split(", ")]
             yield pa.RecordBatch.from_arrays([*carried, b.column("doc_id"), *own], names)
+        here.leave()
         index.check()
 
     rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(carry)], *text_and_id)
