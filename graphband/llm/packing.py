@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from graphband.llm.text import encoded
-from graphband.llm.tokens import encoder
+from graphband.llm.tokens import MAX_BYTES, encoder
 from graphband.session import ship_package
 
 TIERS = (256, 512, 1024, 2048)
@@ -127,18 +127,19 @@ def steps(windows: list[tuple[int, list[tuple]]], size: int) -> list[int]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_windows: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_windows: int = 16, id_col: str = "doc_id", text_col: str = "text", table: int = MAX_BYTES) -> DataFrame:
     """One row for each piece: its document, place and checksum, and its window, tier and training step.
 
     A null or empty text is its end token alone.  Null ids and repeated rows
     are documents of their own; other columns are not read; an empty table
     gives no rows.  Numbers of windows and steps are unique over all tasks.
-    No shuffle: memory is one batch of token ids and the open window.
+    No shuffle: memory is one batch of token ids, the open window and a table of
+    words' ids of about ``table`` bytes, which a worker keeps between tasks.
     """
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool, packer = encoder(tokenizer), Packer(tiers)
+        tool, packer = encoder(tokenizer, table), Packer(tiers)
         end = np.array([end_id], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 40
         kept: dict[int, tuple] = {}  # documents with tokens in the open window

@@ -55,7 +55,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ids: dict[bytes, bytes] = {}
-        self.held = 0
+        self.held, self.most = 0, MAX_BYTES
 
     def _model(self, spelled: str) -> bytes:
         ids = [t.id for t in self.tokenizer.model.tokenize(spelled)]
@@ -92,7 +92,7 @@ class WordEncoder:
                 split.append((t if b"<|" in low else low).split())
             needed = set().union(*split)
             new = needed.difference(self.ids)
-            if new and self.held > MAX_BYTES:
+            if new and self.held > min(self.most, MAX_BYTES):
                 self.ids.clear()
                 self.held, new = 0, needed
             self._learn(new)
@@ -109,8 +109,9 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """This worker's encoder, kept from task to task."""
+def encoder(path: str, most: int = MAX_BYTES) -> WordEncoder:
+    """This worker's encoder, kept from task to task, with a table of ``most`` bytes."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+    _ENCODERS[path].most = most
     return _ENCODERS[path]
