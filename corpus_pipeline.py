@@ -12,6 +12,9 @@ from graphband.llm import exact_dedup, ngram_join, packing, quality_rules, subst
 from graphband.llm.queries import tokenizer
 from graphband.session import discard, materialise, table
 
+#: Bytes of words' ids that a worker keeps while it serves other stages.
+TABLE = 64 << 20
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go, those without ten words among them."""
@@ -35,7 +38,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a document in a training window."""
-    return packing.pack(docs, tokenizer())
+    return packing.pack(docs, tokenizer(), table=TABLE)
 
 
 STAGES = [
