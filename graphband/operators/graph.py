@@ -96,6 +96,40 @@ def matching(edges: DataFrame, nodes: DataFrame, strategy: str = "modified", cap
         both = materialise(both.unionByName(rest.select(*columns, F.lit(False).alias("matched"))))  # and one job for the rest
         found.append(both.where("matched").select("u", "v"))
         left = both.where("not matched").select(*columns)
+    return _mates(nodes, found)
+
+
+def visit_matching(edges: DataFrame, nodes: DataFrame, strategy: str = "modified", cap: float | None = None, seed: int = 0) -> DataFrame:
+    """The matching (id, mate) of a greedy pass that visits nodes in ``visit_order`` and takes the best neighbour still free; others are their own mates.
+
+    Deterministic reservations: in a round every free node picks its best free
+    neighbour, and the pick stands where its node comes first in the order
+    among all that could interfere: both ends' free neighbours and themselves.  Nothing that comes earlier
+    can then change what is free around the pair, so the rounds end in the same
+    matching as one visit after another, whatever the partitions.
+    """
+    places = materialise(visit_order(edges, nodes, strategy, seed).select("id", "place"))
+    left = candidates(edges, nodes, strategy, cap)
+    for end in ("u", "v"):
+        left = left.join(places.select(F.col("id").alias(end), F.col("place").alias(f"at_{end}")), end)
+    columns, found = ["u", "v", "w", "score", "tie", "at_u", "at_v"], []
+    left = materialise(left.select(*columns))
+    key = F.struct("score", F.abs("w").alias("m"), F.col("tie").alias("t"), F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"))
+    while not left.isEmpty():
+        picks = materialise(left.groupBy("u").agg(F.max_by("v", key).alias("v"), F.least(F.min("at_u"), F.min("at_v")).alias("first"), F.min("at_u").alias("at")))
+        of_v = picks.select(F.col("u").alias("v"), F.col("first").alias("first_v"))
+        pairs = picks.where("first = at").join(of_v.hint("shuffle_hash"), "v").where("first_v = at").select("u", "v")
+        taken = pairs.select(F.explode(F.array("u", "v")).alias("x"))
+        rest = left.join(taken.withColumnRenamed("x", "u"), "u", "left_anti").join(taken.withColumnRenamed("x", "v"), "v", "left_anti")
+        both = pairs.select("u", "v", *[F.lit(None).alias(c) for c in columns[2:]], F.lit(True).alias("matched"))
+        both = materialise(both.unionByName(rest.select(*columns, F.lit(False).alias("matched"))))
+        found.append(both.where("matched").select("u", "v"))
+        left = both.where("not matched").select(*columns)
+    return _mates(nodes, found)
+
+
+def _mates(nodes: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """(id, mate) of pairs (u, v); other nodes are their own mates."""
     if not found:
         return nodes.select("id", F.col("id").alias("mate"))
     pairs = reduce(DataFrame.unionAll, found)
@@ -103,8 +137,12 @@ def matching(edges: DataFrame, nodes: DataFrame, strategy: str = "modified", cap
     return nodes.select("id").join(ends, "id", "left").select("id", F.coalesce("mate", "id").alias("mate"))
 
 
-def ranked(rows: DataFrame, by: str | list[str], name: str, step: Column | None = None) -> DataFrame:
-    """``rows`` with a column of how many rows come before, by ``by`` (or the sum of their ``step``).
+#: How a level is matched: by rounds of mutual best, or as a pass in visit order does.
+MATCHINGS = {"mutual": lambda edges, nodes, strategy, cap, seed: matching(edges, nodes, strategy, cap), "visit": visit_matching}
+
+
+def ranked(rows: DataFrame, by: str | list[str], name: str, step: Column | None = None, kind: str = "long") -> DataFrame:
+    """``rows`` with a column of how many rows come before, by ``by`` (or the sum of their ``step``, a ``kind``).
 
     Ranges are numbered side by side and shifted by the sums before them, so
     that no task sees all rows.
@@ -116,7 +154,7 @@ def ranked(rows: DataFrame, by: str | list[str], name: str, step: Column | None
     shift = parts.groupBy("part").agg(F.sum(step).alias("n"))  # a row for each range
     shift = shift.select("part", before("n", Window.orderBy("part")).alias("before"))
     own = parts.withColumn("own", before(step, Window.partitionBy("part").orderBy(*by)))
-    return own.join(shift, "part").select(*rows.columns, (F.col("own") + F.col("before")).cast("long").alias(name))
+    return own.join(shift, "part").select(*rows.columns, (F.col("own") + F.col("before")).cast(kind).alias(name))
 
 
 def supernodes(mates: DataFrame) -> DataFrame:
@@ -167,10 +205,10 @@ class Chain:
     levels: list[dict]
 
 
-def chain(edges: DataFrame, nodes: DataFrame, inferior: int, superior: int | None, strategy: str = "modified", cap: float | None = None, ratio: float = 0.99, max_levels: int = 30) -> Chain:
+def chain(edges: DataFrame, nodes: DataFrame, inferior: int, superior: int | None, strategy: str = "modified", cap: float | None = None, ratio: float = 0.99, max_levels: int = 30, rule: str = "mutual", seed: int = 0) -> Chain:
     """Coarsens until the rules stop it, whether or not the size asked for is reached.
 
-    ``max_levels`` counts the first graph.  A level below ``inferior`` is
+    ``rule`` names the matching in MATCHINGS.  ``max_levels`` counts the first graph.  A level below ``inferior`` is
     refused; one that is not above ``superior`` ends the chain whatever its
     ratio; one that does not shrink, or by less than ``ratio`` asks, is refused.
     """
@@ -183,7 +221,7 @@ def chain(edges: DataFrame, nodes: DataFrame, inferior: int, superior: int | Non
         out.reason = "the first graph is in range"
     while not out.reason and n > inferior and len(out.graphs) < max_levels:
         e, c = out.graphs[-1]
-        labels = materialise(supernodes(matching(e, c, strategy, cap)))
+        labels = materialise(supernodes(MATCHINGS[rule](e, c, strategy, cap, seed)))
         coarse = materialise(contract_nodes(c, labels))
         links = materialise(contract_edges(e, labels))
         m, level = coarse.count(), len(out.graphs)

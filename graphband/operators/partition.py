@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphband.functions import guards
@@ -122,17 +124,19 @@ def connectivity(edges: DataFrame, part: DataFrame) -> DataFrame:
     return with_parts(symmetric(edges), part).groupBy(F.col("u").alias("id"), F.col("pv").alias("p")).agg(F.sum("w").alias("w"))
 
 
-def move_scores(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, objective: str = "cut", balance: float = 0.0) -> DataFrame:
+def move_scores(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, objective: str = "cut", balance: float = 0.0, only: DataFrame | None = None) -> DataFrame:
     """(id, source, target, gain, score) of moves to a neighbouring part that keep both parts within bounds.
 
     ``cut_balance`` subtracts ``balance`` times the change in the two parts'
     squared deviations from an even share; ``cut`` scores by the gain alone.
-    Of equal scores both are listed.
+    Of equal scores both are listed.  ``only`` (id) names the nodes that may move.
     """
     if objective not in ("cut", "cut_balance"):
         raise ValueError(f"unknown objective {objective!r}")
     b = bounds(part_weights(nodes, part, k), k, tolerance)
     conn = connectivity(edges, part)
+    if only is not None:
+        conn = conn.join(only.select("id"), "id", "left_semi")
     own = part.select("id", F.col("p").alias("source")).join(nodes.select("id", guards.node_weight(F.col("c")).alias("c")), "id")
     here = conn.join(own, "id").where("p = source").select("id", F.col("w").alias("here"))
     x = conn.withColumnRenamed("p", "target").join(own, "id").where("target <> source").join(here, "id", "left")
@@ -236,27 +240,38 @@ def independent_moves(edges: DataFrame, part: DataFrame) -> DataFrame:
     return independent(edges, best_moves(edges, part).withColumn("score", F.col("gain"))).drop("score")
 
 
-def admitted_moves(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, objective: str = "cut", balance: float = 0.0, most: int | None = None) -> DataFrame:
+def _running(moves: DataFrame, by: str, name: str) -> DataFrame:
+    """Moves with the weight of their part's moves up to them, best first; all moves are ranked together, so that a part is not one task's."""
+    placed = ranked(moves.withColumn("worst", -F.col("score")), [by, "worst", "id"], "before", F.col("c"), "double")
+    first = placed.groupBy(by).agg(F.min("before").alias("first"))  # a row for each part
+    return placed.join(F.broadcast(first), by).withColumn(name, F.col("before") - F.col("first") + F.col("c")).drop("worst", "before", "first")
+
+
+def admitted_moves(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, objective: str = "cut", balance: float = 0.0, most: int | None = None, only: DataFrame | None = None) -> DataFrame:
     """Independent moves, best first, while what leaves a part and what enters one keep to the bounds.
 
     Under ``cut_balance`` penalties do not add up, so one move at most leaves
-    and enters each part.  Of ``most`` moves the best are taken.  The running
-    sums of a part are those of its movers alone.
+    and enters each part.  Of ``most`` moves the best are taken.  Running sums
+    count a part's movers alone.  ``only`` (id) names nodes that may move,
+    no two of which are neighbours.
     """
     b = materialise(bounds(part_weights(nodes, part, k), k, tolerance))
-    moves = independent(edges, materialise(best_by_score(move_scores(edges, nodes, part, k, tolerance, objective, balance))))
-    moves = moves.join(nodes.select("id", guards.node_weight(F.col("c")).alias("c")), "id")
-    order = lambda p: Window.partitionBy(p).orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    moves = materialise(best_by_score(move_scores(edges, nodes, part, k, tolerance, objective, balance, only)))
+    if only is None:
+        moves = independent(edges, moves)
+    moves = materialise(moves.join(nodes.select("id", guards.node_weight(F.col("c")).alias("c")), "id"))
     if objective == "cut_balance":
+        best = F.struct("score", (-F.col("id")).alias("i"))
+        top = lambda x, p: x.groupBy(p).agg(F.max_by(F.struct(*moves.columns), best).alias("m")).select("m.*")
         # A part whose best move out is another part's second best in waits for the next pass.
-        out = moves.withColumn("o", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "id"))).where("o = 1")
-        out = out.withColumn("i", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "id"))).where("i = 1")
+        out = materialise(top(top(moves, "source"), "target"))
         # A part that both gives and takes has two changes: only the better one stands.
         ends = out.select("id", "score", F.explode(F.array("source", "target")).alias("p"))
-        lost = ends.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score"), "id"))).where("r > 1").select("id").distinct()
+        wins = ends.groupBy("p").agg(F.max_by("id", best).alias("wins"))
+        lost = ends.join(wins, "p").where("id <> wins").select("id").distinct()
         out = out.join(lost, "id", "left_anti")
     else:
-        out = moves.withColumn("leaves", F.sum("c").over(order("source"))).withColumn("enters", F.sum("c").over(order("target")))
+        out = _running(_running(moves, "source", "leaves"), "target", "enters")
         out = out.join(b.select(F.col("p").alias("source"), (F.col("weight") - F.col("lower")).alias("spare")), "source").join(b.select(F.col("p").alias("target"), (F.col("upper") - F.col("weight")).alias("room")), "target")
         out = out.where("leaves <= spare AND enters <= room")
     if most is not None:
@@ -282,3 +297,49 @@ def refine(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, toleranc
             break
         part = materialise(moved(part, moves))
     return part
+
+
+#: The order in which colours are given, a scattering of ids.
+PRIORITY = "(id * 7919 + 104729) % 1000003"
+
+
+def colours(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, colour) of the given nodes: no edge joins two of one colour.
+
+    Jones and Plassmann's rounds: those that come before all their uncoloured
+    neighbours, by PRIORITY and id, take the round's number together.
+    """
+    key = F.struct(F.expr(PRIORITY).alias("p"), "id")
+    left = ids.select("id", key.alias("key"))
+    near = symmetric(edges).join(left.select(F.col("id").alias("u"), F.col("key").alias("ku")), "u").join(left.select(F.col("id").alias("v"), F.col("key").alias("kv")), "v")
+    near = materialise(near.where("kv > ku").select("u", "v"))  # a node waits for these
+    left, done, n = materialise(ids.select("id")), [], 0
+    while not left.isEmpty():
+        waits = near.join(left.withColumnRenamed("id", "v"), "v", "left_semi").select(F.col("u").alias("id")).distinct()
+        new = materialise(left.join(waits.withColumn("waits", F.lit(True)), "id", "left").select("id", F.coalesce("waits", F.lit(False)).alias("waits")))
+        done.append(new.where("not waits").select("id", F.lit(n).cast("long").alias("colour")))
+        left, n = new.where("waits").select("id"), n + 1
+    return reduce(DataFrame.unionAll, done) if done else ids.select("id", F.lit(0).cast("long").alias("colour"))
+
+
+def refine_by_colours(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, passes: int = 10, objective: str = "cut", balance: float = 0.0, most: int | None = None) -> DataFrame:
+    """As ``refine``, with updates inside a pass: the boundary's colours move one after another, each with gains and weights as the last one left them.
+
+    Nodes of one colour are no neighbours, so their gains add up.
+    """
+    if k <= 1:
+        return nodes.select("id", F.lit(0).cast("long").alias("p"))
+    edges = edges.select("u", "v", guards.edge_weight(F.col("w")).alias("w"))
+    for _ in range(passes):
+        classes = materialise(colours(edges, boundary(edges, part)))
+        last, moved_any, n = classes.agg(F.max("colour")).first()[0], False, 0
+        for colour in range(-1 if last is None else last, -1, -1):
+            moves = materialise(admitted_moves(edges, nodes, part, k, tolerance, objective, balance, None if most is None else most - n, classes.where(F.col("colour") == colour)))
+            some = moves.count()
+            if some:
+                part, moved_any, n = materialise(moved(part, moves)), True, n + some
+            if most is not None and n >= most:
+                break
+        if not moved_any:
+            break
+    return part

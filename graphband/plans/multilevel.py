@@ -30,6 +30,12 @@ class Settings:
     balance: float = 0.0
     passes: int = 5
     moves: int | None = None
+    matching: str = "mutual"
+    refinement: str = "independent"
+
+
+#: How a level is refined: independent moves of all nodes at once, or colour after colour.
+REFINEMENTS = {"independent": partition.refine, "colours": partition.refine_by_colours}
 
 
 @dataclass
@@ -60,7 +66,7 @@ def uncoarsen(run: graph.Chain, part: DataFrame, s: Settings, k: int) -> DataFra
     """The coarsest graph's partition on the first graph, refined at each level on the way; as it is where there is no map."""
     for labels, (edges, nodes) in zip(reversed(run.maps), reversed(run.graphs[:-1]), strict=True):
         part = materialise(partition.project(labels, part))
-        part = partition.refine(edges, nodes, part, k, s.tolerance, s.passes, s.objective, s.balance, s.moves)
+        part = REFINEMENTS[s.refinement](edges, nodes, part, k, s.tolerance, s.passes, s.objective, s.balance, s.moves)
     return part
 
 
@@ -72,7 +78,7 @@ def run(matrices: dict[str, DataFrame], n: int, s: Settings) -> Run:
     cap = s.cap
     if cap is None and s.k > 1:
         cap = graph.weight_cap(nodes, s.k).first()["cap"]
-    chain = graph.chain(edges, nodes, s.inferior, s.superior, s.strategy, cap, s.ratio, s.max_levels)
+    chain = graph.chain(edges, nodes, s.inferior, s.superior, s.strategy, cap, s.ratio, s.max_levels, s.matching, s.seed)
     if s.superior is not None and not chain.reachable:
         raise ValueError(f"the coarsest graph is not within [{s.inferior}, {s.superior}]: {chain.reason}")
     k = kway.clamp(s.k, chain.graphs[-1][1].count())

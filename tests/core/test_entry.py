@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 from graphband import queries as core
-from graphband import queries_multilevel, queries_study
+from graphband import queries_graph, queries_multilevel, queries_study
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,11 +26,11 @@ def con():
     return c
 
 
-KNOWN = core.queries() | queries_multilevel.queries() | queries_study.queries()
-SQL = core.oracle_sql() | queries_multilevel.oracle_sql() | queries_study.oracle_sql()
+KNOWN = core.queries() | queries_multilevel.queries() | queries_graph.queries() | queries_study.queries()
+SQL = core.oracle_sql() | queries_multilevel.oracle_sql() | queries_graph.oracle_sql() | queries_study.oracle_sql()
 
 
-@pytest.mark.parametrize("name", ["locality_before_after", "band_curve_100", "hem_mutual_round", "move_gain_cut", "independent_moves", "qubo_energy", "stage_durations", "usage_by_unit", "permutation_check", "lattice_m", "kpi_summary", "case_product", "config_validation", "telemetry_extract"])
+@pytest.mark.parametrize("name", ["locality_before_after", "band_curve_100", "hem_mutual_round", "move_gain_cut", "independent_moves", "qubo_energy", "stage_durations", "usage_by_unit", "permutation_check", "lattice_m", "kpi_summary", "case_product", "config_validation", "telemetry_extract", "graph_components", "component_levels", "visit_matching_sorted", "boundary_colours", "admitted_moves"])
 def test_against_sql(spark, con, name):
     got, want = KNOWN[name](spark, SF).toPandas(), con.sql(SQL[name]).df()
     cols = sorted(want.columns)

@@ -3,10 +3,11 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from graphband import config
-from graphband.operators import graph, kway, metrics, partition
+from graphband.operators import components, graph, kway, metrics, partition, spectral
 from graphband.plans import multilevel
 from graphband.session import materialise
 from graphband.sources import artifacts, lattice, mtx
@@ -23,14 +24,145 @@ def triangles(spark):
 
 
 def test_levels_and_level_sets(triangles):
-    assert rows(kway.levels(*triangles, 0)) == [(0, 0), (1, 1), (2, 1), (3, 2), (4, 3), (5, 3)]
+    start = triangles[1].where("id = 0")
+    assert rows(components.levels(triangles[0], start)) == [(0, 0), (1, 1), (2, 1), (3, 2), (4, 3), (5, 3)]
     parts = dict(rows(kway.level_sets(*triangles, 2)))
     assert {frozenset(i for i in parts if parts[i] == p) for p in (0, 1)} == {frozenset((0, 1, 2)), frozenset((3, 4, 5))}
 
 
 def test_levels_of_separate_components(spark, triangles):
     edges = triangles[0].where("u <> 2 OR v <> 3")
-    assert rows(kway.levels(edges, triangles[1], 4)) == [(0, 2), (1, 3), (2, 3), (3, 1), (4, 0), (5, 1)]
+    assert rows(components.graph_components(edges, triangles[1])) == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 3)]
+    assert rows(components.levels(edges, triangles[1].where("id IN (1, 4)"))) == [(0, 1), (1, 0), (2, 1), (3, 1), (4, 0), (5, 1)]
+
+
+def test_long_levels_and_components(spark):
+    """A path longer than a job's steps, a ring and isolated nodes, against a plain search."""
+    pairs = [(i, i + 1) for i in range(40)] + [(100 + i, 100 + (i + 1) % 9) for i in range(9)] + [(7, 7)]
+    edges = spark.createDataFrame([(min(p), max(p), 1.0) for p in pairs], "u long, v long, w double")
+    found = dict(rows(components.levels(edges, spark.createDataFrame([(3,), (104,)], "id long"))))
+    assert found == {i: abs(i - 3) for i in range(41)} | {100 + i: min((i - 4) % 9, (4 - i) % 9) for i in range(9)}
+    nodes = spark.range(200).selectExpr("id", "1.0D AS c")
+    assert dict(rows(components.graph_components(edges, nodes))) == {i: 0 if i <= 40 else 100 if 100 <= i < 109 else i for i in range(200)}
+
+
+def _jobs(spark, run):
+    """What a call returns, and how many jobs it starts."""
+    tracker, group = spark.sparkContext.statusTracker(), f"counted-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    return out, len(tracker.getJobIdsForGroup(group))
+
+
+def test_isolated_nodes_cost_no_jobs(spark):
+    edges = spark.createDataFrame([(3, 9, 1.0)], "u long, v long, w double")
+    count = {}
+    for n in (12, 10_000):
+        nodes = materialise(spark.range(n).selectExpr("id", "1.0D AS c"))
+        parts, count[n] = _jobs(spark, lambda nodes=nodes: kway.partition("levels", edges, nodes, 4).groupBy("p").count().collect())
+        assert sorted(r["count"] for r in parts) == [n // 4] * 4
+    assert count[10_000] <= count[12] + 4
+
+
+def test_fiedler_against_a_dense_solver(spark):
+    """Eigenvalue, residual and numbers of a weighted graph of two components, by numpy."""
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(30), 2))): rng.randint(1, 9) for _ in range(70)}
+    pairs |= {(i, i + 1): 1 for i in range(29)} | {(50, 51): 2, (51, 52): 3, (50, 53): 4}
+    edges = materialise(spark.createDataFrame([(u, v, float(w)) for (u, v), w in pairs.items()], "u long, v long, w double"))
+    nodes = spark.range(60).selectExpr("id", "1.0D AS c")
+    y, told = spectral.fiedler(edges, components.graph_components(edges, nodes), rounds=40, residual=1e-7)
+    got, theta = {r["id"]: r["y"] for r in y.collect()}, {r["comp"]: r["theta"] for r in told.collect()}
+    for comp, ids in ((0, range(30)), (50, range(50, 54))):
+        ids = list(ids)
+        w = np.array([[pairs.get((min(a, b), max(a, b)), 0) for b in ids] for a in ids], float)
+        d = np.sqrt(w.sum(axis=1))
+        values, vectors = np.linalg.eigh(w / np.outer(d, d))
+        assert theta[comp] == pytest.approx(values[-2], abs=1e-9)
+        own, want = np.array([got[i] for i in ids]), vectors[:, -2] / d
+        assert abs(own @ want) / np.linalg.norm(own) / np.linalg.norm(want) == pytest.approx(1, abs=1e-6)
+
+
+def test_spectral_cuts_no_worse_than_levels(spark):
+    pairs = materialise(lattice.couplings(spark, 12, 4, 3))
+    k = materialise(lattice.matrix(pairs, 1, "k"))
+    edges, nodes = materialise(graph.matrix_to_graph(k, 1)), materialise(graph.node_weights(k, 144, 1))
+    cut = lambda name: partition.edge_cut(edges, materialise(kway.partition(name, edges, nodes, 2))).first()[0]
+    assert cut("spectral") <= cut("levels") * (1 + 1e-9)
+
+
+@pytest.mark.parametrize("k", [2, 4, 8])
+def test_depths_give_the_blocks_of_one_split_after_another(spark, k):
+    pairs = materialise(lattice.couplings(spark, 8, 3, 2))
+    m = materialise(lattice.matrix(pairs, 1, "k"))
+    edges, nodes = materialise(graph.matrix_to_graph(m, 1)), materialise(spark.range(48).selectExpr("id", "1.0D AS c"))
+    blocks = lambda part: {frozenset(i for i, q in part if q == p) for p in {q for _, q in part}}
+    by_id = lambda e, n, b, seed: n.selectExpr("id", "0L AS comp", "(id * 37 % 48) * 1.0D AS key")
+    one = kway.recursive(edges, nodes, k, bisect=kway.bisect_by(by_id))
+    found = kway.by_depth(edges, nodes, k, orders=by_id)
+    assert blocks(rows(found.select("id", "p"))) == blocks(rows(one)) and len(blocks(rows(one))) == k
+
+
+def test_starts_together(spark, triangles):
+    """Each start is a partition of its own, and the best one is that of a loop over their scores."""
+    parts = materialise(kway.by_depth(*triangles, 2, 0.3, 1, starts=3))
+    assert sorted(r["count"] for r in parts.groupBy("start").count().collect()) == [6, 6, 6]
+    scores = dict(rows(kway.start_scores(*triangles, parts, 2, 0.1)))
+    for i in range(3):
+        own = materialise(parts.where(f"start = {i}").select("id", "p"))
+        assert scores[i] == pytest.approx(partition.partition_score(*triangles, own, 2, 0.1, 1.0).first()["score"])
+    best = min(scores, key=lambda i: (scores[i], i))
+    assert rows(kway.several_starts(*triangles, 2, 0.3, 1)) == rows(kway.by_depth(*triangles, 2, 0.3, 1, starts=3).where(f"start = {best}").select("id", "p"))
+
+
+def one_visit_after_another(pairs, weight, order, cap):
+    """The plain greedy pass."""
+    near = {}
+    for (u, v), w in pairs.items():
+        near.setdefault(u, {})[v] = w
+        near.setdefault(v, {})[u] = w
+    mate = {}
+    for u in order:
+        if u in mate:
+            continue
+        free = [v for v in near.get(u, {}) if v not in mate and (cap is None or weight[u] + weight[v] <= cap)]
+        key = lambda v: (round(near[u][v], 9), near[u][v], (min(u, v) * 31 + max(u, v) * 17) % 1009, min(u, v), max(u, v))  # noqa: B023, E731
+        v = max(free, key=key, default=u)
+        mate[u], mate[v] = v, u
+    return mate
+
+
+@pytest.mark.parametrize(("strategy", "cap"), [("sorted", None), ("random", None), ("random", 5.0)])
+def test_matching_in_visit_order(spark, strategy, cap):
+    rng = random.Random(11)
+    pairs = {tuple(sorted(rng.sample(range(80), 2))): float(rng.randint(1, 4)) for _ in range(240)}
+    weight = {i: float(rng.randint(1, 4)) for i in range(90)}
+    edges = materialise(spark.createDataFrame([(u, v, w) for (u, v), w in pairs.items()], "u long, v long, w double"))
+    nodes = materialise(spark.createDataFrame(list(weight.items()), "id long, c double"))
+    order = [r["id"] for r in graph.visit_order(edges, nodes, strategy, 3).orderBy("place").collect()]
+    found = dict(rows(graph.visit_matching(edges, nodes, strategy, cap, 3)))
+    assert found == one_visit_after_another(pairs, weight, order, cap)
+    assert any(u != v for u, v in found.items())
+    done = graph.chain(edges, nodes, 20, None, strategy, cap, rule="visit", max_levels=2)
+    assert done.levels[1]["nodes"] == len({min(x) for x in dict(rows(graph.visit_matching(edges, nodes, strategy, cap, 0))).items()})
+
+
+def test_colours_and_refinement_by_colours(spark):
+    rng = random.Random(8)
+    pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(200)})
+    edges = materialise(spark.createDataFrame([(u, v, float(rng.randint(1, 9))) for u, v in pairs], "u long, v long, w double"))
+    nodes = materialise(spark.range(60).selectExpr("id", "1.0D AS c"))
+    colour = dict(rows(partition.colours(edges, nodes)))
+    assert all(colour[u] != colour[v] for u, v in pairs) and set(colour) == set(range(60))
+    part = materialise(nodes.selectExpr("id", "id % 3 AS p"))
+    cut = lambda p: partition.edge_cut(edges, p).first()["cut"]
+    after = partition.refine_by_colours(edges, nodes, part, 3, 0.2, passes=1)
+    assert cut(after) < cut(part) and cut(after) <= cut(partition.refine(edges, nodes, part, 3, 0.2, passes=1))
+    weights = partition.part_weights(nodes, after, 3).collect()
+    assert all(16 <= r["weight"] <= 24 for r in weights)
 
 
 def test_recursive_bisection(triangles):
