@@ -41,7 +41,7 @@ CHUNK = 256  # documents of a crowd that are compared with as many others at onc
 PARTS = 64  # at least; so many that small sets do not leave most parts empty
 SKETCH_BITS = 4096
 SEEN = 2_000_000  # classes that a task remembers having handed out
-COUNTED = 2_000_000  # patterns that a task counts at once
+COUNTED = 1_000_000  # patterns that a task counts at once
 SHARE = 1 << 18  # patterns that are more than this part of all n-grams are very common: at most twice as many, as a set hands out two rows of parts at most
 LEAST = 64  # and that so many classes hold
 
@@ -344,7 +344,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, seed:
                 texts = [bytes(t) for p in zip(part["ta"], part["tb"], strict=True) for t in p]
                 sets = shingle_sets(texts, size, seed)
                 near = [k for k, (x, y) in enumerate(zip(sets, sets, strict=True)) if similar(x, y, percent)]
-                for m, n in slices([texts[2 * k] + texts[2 * k + 1] for k in near], PIECE):
+                for m, n in slices([texts[2 * k] + texts[2 * k + 1] for k in near], 1 << 20):
                     own = exact_sets([texts[2 * k + side] for k in near[m:n] for side in (0, 1)], size)
                     for k, x, y in zip(near[m:n], own[::2], own[1::2], strict=True):
                         good[i + k] = similar(x, y, percent)
