@@ -13,7 +13,7 @@ from graphband.llm.queries import tokenizer
 from graphband.session import discard, materialise, table
 
 #: Bytes of words' ids that a worker keeps while it serves other stages.
-TABLE = 64 << 20
+TABLE = 16 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
