@@ -218,15 +218,21 @@ def permutation_check(s, d):
     return metrics.permutation_check(k, partition.permute(k, order), order, derived.size(s, d), 20_000)
 
 
-LOGS = "raw AS (SELECT CAST(user_id AS BIGINT) AS job_id, CAST(event_id AS BIGINT) AS seq, date_trunc('second', CAST(ts AS TIMESTAMP)) AS ts, CASE WHEN value > 90 THEN 'ERROR' WHEN value > 75 THEN 'WARNING' ELSE 'INFO' END AS level, list_extract(['Loading matrices', 'Building graph', 'Coarsening level', 'Partitioning coarse graph', 'Permuting matrices'], CAST(event_id % 5 + 1 AS INTEGER)) || ' nodes=' || CAST(event_id AS VARCHAR) AS message, list_extract(['load', 'graph', 'coarsen', 'partition', 'permute'], CAST(event_id % 5 + 1 AS INTEGER)) AS stage FROM events)"
+LOGS = (
+    "bare AS (SELECT *, CASE WHEN event_id % 13 = 5 THEN 'Error: step ' || event_id WHEN event_id % 17 = 3 THEN 'run.py:7: UserWarning: slow' WHEN event_id % 29 = 4 THEN 'Traceback (most recent call last):' END AS bare, (event_id // 7) % 5 + 1 AS k FROM events), "
+    "raw AS (SELECT CAST(user_id AS BIGINT) AS job_id, CAST(event_id AS BIGINT) AS seq, CASE WHEN bare IS NULL THEN date_trunc('second', CAST(ts AS TIMESTAMP)) END AS ts, "
+    "CASE WHEN event_id % 13 = 5 THEN 'ERROR' WHEN event_id % 17 = 3 THEN 'WARNING' WHEN event_id % 29 = 4 THEN 'ERROR' WHEN value > 90 THEN 'ERROR' WHEN value > 75 THEN 'WARNING' WHEN event_id % 3 = 0 THEN 'VERBOSE' ELSE 'INFO' END AS level, "
+    "coalesce(bare, list_extract(['Converting matrices to graphs', 'Coarsening Heavy Edge Matching', 'Multilevel Partitioning Scheme using METIS', 'Uncoarsening Kernighan-Lin', 'Permuting matrices'], CAST(k AS INTEGER)) || ' #' || CAST(event_id AS VARCHAR)) AS message, "
+    "CASE WHEN bare IS NULL THEN list_extract(['initialization', 'coarsening', 'partitioning', 'uncoarsening', 'permutation'], CAST(k AS INTEGER)) END AS stage FROM bare)"
+)
 
 
-@_add(f"WITH {LOGS} SELECT job_id, seq, epoch(ts)::BIGINT AS at, level, message, stage FROM raw")
+@_add(f"WITH {LOGS} SELECT job_id, seq, coalesce(epoch(ts)::BIGINT, -1) AS at, level, message, stage FROM raw")
 def log_parse(s, d):
-    return logs.parse(derived.log_lines(s, d)).select("job_id", "seq", F.unix_timestamp("ts").alias("at"), "level", "message", "stage")
+    return logs.parse(derived.log_lines(s, d)).select("job_id", "seq", F.coalesce(F.unix_timestamp("ts"), F.lit(-1)).alias("at"), "level", "message", "stage")
 
 
-@_add(f"WITH {LOGS}, x AS (SELECT *, lead(ts) OVER w AS until, lag(stage) OVER w AS last FROM raw WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq)) SELECT job_id, stage, CAST(sum(coalesce(epoch(until) - epoch(ts), 0)) AS BIGINT) AS seconds, CAST(count(*) FILTER (last IS NULL OR last <> stage) AS BIGINT) AS visits FROM x GROUP BY 1, 2")
+@_add(f"WITH {LOGS}, x AS (SELECT *, lead(ts) OVER w AS until, lag(stage) OVER w AS last FROM raw WHERE stage IS NOT NULL WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq)) SELECT job_id, stage, CAST(sum(coalesce(epoch(until) - epoch(ts), 0)) AS BIGINT) AS seconds, CAST(count(*) FILTER (last IS NULL OR last <> stage) AS BIGINT) AS visits FROM x GROUP BY 1, 2")
 def stage_durations(s, d):
     return logs.stage_durations(logs.parse(derived.log_lines(s, d)))
 

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphband import config
+from graphband import config, queries as base
 from graphband.functions import guards, names
 from graphband.operators import batch, results
-from graphband.session import table
+from graphband.session import materialise, shared_dir, table
 from graphband.sources import derived, study
 from graphband.streaming import logs
 
@@ -198,7 +198,10 @@ def telemetry_extract(s, d):
     return logs.telemetry(logs.parse(study.run_lines(s, d)))
 
 
-@_add("WITH e AS (SELECT CAST(user_id AS BIGINT) AS job_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) * 1000000000 + event_id AS k, event_id % 5 AS stage FROM events), l AS (SELECT job_id, arg_max(stage, k) AS stage FROM e GROUP BY job_id) SELECT job_id, list_extract(['load', 'graph', 'coarsen', 'partition', 'permute'], CAST(stage + 1 AS INTEGER)) AS stage, CAST(least(95, (stage + 1) * 18) AS BIGINT) AS percent FROM l")
+NAMES = "['initialization', 'coarsening', 'partitioning', 'uncoarsening', 'permutation']"
+
+
+@_add(f"WITH e AS (SELECT CAST(user_id AS BIGINT) AS job_id, event_id AS k, (event_id // 7) % 5 AS stage FROM events WHERE event_id % 13 <> 5 AND event_id % 17 <> 3 AND event_id % 29 <> 4), l AS (SELECT job_id, arg_max(stage, k) AS stage FROM e GROUP BY job_id) SELECT job_id, list_extract({NAMES}, CAST(stage + 1 AS INTEGER)) AS stage, CAST(least(95, (stage + 1) * 18) AS BIGINT) AS percent FROM l")
 def stage_progress(s, d):
     return logs.progress(logs.parse(derived.log_lines(s, d)))
 
@@ -208,6 +211,43 @@ def log_tail(s, d):
     return logs.tail(logs.parse(study.run_lines(s, d)))
 
 
+STATES = (
+    f"WITH {LINES}, xl AS (SELECT rl.*, date_trunc('second', e.ts) AS ts, CASE WHEN i % 23 = 0 THEN CASE WHEN CAST(floor(e.value) AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END END AS code FROM rl JOIN events e ON e.event_id = rl.i), "
+    "en AS (SELECT job_id, min(i) AS ei, arg_min(code, i) AS code, arg_min(ts, i) AS ets FROM xl WHERE code IS NOT NULL GROUP BY job_id), "
+    f"op AS (SELECT xl.job_id, xl.i, xl.ts, xl.level, xl.message, i AS k, ets, list_extract({NAMES}, CASE i % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 4 END) AS stage FROM xl LEFT JOIN en USING (job_id) WHERE xl.code IS NULL AND (ei IS NULL OR i <= ei)), "
+    "sp AS (SELECT job_id, stage, i, greatest(0, epoch(coalesce(lead(ts) OVER (PARTITION BY job_id ORDER BY i), ets, ts))::BIGINT - epoch(ts)::BIGINT) AS s FROM op WHERE stage IS NOT NULL), "
+    "st AS (SELECT job_id, arg_max(stage, i) AS stage, " + ", ".join(f"coalesce(CAST(sum(s) FILTER (stage = '{n}') AS BIGINT), 0) AS {n}" for n, _ in logs.STAGES) + " FROM sp GROUP BY job_id), "
+    f"te AS (SELECT job_id, {LAST}, arg_max(regexp_extract(message, 'Results saved in (.+)$', 1), k) FILTER (regexp_matches(message, 'Results saved in (.+)$')) AS result_dir, arg_min(message, k) FILTER (level = 'ERROR') AS first_error FROM op GROUP BY job_id) "
+    f"SELECT j.job_id, CASE WHEN en.code IS NULL THEN 'running' WHEN en.code = 0 THEN 'completed' ELSE 'failed' END AS status, st.stage, CAST(CASE WHEN en.code = 0 THEN 100 WHEN st.stage IS NULL THEN 0 ELSE least(95, list_position({NAMES}, st.stage) * 18) END AS BIGINT) AS percent, "
+    + ", ".join(f"coalesce(st.{n}, 0) AS {n}" for n, _ in logs.STAGES) + ", " + ", ".join(f"coalesce({n}, -1) AS {n}" for n in NUMBERS) + ", result_dir, first_error FROM (SELECT DISTINCT job_id FROM xl) j LEFT JOIN en USING (job_id) LEFT JOIN st USING (job_id) LEFT JOIN te USING (job_id)"
+)
+
+
+@_add(STATES)
+def job_states(s, d):
+    return logs.job_states(logs.parse(study.ended_lines(s, d))).na.fill(-1)
+
+
+@_add(STATES)
+def job_states_streamed(s, d):
+    """The same by way of a stream: lines arrive in four files, one after another, and state is kept by job."""
+    lines, folder = materialise(study.ended_lines(s, d)), shared_dir(s)
+    top = lines.agg(F.max("seq")).first()[0] or 0
+    for k in range(4):
+        lines.where(F.expr(f"seq * 4 div {top + 1} = {k}")).coalesce(1).write.mode("append").json(folder)
+    return logs.replayed(s, folder).na.fill(-1)
+
+
+@_add(f"WITH {base.LOGS}, nm AS (SELECT *, CAST(row_number() OVER (PARTITION BY job_id % 8 ORDER BY seq) - 1 AS BIGINT) AS n FROM raw) SELECT CAST(job_id % 8 AS BIGINT) AS job_id, n AS seq, coalesce(epoch(ts)::BIGINT, -1) AS at, level, message, stage FROM nm")
+def raw_log_replay(s, d):
+    """Logs written as raw text files, eight of them, and read back with line numbers."""
+    folder = shared_dir(s)
+    lines = derived.log_lines(s, d).withColumn("file", F.col("job_id") % 8)
+    lines.repartition("file").sortWithinPartitions("file", "seq").select("file", "value").write.partitionBy("file").text(folder)
+    raw = logs.read_files(s, folder).withColumn("job_id", F.regexp_extract("file", "file=([0-9]+)", 1).cast("long")).drop("file")
+    return logs.parse(raw).select("job_id", "seq", F.coalesce(F.unix_timestamp("ts"), F.lit(-1)).alias("at"), "level", "message", "stage")
+
+
 @_add("SELECT doc_id FROM documents WHERE source = 'src3' OR contains(lower(coalesce(lang, '')), 'fr') OR contains(lower(coalesce(text, '')), 'tion of')")
 def text_search(s, d):
     """Rows of one category, or with a phrase in any field, whatever its case."""

@@ -38,14 +38,19 @@ def p_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(numbered, "p_brand").select("id", "p")
 
 
+#: A message of each stage, in their order.
+STAGE_MESSAGES = ("Converting matrices to graphs", "Coarsening Heavy Edge Matching", "Multilevel Partitioning Scheme using METIS", "Uncoarsening Kernighan-Lin", "Permuting matrices")
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw log lines (job_id, seq, value) of runs: a bracketed time, a level and a stage message for each event."""
+    """Raw log lines (job_id, seq, value) of runs, one for each event: a time and a level in brackets and a stage's message; some are bare errors and warnings."""
     e = table(spark, sf_dir, "events")
-    level = F.when(F.col("value") > 90, "ERROR").when(F.col("value") > 75, "WARNING").otherwise("INFO")
-    message = F.element_at(F.array(*map(F.lit, ("Loading matrices", "Building graph", "Coarsening level", "Partitioning coarse graph", "Permuting matrices"))), (F.pmod(F.col("event_id"), F.lit(5)) + 1).cast("int"))
-    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    line = F.concat(F.lit("["), stamp, F.lit("] ["), level, F.lit("] "), message, F.lit(" nodes="), F.col("event_id").cast("string"))
-    return e.select(F.col("user_id").cast("long").alias("job_id"), F.col("event_id").cast("long").alias("seq"), line.alias("value"))
+    i = F.col("event_id")
+    level = F.when(F.col("value") > 90, "ERROR").when(F.col("value") > 75, "WARNING").when(i % 3 == 0, "VERBOSE").otherwise("INFO")
+    message = F.element_at(F.array(*map(F.lit, STAGE_MESSAGES)), (F.pmod(F.expr("event_id div 7"), F.lit(5)) + 1).cast("int"))
+    line = F.concat(F.lit("["), F.date_format("ts", "dd MMM yyyy HH:mm:ss"), F.lit(" UTC "), level, F.lit("] "), message, F.lit(" #"), i.cast("string"))
+    bare = F.when(i % 13 == 5, F.concat(F.lit("Error: step "), i.cast("string"))).when(i % 17 == 3, F.lit("run.py:7: UserWarning: slow")).when(i % 29 == 4, F.lit("Traceback (most recent call last):"))
+    return e.select(F.col("user_id").cast("long").alias("job_id"), i.cast("long").alias("seq"), F.coalesce(bare, line).alias("value"))
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:

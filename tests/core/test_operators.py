@@ -1,5 +1,7 @@
 """Hand-checked cases: a small matrix, two triangles with a bridge, logs."""
 
+import time
+
 import pytest
 
 from graphband.operators import graph, metrics, partition
@@ -93,15 +95,67 @@ def test_mtx_round_trip(spark, matrix, tmp_path):
 
 
 def test_logs(spark):
-    lines = [(1, 1, "[2026-01-01 00:00:00] [INFO] Loading matrices"), (1, 2, "\x1b[31m[2026-01-01 00:00:05] [INFO] Building graph\x1b[0m"), (1, 3, "UserWarning: no angles")]
-    parsed = logs.parse(spark.createDataFrame(lines, "job_id long, seq long, value string"))
-    assert [r["level"] for r in parsed.orderBy("seq").collect()] == ["INFO", "INFO", "WARNING"]
-    assert rows(logs.stage_durations(parsed)) == [(1, "graph", 0, 1), (1, "load", 5, 1)]
+    lines = [
+        "[21 May 2026 15:19:03 UTC INFO] Converting matrices to graphs",
+        "\x1b[31m[21 May 2026 15:19:08 UTC VERBOSE] Coarse graph has 5 nodes and 6 edges with 2 levels\x1b[0m\r",
+        "run.py:3: UserWarning: no angles", "ERROR: no file", "Traceback (most recent call last):", "no warnings here", "Warning: old", "[INFO] warning: small", "[ERROR] x", "[odd] y", "[15:20:01 WARNING]  z ",
+    ]
+    parsed = logs.parse(spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "job_id long, seq long, value string"))
+    found = parsed.orderBy("seq").collect()
+    assert [r["level"] for r in found] == ["INFO", "VERBOSE", "WARNING", "ERROR", "ERROR", "INFO", "WARNING", "WARNING", "ERROR", "INFO", "WARNING"]
+    assert [str(r["ts"]) for r in found[:3]] == ["2026-05-21 15:19:03", "2026-05-21 15:19:08", "None"]
+    assert (found[10]["hms"], found[10]["message"], found[9]["message"], found[8]["hms"]) == ("15:20:01", "z", "[odd] y", None)
+    assert rows(logs.stage_durations(parsed)) == [(1, "coarsening", 0, 1), (1, "initialization", 5, 1)]
+
+
+def test_job_states_end_once(spark, tmp_path):
+    """An exit code closes the open stage and ends the job; the stream tells the same, and of live time when its timer runs out."""
+    at = lambda s, text, code=None: (logs.line("INFO", text, f"21 May 2026 15:19:{s:02d} UTC"), code)
+    runs = {
+        1: [at(0, "Converting matrices to graphs"), at(4, "Graph G_K with 3 nodes and 4 edges"), at(9, "Uncoarsening Kernighan-Lin"), at(12, "done", 0), at(30, "Permuting matrices")],
+        2: [at(1, "Coarsening Heavy Edge Matching"), ("Error: bad", None), ("Error: worse", None), at(8, "exit", 3)],
+        3: [at(2, "Partitioning on coarse graph produced 4 parts"), at(7, "Results saved in runs/a")],
+        4: [("bare", None)],
+    }
+    lines = [(job, i, value, code) for job, found in runs.items() for i, (value, code) in enumerate(found)]
+    frame = spark.createDataFrame(lines, "job_id long, seq long, value string, exit_code int")
+    batch = {r["job_id"]: r.asDict() for r in logs.job_states(logs.parse(frame)).collect()}
+    assert [(batch[i]["status"], batch[i]["stage"], batch[i]["percent"]) for i in (1, 2, 3, 4)] == [("completed", "uncoarsening", 100), ("failed", "coarsening", 36), ("running", "partitioning", 54), ("running", None, 0)]
+    assert (batch[1]["initialization"], batch[1]["uncoarsening"], batch[1]["permutation"], batch[2]["coarsening"], batch[3]["partitioning"]) == (9, 3, 0, 7, 0)
+    assert (batch[2]["first_error"], batch[3]["result_dir"], batch[3]["coarse_parts"], batch[1]["initial_edges"]) == ("Error: bad", "runs/a", 4, 4)
+    for i in range(3):
+        frame.where(f"seq % 3 = {i}" if i == 5 else f"least(seq, 2) = {i}").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    assert {r["job_id"]: r.asDict() for r in logs.replayed(spark, str(tmp_path / "in")).collect()} == batch
+    live = []
+    raw = spark.readStream.schema("job_id long, seq long, value string, exit_code int").json(str(tmp_path / "in"))
+    out = logs.live_states(logs.parse(raw), "1 second").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state"))
+    q = out.foreachBatch(lambda b, n: live.extend(b.collect())).trigger(processingTime="1 second").start()
+    for _ in range(60):
+        if len([r for r in live if r["job_id"] == 3]) > 1:
+            break
+        time.sleep(1)
+    q.stop()
+    seconds = [r["live_seconds"] for r in live if r["job_id"] == 3]
+    assert seconds[0] == 5 and seconds[1] == 6 and len([r for r in live if r["job_id"] == 1]) == 1
+
+
+def test_raw_files_are_numbered_over_splits(spark, tmp_path):
+    text = [f"line {i} " + "x" * (i % 50) for i in range(3000)]
+    (tmp_path / "a.log").write_text("\n".join(text) + "\n")
+    (tmp_path / "b.log").write_text("only\n")
+    default = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = logs.read_files(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", default)
+    assert sorted((r["seq"], r["value"]) for r in found if r["file"].endswith("a.log")) == list(enumerate(text))
+    assert [(r["seq"], r["value"]) for r in found if r["file"].endswith("b.log")] == [(0, "only")]
 
 
 def test_stream_counts_levels(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text('{"job_id":1,"seq":1,"value":"[2026-01-01 00:00:00] [INFO] Loading"}\n{"job_id":1,"seq":2,"value":"[2026-01-01 00:01:00] [ERROR] x"}\n')
+    (tmp_path / "in" / "a.json").write_text('{"job_id":1,"seq":1,"value":"[01 Jan 2026 00:00:00 UTC INFO] Loading"}\n{"job_id":1,"seq":2,"value":"[01 Jan 2026 00:01:00 UTC ERROR] x"}\n')
     q = logs.stream_levels(spark, str(tmp_path / "in")).writeStream.outputMode("complete").format("memory").queryName("levels").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r["level"], r["n"]) for r in spark.table("levels").collect()) == [("ERROR", 1), ("INFO", 1)]

@@ -67,7 +67,7 @@ def test_push_goes_on_where_it_stopped(spark, tmp_path):
     sent = []
 
     def write(name, seq, text):
-        line = logs.line("INFO", text, "2026-01-01 00:00:00")
+        line = logs.line("INFO", text, "01 Jan 2026 00:00:00 UTC")
         (tmp_path / "in" / name).write_text(json.dumps({"job_id": 1, "seq": seq, "value": line}) + "\n")
 
     for name, seq, text in (("a.json", 1, "Graph G_K with 7 nodes and 9 edges"), ("b.json", 2, "Partitioning on coarse graph produced 4 parts")):
@@ -79,7 +79,7 @@ def test_push_goes_on_where_it_stopped(spark, tmp_path):
 
 
 def test_progress_and_tail(spark):
-    lines = [(1, i, logs.line("INFO", t, f"2026-01-01 00:00:0{i}")) for i, t in enumerate(("Loading", "Building graph", "x", "Permuting matrices"))]
+    lines = [(1, i, logs.line("INFO", t, f"01 Jan 2026 00:00:0{i} UTC")) for i, t in enumerate(("Converting matrices to graphs", "Coarse graph has", "x", "Permuting matrices"))]
     parsed = logs.parse(spark.createDataFrame(lines, "job_id long, seq long, value string"))
-    assert rows(logs.progress(parsed)) == [(1, "permute", 90)]
+    assert rows(logs.progress(parsed)) == [(1, "permutation", 90)]
     assert rows(logs.tail(parsed, 2, 10)) == [(1, "g matrices")]
