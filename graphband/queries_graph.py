@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from graphband import queries as base
 from graphband.operators import components, graph, kway, partition, spectral
-from graphband.session import materialise
+from graphband.session import materialise, shared_dir
+from graphband.sources import derived, mtx_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, tuple[Query, str | None]] = {}
@@ -130,6 +131,15 @@ def colour_conflicts(s, d):
     return partition.with_parts(e, c).where("pu = pv").agg(F.count(F.lit(1)).alias("inside"))
 
 
+@_add(f"WITH {base.KM} SELECT i, j, v FROM k")
+def mtx_round_trip(s, d):
+    """The derived matrix written and read as the data source ``mtx``, in ranges of a quarter of a megabyte."""
+    folder = shared_dir(s)
+    mtx_source.register(s)
+    derived.k_part(s, d).write.format("mtx").option("n", derived.size(s, d)).mode("overwrite").save(folder)
+    return s.read.format("mtx").option("partition_bytes", 1 << 18).load(folder)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in _ALL.items()}
 

@@ -5,7 +5,7 @@ import time
 import pytest
 
 from graphband.operators import graph, metrics, partition
-from graphband.sources import mtx
+from graphband.sources import mtx, mtx_source
 from graphband.streaming import logs
 
 
@@ -159,3 +159,29 @@ def test_stream_counts_levels(spark, tmp_path):
     q = logs.stream_levels(spark, str(tmp_path / "in")).writeStream.outputMode("complete").format("memory").queryName("levels").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r["level"], r["n"]) for r in spark.table("levels").collect()) == [("ERROR", 1), ("INFO", 1)]
+
+
+def test_mtx_source(spark, tmp_path):
+    mtx_source.register(spark)
+    path = str(tmp_path / "k")
+    k = spark.range(5000).selectExpr("id % 97 AS i", "id * 31 % 89 AS j", "id / 7.0D - 3 AS v").repartition(3)
+    k.write.format("mtx").option("n", 97).option("comment", "kept").mode("overwrite").save(path)
+    read = lambda size: spark.read.format("mtx").option("partition_bytes", size).load(path)
+    whole = rows(k)
+    for size in (3000, 8192, 1 << 20):
+        assert rows(read(size)) == whole
+    assert read(3000).rdd.getNumPartitions() > 20
+    (tmp_path / "k" / "part-lost.txt").write_text("1 1 9.0\n")  # of a task that was lost
+    assert read(1 << 20).count() == 5000
+    k.limit(7).write.format("mtx").option("n", 97).mode("append").save(path)
+    assert read(1 << 20).count() == 5007 and not (tmp_path / "k" / "part-lost.txt").exists()
+    with pytest.raises(Exception, match="outside"):
+        k.write.format("mtx").option("n", 5).mode("overwrite").save(str(tmp_path / "x"))
+    text = "%%MatrixMarket matrix coordinate pattern symmetric\n% c\n\n3 3 3\n2 1\n% d\n3 3\n3 1"
+    (tmp_path / "s.mtx").write_text(text)
+    for size in (1, 3, 1000):
+        assert rows(spark.read.format("mtx").option("partition_bytes", size).load(str(tmp_path / "s.mtx"))) == [(0, 1, 1.0), (0, 2, 1.0), (1, 0, 1.0), (2, 0, 1.0), (2, 2, 1.0)]
+    for bad in ("%%MatrixMarket matrix array real general\n2 2 1\n", "%%MatrixMarket matrix coordinate real general\n", "%%MatrixMarket matrix coordinate real general\n2 2\n"):
+        (tmp_path / "b.mtx").write_text(bad)
+        with pytest.raises(Exception, match="cannot read|no size line|not a size line"):
+            spark.read.format("mtx").load(str(tmp_path / "b.mtx")).collect()
