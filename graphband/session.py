@@ -54,9 +54,18 @@ def discard(*done: DataFrame | str | None) -> None:
 _SHIPPED = "_graphband_shipped"
 
 
+_BATCH, _USUAL, _OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, as ``--py-files`` would."""
+    """Send this package to the executors once per context, as ``--py-files`` would.
+
+    Batches that go to Python are bounded by bytes as well as by rows, unless
+    the session says otherwise: a worker holds a few copies of one.
+    """
     sc = spark.sparkContext
+    if sc.getConf().get(_BATCH) is None and spark.conf.get(_BATCH) == _USUAL:
+        spark.conf.set(_BATCH, _OWN)
     if getattr(sc, _SHIPPED, False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
