@@ -12,6 +12,8 @@ missing answer for a no.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +52,15 @@ def chunk() -> int:
     return TaskContext.get().partitionId()
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system, as its worker waits for other stages' tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mark(name: Column) -> Column:
     """A number below 2**31 of an id."""
     return F.pmod(F.xxhash64(name.cast("long")), F.lit(1 << 31)).alias("mark")
@@ -67,6 +78,7 @@ class Here:
 
     def leave(self) -> None:
         check((self.n, self.total) == self.told)
+        release()
 
 
 class Roll:

@@ -305,6 +305,7 @@ def _pairs(keys: DataFrame, crowd: int) -> DataFrame:
                 yield pairs(key[:tail], c[:tail])
                 key, c = key[tail:], c[tail:]
         yield pairs(key, c)
+        lookup.release()
 
     ordered = keys.repartition("key").sortWithinPartitions("key", "c")
     found = ordered.mapInPandas(run, "a long, b long, shared long, led_by_a boolean, led_by_b boolean")
@@ -329,6 +330,7 @@ def _texts(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int, seed:
                     out.append((c, text))
             yield pd.DataFrame(out, columns=["c", "text"]).astype({"c": "int64"})
         lookup.check(not left)
+        lookup.release()
 
     return materialise(docs.mapInPandas(run, "c long, text binary"))
 
@@ -349,6 +351,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, seed:
                     for k, x, y in zip(near[m:n], own[::2], own[1::2], strict=True):
                         good[i + k] = similar(x, y, percent)
             yield b.loc[good, ["a", "b"]]
+        lookup.release()
 
     first = pairs.select("a", "b").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
     return first.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").mapInPandas(run, "a long, b long")
