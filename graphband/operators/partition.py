@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphband.functions import guards
@@ -183,6 +183,12 @@ def expand(order: DataFrame, d: int) -> DataFrame:
     return r.select((F.col("old") * d + F.col("r")).cast("long").alias("old"), (F.col("new") * d + F.col("r")).cast("long").alias("new"))
 
 
+def permuted_labels(part: DataFrame, order: DataFrame, d: int) -> DataFrame:
+    """(row, p): the part of each row in the new order (old, new) of nodes, d rows to a node."""
+    moved = part.join(order.withColumnRenamed("old", "id"), "id").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(d - 1))))
+    return moved.select((F.col("new") * d + F.col("r")).cast("long").alias("row"), "p")
+
+
 def permute(entries: DataFrame, order: DataFrame) -> DataFrame:
     a, b = order.select(F.col("old").alias("i"), F.col("new").alias("ni")), order.select(F.col("old").alias("j"), F.col("new").alias("nj"))
     return entries.join(a, "i").join(b, "j").select(F.col("ni").alias("i"), F.col("nj").alias("j"), "v")
@@ -240,8 +246,18 @@ def independent_moves(edges: DataFrame, part: DataFrame) -> DataFrame:
     return independent(edges, best_moves(edges, part).withColumn("score", F.col("gain"))).drop("score")
 
 
-def _running(moves: DataFrame, by: str, name: str) -> DataFrame:
-    """Moves with the weight of their part's moves up to them, best first; all moves are ranked together, so that a part is not one task's."""
+FEW = 1 << 20  # moves that one task may sort
+
+
+def _running(moves: DataFrame, by: str, name: str, few: bool) -> DataFrame:
+    """Moves with the weight of their part's moves up to them, best first.
+
+    Where they are not few, all moves are ranked together, so that a part is
+    not one task's.
+    """
+    if few:
+        order = Window.partitionBy(by).orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
+        return moves.withColumn(name, F.sum("c").over(order))
     placed = ranked(moves.withColumn("worst", -F.col("score")), [by, "worst", "id"], "before", F.col("c"), "double")
     first = placed.groupBy(by).agg(F.min("before").alias("first"))  # a row for each part
     return placed.join(F.broadcast(first), by).withColumn(name, F.col("before") - F.col("first") + F.col("c")).drop("worst", "before", "first")
@@ -271,7 +287,8 @@ def admitted_moves(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int,
         lost = ends.join(wins, "p").where("id <> wins").select("id").distinct()
         out = out.join(lost, "id", "left_anti")
     else:
-        out = _running(_running(moves, "source", "leaves"), "target", "enters")
+        few = moves.count() <= FEW
+        out = _running(_running(moves, "source", "leaves", few), "target", "enters", few)
         out = out.join(b.select(F.col("p").alias("source"), (F.col("weight") - F.col("lower")).alias("spare")), "source").join(b.select(F.col("p").alias("target"), (F.col("upper") - F.col("weight")).alias("room")), "target")
         out = out.where("leaves <= spare AND enters <= room")
     if most is not None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphband.operators.graph import ranked
+
 
 def usage_by_unit(usage: DataFrame) -> DataFrame:
     """(unit, jobs, qubits, runtime): a job without a unit counts as unknown, one that ends before it starts as 0 seconds."""
@@ -71,6 +73,30 @@ def curve_series(metrics: DataFrame, strict: bool = False) -> DataFrame:
     return found.dropna(subset=VARIANTS) if strict else found.fillna(0.0, subset=VARIANTS)
 
 
+def strict_curves(metrics: DataFrame) -> DataFrame:
+    """As ``curve_series``; a point that lacks a side, or no point at all, is an error."""
+    x = curve_series(metrics.where("value is not null"), True)
+    points = metrics.where("metric LIKE 'frac_within_%' AND metric LIKE '%\\%'").select("run_id", "matrix", F.regexp_extract("metric", r"([0-9.]+)%$", 1).cast("double").alias("percent")).distinct()
+    missing = points.join(x, ["run_id", "matrix", "percent"], "left_anti")
+    first = missing.orderBy("run_id", "matrix", "percent").limit(3).collect()
+    if first or points.isEmpty():
+        raise ValueError(f"no values on both sides: {[tuple(r) for r in first] or 'no points'}")
+    return x
+
+
+def comparison_rows(cases: DataFrame, kpis: DataFrame) -> DataFrame:
+    """case_key, status, run_id, two reductions in percent, error: a row for each case, also for those that failed or left nothing."""
+    k = kpis.where("matrix = 'K'").select("run_id", "bandwidth_reduction_pct", "nb2_reduction_pct")
+    error = F.when(F.col("status") == "failed", F.coalesce("error_type", F.lit("failed"))).when((F.col("status") == "completed") & F.col("bandwidth_reduction_pct").isNull(), "no result")
+    return cases.select("case_key", "status", "run_id", "error_type").join(k, "run_id", "left").select("case_key", "status", "run_id", "bandwidth_reduction_pct", "nb2_reduction_pct", error.alias("error"))
+
+
+def ordered_unique(rows: DataFrame, key: str, place: str) -> DataFrame:
+    """(key, rank): different values in the order in which ``place`` first has them."""
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(place).alias("first"))
+    return ranked(first, ["first", key], "rank").select(key, "rank")
+
+
 def batch_summary(cases: DataFrame, metrics: DataFrame, bands: tuple[str, ...], matrices: tuple[str, ...] = ("K", "M")) -> DataFrame:
     """All cases, with the figures of those that left a result."""
     names = ("bandwidth", "avg_bandwidth", "nnz", *[f"frac_within_{b}%" for b in bands])

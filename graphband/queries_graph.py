@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphband import queries as base
-from graphband.operators import components, graph, kway, partition, spectral
-from graphband.session import materialise, shared_dir
+from graphband.operators import components, graph, kway, partition, results, spectral, tiles
+from graphband.session import materialise, shared_dir, table
 from graphband.sources import derived, mtx_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +140,31 @@ def mtx_round_trip(s, d):
     return s.read.format("mtx").option("partition_bytes", 1 << 18).load(folder)
 
 
+MORTON = " + ".join(f"(((ti >> {b}) & 1) << {2 * b + 1}) + (((tj >> {b}) & 1) << {2 * b})" for b in range(tiles.ZOOM))
+
+
+@_add(
+    f"WITH {base.KM}{base.GRAPH}{base.NODEPART}, zt AS (SELECT CAST(z AS BIGINT) AS zoom, i * (1 << z) // n AS ti, j * (1 << z) // n AS tj, coalesce(np.p, -1) AS p FROM k CROSS JOIN meta CROSS JOIN unnest(range(0, {tiles.ZOOM + 1})) AS t(z) LEFT JOIN np ON np.id = i // {base.D}), "
+    "zc AS (SELECT zoom, ti, tj, p, count(*) AS n FROM zt GROUP BY ALL) "
+    f"SELECT zoom, CAST({MORTON} AS BIGINT) AS code, CAST(ti AS BIGINT) AS row, CAST(tj AS BIGINT) AS col, CAST(sum(n) AS BIGINT) AS n, CAST(arg_max(p, n * 1000 - p) AS BIGINT) AS p FROM zc GROUP BY zoom, ti, tj"
+)
+def spy_tiles(s, d):
+    """The derived matrix in tiles at seven zooms, with each tile's dominant part."""
+    _, n = base._graph(s, d)
+    return tiles.pyramid(derived.k_part(s, d), base._parts(n), derived.size(s, d), base.D)
+
+
+@_add(f"WITH {base.KM}{base.GRAPH}{base.NODEPART}, o AS (SELECT id, p, row_number() OVER (ORDER BY p, id) - 1 AS new FROM np) SELECT CAST(new * {base.D} + r AS BIGINT) AS row, p FROM o, unnest(range(0, {base.D})) AS t(r)")
+def permuted_labels(s, d):
+    part = base._parts(base._graph(s, d)[1])
+    return partition.permuted_labels(part, partition.node_order(part), base.D)
+
+
+@_add("SELECT p_brand, CAST(row_number() OVER (ORDER BY min(p_partkey), p_brand) - 1 AS BIGINT) AS rank FROM part GROUP BY p_brand")
+def ordered_brands(s, d):
+    return results.ordered_unique(table(s, d, "part"), "p_brand", "p_partkey")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in _ALL.items()}
 

@@ -176,8 +176,11 @@ def lattice_m(s, d):
     return lattice.of_parts(s, d, "m").withColumn("v", F.round("v", 6))
 
 
+PASSES = 50  # refinement ends before, when no move is left
+
+
 def _settings(n: int) -> multilevel.Settings:
-    return multilevel.Settings(dof=D, inferior=max(40, n // D // 8), superior=max(80, n // D // 3), k=4, tolerance=0.2, passes=2)
+    return multilevel.Settings(dof=D, inferior=max(40, n // D // 8), superior=max(80, n // D // 3), k=4, tolerance=0.2, passes=PASSES)
 
 
 @_add(None)
@@ -193,7 +196,7 @@ def multilevel_lattice(s, d):
     nx, ny, nz = lattice.shape(derived.size(s, d))
     pairs = materialise(lattice.couplings(s, nx, ny, nz))
     n = nx * ny * nz
-    settings = multilevel.Settings(dof=3, inferior=max(20, n // 70), superior=max(40, n // 40), k=4, tolerance=0.1, passes=2)
+    settings = multilevel.Settings(dof=3, inferior=max(20, n // 70), superior=max(40, n // 40), k=4, tolerance=0.1, passes=PASSES)
     return multilevel.summary(multilevel.run({x.upper(): lattice.matrix(pairs, 3, x) for x in "km"}, 3 * n, settings))
 
 
@@ -202,7 +205,7 @@ def partitioner_scores(s, d):
     """(strategy, parts, cut, score) of each partitioner on the derived graph."""
     e, n = _graph(s, d)
     rows = []
-    for name in ("levels", "recursive"):
+    for name in ("levels", "recursive", "spectral"):
         part = materialise(kway.partition(name, e, n, 4, 0.1))
         one = partition.edge_cut(e, part).join(partition.partition_score(e, n, part, 4, 0.1, 1.0)).join(part.agg(F.count_distinct("p").alias("parts")))  # one row each
         rows.append(one.select(F.lit(name).alias("strategy"), "parts", "cut", "score"))

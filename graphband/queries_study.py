@@ -198,6 +198,11 @@ def telemetry_extract(s, d):
     return logs.telemetry(logs.parse(study.run_lines(s, d)))
 
 
+@_add(f"WITH {CASES}, {FIGURES}, {KPI} SELECT geometry || '__' || algorithm || '__' || size AS case_key, status, cs.run_id, kp.bandwidth_reduction_pct, kp.nb2_reduction_pct, CASE WHEN status = 'failed' THEN 'ValueError' WHEN status = 'completed' AND kp.bandwidth_reduction_pct IS NULL THEN 'no result' END AS error FROM cs LEFT JOIN kp ON kp.run_id = cs.run_id AND matrix = 'K'")
+def comparison_rows(s, d):
+    return results.comparison_rows(study.cases(s, d), _kpis(s, d))
+
+
 NAMES = "['initialization', 'coarsening', 'partitioning', 'uncoarsening', 'permutation']"
 
 

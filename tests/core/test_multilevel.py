@@ -343,3 +343,15 @@ def test_run_config():
         with pytest.raises(ValueError):
             config.contained("/data", path)
     assert config.merged({"s": {"a": 1, "b": 2}}, {"s": {"b": 3}}) == {"s": {"a": 1, "b": 3}}
+
+
+def test_running_sums_of_many_moves(spark, monkeypatch):
+    """Moves that are ranked over all parts are admitted as those that a window sums up."""
+    rng = random.Random(12)
+    pairs = sorted({tuple(sorted(rng.sample(range(80), 2))) for _ in range(300)})
+    edges = materialise(spark.createDataFrame([(u, v, float(rng.randint(1, 9))) for u, v in pairs], "u long, v long, w double"))
+    nodes = materialise(spark.createDataFrame([(i, float(rng.randint(1, 5))) for i in range(80)], "id long, c double"))
+    part = materialise(nodes.selectExpr("id", "id % 3 AS p"))
+    few = rows(partition.admitted_moves(edges, nodes, part, 3, 0.05))
+    monkeypatch.setattr(partition, "FEW", 0)
+    assert few and rows(partition.admitted_moves(edges, nodes, part, 3, 0.05)) == few
