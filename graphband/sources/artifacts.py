@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import datetime
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphband.operators.graph import symmetric
 from graphband.plans.multilevel import Run
-from graphband.sources import mtx
+from graphband.session import ship_package
+from graphband.sources import mtx, mtx_source
 
 
 def permutation_text(order: DataFrame, path: str) -> None:
@@ -68,3 +73,38 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def listing(spark: SparkSession, folder: str, pattern: str = "*.mtx") -> DataFrame:
     """(path, bytes) of matrix files in a folder and those below it; their contents are not read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes"))
+
+
+def catalog(spark: SparkSession, folder: str, pattern: str = "*.mtx") -> DataFrame:
+    """(path, bytes, rows, cols, nnz, error) of matrix files in a folder and those below it, of their headers alone.
+
+    Tasks look at files side by side; a file that cannot be read has its error in place of sizes.
+    """
+    ship_package(spark)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, n in zip(b["path"], b["bytes"], strict=True):
+                try:
+                    store, place = mtx_source._store(path)
+                    with store.open_input_stream(place) as f:
+                        head = mtx_source.read_header(f)[0]
+                    rows.append((path, n, head.rows, head.cols, head.nnz, None))
+                except (OSError, ValueError) as e:
+                    rows.append((path, n, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "bytes", "rows", "cols", "nnz", "error"]).astype({c: "Int64" for c in ("rows", "cols", "nnz")})
+
+    return listing(spark, folder, pattern).mapInPandas(look, "path string, bytes long, rows long, cols long, nnz long, error string")
+
+
+def new_folder(spark: SparkSession, root: str, kind: str, at: datetime | None = None) -> str:
+    """A folder of its own for a run or a batch, made now: its name has the time (a run's to the microsecond), and _01, _02 ... where that is taken."""
+    form = {"run": "run_%Y%m%d_%H%M%S_%f", "batch": "batch_%Y%m%d_%H%M%S"}[kind]
+    base = f"{root.rstrip('/')}/{(at or datetime.now()).strftime(form)}"
+    for k in range(100):
+        place = spark._jvm.org.apache.hadoop.fs.Path(base + (f"_{k:02d}" if k else ""))
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not store.exists(place) and store.mkdirs(place):
+            return place.toString()
+    raise FileExistsError(base)

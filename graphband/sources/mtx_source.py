@@ -37,6 +37,8 @@ ROWS = 65_536  # rows that a writer holds
 def _store(path: str):
     from pyarrow import fs
 
+    if path.startswith("file:/"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
 
 

@@ -1,11 +1,13 @@
 """Batch studies, result tables on small cases, streams."""
 
 import json
+from datetime import datetime
 
 import pytest
 
 from graphband.operators import results
 from graphband.plans import study
+from graphband.sources import artifacts
 from graphband.streaming import logs
 
 
@@ -83,3 +85,26 @@ def test_progress_and_tail(spark):
     parsed = logs.parse(spark.createDataFrame(lines, "job_id long, seq long, value string"))
     assert rows(logs.progress(parsed)) == [(1, "permutation", 90)]
     assert rows(logs.tail(parsed, 2, 10)) == [(1, "g matrices")]
+
+
+def test_catalog_and_new_folders(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "k.mtx").write_text("%%MatrixMarket matrix coordinate real general\n3 4 1\n1 1 2.0\n")
+    (tmp_path / "bad.mtx").write_text("%%MatrixMarket matrix coordinate real general\nx y\n")
+    found = {r["path"].rsplit("/", 1)[1]: r for r in artifacts.catalog(spark, str(tmp_path)).collect()}
+    assert (found["k.mtx"]["rows"], found["k.mtx"]["cols"], found["k.mtx"]["nnz"], found["k.mtx"]["error"]) == (3, 4, 1, None)
+    assert found["bad.mtx"]["rows"] is None and "size line" in found["bad.mtx"]["error"]
+    at = datetime(2026, 5, 21, 15, 19, 3, 42)
+    names = [artifacts.new_folder(spark, str(tmp_path), "run", at).rsplit("/", 1)[1] for _ in range(3)]
+    assert names == ["run_20260521_151903_000042", "run_20260521_151903_000042_01", "run_20260521_151903_000042_02"]
+    assert artifacts.new_folder(spark, str(tmp_path), "batch", at).endswith("/batch_20260521_151903")
+
+
+def test_strict_curves(spark):
+    row = lambda p, v, x: (1, "K", v, f"frac_within_{p}%", x)
+    both = [row(p, v, 0.5) for p in ("0.1", "1.0") for v in ("original", "permuted")]
+    frame = lambda rows: spark.createDataFrame(rows, "run_id long, matrix string, variant string, metric string, value double")
+    assert results.strict_curves(frame(both)).count() == 2
+    for bad in (both[:-1], [*both[:-1], row("1.0", "permuted", None)], []):
+        with pytest.raises(ValueError, match="no"):
+            results.strict_curves(frame(bad))
