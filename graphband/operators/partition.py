@@ -234,9 +234,18 @@ def bisection_energies(edges: DataFrame, nodes: DataFrame, sides: DataFrame, bal
     return x.select("sample", (F.coalesce("cut", F.lit(0.0)) / F.col("scale") + balance * (F.col("m") * F.col("m") - 2 * target * F.col("m"))).alias("energy"))
 
 
-def independent(edges: DataFrame, moves: DataFrame) -> DataFrame:
-    """Moves that beat those of all their neighbours by (score, id), so that their gains add up."""
-    near = symmetric(edges).join(moves.select(F.col("id").alias("u"), F.col("score").alias("gu")), "u").join(moves.select(F.col("id").alias("v"), F.col("score").alias("gv")), "v")
+def independent(edges: DataFrame, moves: DataFrame, clashes: bool = False) -> DataFrame:
+    """Moves that beat those of all their neighbours by (score, id), so that their gains add up.
+
+    With ``clashes`` they need only beat neighbours with which they clash: one
+    goes where the other leaves.  An edge between other moves ends no worse
+    than both gains have it, so the cut falls by the sum of the gains at least.
+    """
+    near = symmetric(edges)
+    for end in ("u", "v"):
+        near = near.join(moves.select(F.col("id").alias(end), F.col("score").alias(f"g{end}"), F.col("source").alias(f"s{end}"), F.col("target").alias(f"t{end}")), end)
+    if clashes:
+        near = near.where("tu = sv OR tv = su")
     beaten = near.where("gv > gu OR (gv = gu AND v > u)").select(F.col("u").alias("id")).distinct()
     return moves.join(beaten, "id", "left_anti")
 
@@ -263,7 +272,7 @@ def _running(moves: DataFrame, by: str, name: str, few: bool) -> DataFrame:
     return placed.join(F.broadcast(first), by).withColumn(name, F.col("before") - F.col("first") + F.col("c")).drop("worst", "before", "first")
 
 
-def admitted_moves(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, objective: str = "cut", balance: float = 0.0, most: int | None = None, only: DataFrame | None = None) -> DataFrame:
+def admitted_moves(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, objective: str = "cut", balance: float = 0.0, most: int | None = None, only: DataFrame | None = None, clashes: bool = False) -> DataFrame:
     """Independent moves, best first, while what leaves a part and what enters one keep to the bounds.
 
     Under ``cut_balance`` penalties do not add up, so one move at most leaves
@@ -274,7 +283,7 @@ def admitted_moves(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int,
     b = materialise(bounds(part_weights(nodes, part, k), k, tolerance))
     moves = materialise(best_by_score(move_scores(edges, nodes, part, k, tolerance, objective, balance, only)))
     if only is None:
-        moves = independent(edges, moves)
+        moves = independent(edges, moves, clashes)
     moves = materialise(moves.join(nodes.select("id", guards.node_weight(F.col("c")).alias("c")), "id"))
     if objective == "cut_balance":
         best = F.struct("score", (-F.col("id")).alias("i"))
@@ -300,16 +309,17 @@ def moved(part: DataFrame, moves: DataFrame) -> DataFrame:
     return part.join(moves.select("id", "target"), "id", "left").select("id", F.coalesce("target", "p").cast("long").alias("p"))
 
 
-def refine(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, passes: int = 10, objective: str = "cut", balance: float = 0.0, most: int | None = None) -> DataFrame:
+def refine(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, passes: int = 10, objective: str = "cut", balance: float = 0.0, most: int | None = None, clashes: bool = False) -> DataFrame:
     """The partition after passes of admitted moves, until there is none; the cut never grows under ``cut`` and bounds hold once they do.
 
-    One part or none is one part of all.
+    One part or none is one part of all.  ``clashes`` is that of ``independent``:
+    more moves in a pass, and fewer passes.
     """
     if k <= 1:
         return nodes.select("id", F.lit(0).cast("long").alias("p"))
     edges = edges.select("u", "v", guards.edge_weight(F.col("w")).alias("w"))
     for _ in range(passes):
-        moves = materialise(admitted_moves(edges, nodes, part, k, tolerance, objective, balance, most))
+        moves = materialise(admitted_moves(edges, nodes, part, k, tolerance, objective, balance, most, clashes=clashes))
         if moves.isEmpty():
             break
         part = materialise(moved(part, moves))

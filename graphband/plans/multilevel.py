@@ -34,8 +34,8 @@ class Settings:
     refinement: str = "independent"
 
 
-#: How a level is refined: independent moves of all nodes at once, or colour after colour.
-REFINEMENTS = {"independent": partition.refine, "colours": partition.refine_by_colours}
+#: How a level is refined: moves at once that touch no other, or that do not clash; or colour after colour.
+REFINEMENTS = {"independent": partition.refine, "clashes": lambda *x: partition.refine(*x, clashes=True), "colours": partition.refine_by_colours}
 
 
 @dataclass

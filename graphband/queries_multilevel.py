@@ -180,7 +180,7 @@ PASSES = 50  # refinement ends before, when no move is left
 
 
 def _settings(n: int) -> multilevel.Settings:
-    return multilevel.Settings(dof=D, inferior=max(40, n // D // 8), superior=max(80, n // D // 3), k=4, tolerance=0.2, passes=PASSES)
+    return multilevel.Settings(dof=D, inferior=max(40, n // D // 8), superior=max(80, n // D // 3), k=4, tolerance=0.2, passes=PASSES, refinement="clashes")
 
 
 @_add(None)
@@ -196,7 +196,7 @@ def multilevel_lattice(s, d):
     nx, ny, nz = lattice.shape(derived.size(s, d))
     pairs = materialise(lattice.couplings(s, nx, ny, nz))
     n = nx * ny * nz
-    settings = multilevel.Settings(dof=3, inferior=max(20, n // 70), superior=max(40, n // 40), k=4, tolerance=0.1, passes=PASSES)
+    settings = multilevel.Settings(dof=3, inferior=max(20, n // 70), superior=max(40, n // 40), k=4, tolerance=0.1, passes=PASSES, refinement="clashes")
     return multilevel.summary(multilevel.run({x.upper(): lattice.matrix(pairs, 3, x) for x in "km"}, 3 * n, settings))
 
 

@@ -355,3 +355,20 @@ def test_running_sums_of_many_moves(spark, monkeypatch):
     few = rows(partition.admitted_moves(edges, nodes, part, 3, 0.05))
     monkeypatch.setattr(partition, "FEW", 0)
     assert few and rows(partition.admitted_moves(edges, nodes, part, 3, 0.05)) == few
+
+
+@pytest.mark.parametrize("k", [2, 4])
+def test_moves_that_do_not_clash_add_up(spark, k):
+    """The cut falls by the sum of the gains at least, pass after pass, with more moves than those that touch no other."""
+    rng = random.Random(k)
+    pairs = sorted({tuple(sorted(rng.sample(range(90), 2))) for _ in range(500)})
+    edges = materialise(spark.createDataFrame([(u, v, float(rng.randint(1, 9))) for u, v in pairs], "u long, v long, w double"))
+    nodes = materialise(spark.range(90).selectExpr("id", "1.0D AS c"))
+    part = materialise(nodes.selectExpr("id", f"id * 7 % {k} AS p"))
+    cut = lambda p: partition.edge_cut(edges, p).first()["cut"]
+    for _ in range(3):
+        moves = materialise(partition.admitted_moves(edges, nodes, part, k, 0.5, clashes=True))
+        assert moves.count() >= partition.admitted_moves(edges, nodes, part, k, 0.5).count()
+        after = materialise(partition.moved(part, moves))
+        assert cut(after) <= cut(part) - (moves.agg({"gain": "sum"}).first()[0] or 0) + 1e-9
+        part = after
