@@ -1,9 +1,12 @@
 """Batch studies, result tables on small cases, streams."""
 
 import json
+import threading
+import time
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphband.operators import results
 from graphband.plans import study
@@ -32,6 +35,36 @@ def test_run_cases(spark, tmp_path):
     assert study.run_cases(first, cases, execute, stop_on_error=True) == 1 and first.states().count() == 2
 
 
+def test_sweep_cancels_defers_and_resumes(spark, tmp_path):
+    """A running case is stopped by its tag and the next one goes on; a restart skips what is done, and its numbers go on."""
+    started, order = threading.Event(), []
+    slow = F.udf(lambda i: time.sleep(0.5) or i, "long")
+
+    def execute(case):
+        order.append(case["case_key"])
+        if case["case_key"] == "slow" and case.get("wait", True):
+            started.set()
+            spark.range(400, numPartitions=4).select(slow("id")).write.format("noop").mode("overwrite").save()
+        if case["case_key"] == "bad":
+            raise ValueError("no")
+        return f"runs/{case['case_key']}"
+
+    cases = [{"case_key": k} for k in ("late", "slow", "a", "bad", "never")]
+    sweep = study.Sweep(study.Study(spark, str(tmp_path / "s")), execute, 1, lambda case: case["case_key"] == "late")
+    sweep.cancel("never")
+    threading.Thread(target=lambda: started.wait(60) and time.sleep(1) is None and sweep.cancel("slow")).start()
+    began = time.time()
+    assert sweep.run(cases) == {"cancelled": 2, "completed": 2, "failed": 1}
+    assert time.time() - began < 45 and order == ["slow", "a", "bad", "late"]
+    again = study.Study(spark, str(tmp_path / "s"))
+    order.clear()
+    assert study.Sweep(again, execute, 2).run([c | {"wait": False} for c in cases]) == {"skipped": 2, "completed": 2, "failed": 1}
+    assert sorted(order) == ["bad", "never", "slow"]
+    numbers = [r["seq"] for r in again.manifest().select("seq").collect()]
+    assert sorted(numbers) == list(range(len(numbers)))
+    assert {r["case_key"]: r["state"] for r in again.by_key().collect()} == {"late": "completed", "slow": "completed", "a": "completed", "bad": "failed", "never": "completed"}
+
+
 def test_fallback_prefers_the_closest(spark):
     wanted = spark.createDataFrame([("g1", "a", "s"), ("g1", "b", "s"), ("g1", "c", "m"), ("g9", "a", "s")], "geometry string, algorithm string, size string")
     known = spark.createDataFrame([("g1", "a", "s", 5), ("g1", "b", "m", 3), ("g2", "c", "m", 1)], "geometry string, algorithm string, size string, run_id long")
