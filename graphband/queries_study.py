@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphband import config, queries as base
 from graphband.functions import guards, names
-from graphband.operators import batch, results
+from graphband.operators import batch, documents, results
 from graphband.session import materialise, shared_dir, table
 from graphband.sources import derived, study
 from graphband.streaming import logs
@@ -291,6 +291,21 @@ def scientific_rows(s, d):
     return results.scientific_rows(study.cases(s, d), _kpis(s, d))
 
 
+LEAVES = "SELECT d.doc, t.fullkey AS path, t.atom->>'$' AS value FROM {0} d, json_tree(CAST(d.json AS JSON)) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')"
+DOCUMENTS = (
+    "pd AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_size AS BIGINT) AS s, p_brand, p_type FROM part), "
+    "d1 AS (SELECT k AS doc, '{\"name\":\"' || p_brand || '\",\"matrix\":{\"size\":' || s || ',\"bands\":[' || (s % 7) || ',' || (s % 5) || ']},\"solver\":{\"kind\":\"' || p_type || '\",\"limits\":{\"passes\":' || (k % 9) || '}},\"tags\":[]}' AS json FROM pd), "
+    "d2 AS (SELECT k AS doc, '{\"name\":\"' || p_brand || '\",\"matrix\":{\"size\":' || (CASE WHEN k % 3 = 0 THEN s + 1 ELSE s END) || ',\"bands\":[' || (s % 7) || ',' || (s % 4) || ',' || (k % 2) || ']},\"solver\":{\"kind\":\"' || p_type || '\",\"strict\":' || (CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END) || '},\"tags\":[]}' AS json FROM pd)"
+)
+
+
+@_add(f"WITH {DOCUMENTS}, l1 AS ({LEAVES.format('d1')}), l2 AS ({LEAVES.format('d2')}) SELECT coalesce(l1.doc, l2.doc) AS doc, coalesce(l1.path, l2.path) AS path, l1.value AS a, l2.value AS b, CASE WHEN l2.doc IS NULL THEN 'removed' WHEN l1.doc IS NULL THEN 'added' ELSE 'changed' END AS change FROM l1 FULL JOIN l2 ON l1.doc = l2.doc AND l1.path = l2.path WHERE l1.doc IS NULL OR l2.doc IS NULL OR l1.value IS DISTINCT FROM l2.value")
+def document_paths_diff(s, d):
+    """Two versions of nested documents, by path."""
+    one, two = (documents.leaves(study.documents(s, d, v)) for v in (1, 2))
+    return documents.differences(one, two)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in _ALL.items()}
 

@@ -110,3 +110,12 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = F.struct(F.lit("Spare").alias("unit"), (i % 8).cast("long").alias("qubits"), F.lit(1).cast("long").alias("runs"))
     resources = F.when(i % 7 == 0, None).when(i % 3 == 0, F.array(one, two)).otherwise(F.array(one))
     return e.select(i.cast("long").alias("job"), start.alias("started"), (start + (i % 100).cast("long") - 10).alias("ended"), resources.alias("resources"))
+
+
+def documents(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
+    """Nested parameter documents (doc, json), one for each part; the second version changes, adds and leaves out some fields."""
+    p = table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey").cast("long"), F.col("p_size").cast("long")
+    first = F.format_string('{"name":"%s","matrix":{"size":%d,"bands":[%d,%d]},"solver":{"kind":"%s","limits":{"passes":%d}},"tags":[]}', "p_brand", size, size % 7, size % 5, "p_type", k % 9)
+    second = F.format_string('{"name":"%s","matrix":{"size":%d,"bands":[%d,%d,%d]},"solver":{"kind":"%s","strict":%s},"tags":[]}', "p_brand", F.when(k % 3 == 0, size + 1).otherwise(size), size % 7, size % 4, k % 2, "p_type", F.when(k % 2 == 0, "true").otherwise("false"))
+    return p.select(k.alias("doc"), (first if version == 1 else second).alias("json"))

@@ -8,7 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from graphband.operators import results
+from graphband.operators import documents, results
 from graphband.plans import study
 from graphband.sources import artifacts
 from graphband.streaming import logs
@@ -141,3 +141,11 @@ def test_strict_curves(spark):
     for bad in (both[:-1], [*both[:-1], row("1.0", "permuted", None)], []):
         with pytest.raises(ValueError, match="no"):
             results.strict_curves(frame(bad))
+
+
+def test_documents_of_any_shape(spark):
+    texts = [(1, '{"a": {"b": [1, {"c": null}, []], "d": "x.y"}, "e": true}'), (2, "[1.5, [2]]"), (3, "7"), (4, "not json"), (5, None), (6, "{}")]
+    found = rows(documents.leaves(spark.createDataFrame(texts, "doc long, json string")))
+    assert found == [(1, "$.a.b[0]", "1"), (1, "$.a.b[1].c", None), (1, "$.a.d", "x.y"), (1, "$.e", "true"), (2, "$[0]", "1.5"), (2, "$[1][0]", "2"), (3, "$", "7"), (4, "$", "not json")]
+    a, b = (spark.createDataFrame(x, "doc long, path string, value string") for x in ([(1, "$.a", "1"), (1, "$.b", None), (1, "$.c", None)], [(1, "$.a", "2"), (1, "$.b", None), (1, "$.d", None)]))
+    assert rows(documents.differences(a, b)) == [(1, "$.a", "1", "2", "changed"), (1, "$.c", None, None, "removed"), (1, "$.d", None, None, "added")]
