@@ -130,15 +130,14 @@ def exact_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     number: dict[bytes, int] = {}
     short: dict[tuple[bytes, ...], int] = {}
     at = np.array([number.setdefault(w, len(number)) for ws in words for w in ws], np.int64)
-    rank, have = at, 1
-
-    def both(step: int) -> np.ndarray:
-        return np.unique(rank[:-step] * (int(rank.max()) + 1) + rank[step:], return_inverse=True)[1] if len(rank) > step else rank[:0]
-
-    while 2 * have <= size and len(rank):
-        rank, have = both(have), 2 * have
-    if have < size and len(rank):
-        rank = both(size - have)
+    bits = max(len(number) - 1, 1).bit_length()
+    if bits * size <= 62:  # few words: their numbers side by side
+        n = max(len(at) - size + 1, 0)
+        rank = at[:n]
+        for k in range(1, size):
+            rank = rank << bits | at[k : n + k]
+    else:
+        rank = _ranks(at, size)
     first, out = 0, []
     for ws in words:
         n = len(ws)
@@ -150,6 +149,18 @@ def exact_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
+def _ranks(at: np.ndarray, size: int) -> np.ndarray:
+    """A number of each run of ``size`` numbers, by its first place; equal for equal runs alone."""
+    rank, have = at, 1
+
+    def both(step: int) -> np.ndarray:
+        return np.unique(rank[:-step] * (int(rank.max()) + 1) + rank[step:], return_inverse=True)[1] if len(rank) > step else rank[:0]
+
+    while 2 * have <= size and len(rank):
+        rank, have = both(have), 2 * have
+    return both(size - have) if have < size and len(rank) else rank
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
@@ -346,10 +357,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, seed:
                 texts = [bytes(t) for p in zip(part["ta"], part["tb"], strict=True) for t in p]
                 sets = shingle_sets(texts, size, seed)
                 near = [k for k, (x, y) in enumerate(zip(sets, sets, strict=True)) if similar(x, y, percent)]
-                for m, n in slices([texts[2 * k] + texts[2 * k + 1] for k in near], 1 << 20):
-                    own = exact_sets([texts[2 * k + side] for k in near[m:n] for side in (0, 1)], size)
-                    for k, x, y in zip(near[m:n], own[::2], own[1::2], strict=True):
-                        good[i + k] = similar(x, y, percent)
+                for k in near:
+                    good[i + k] = similar(*exact_sets(texts[2 * k : 2 * k + 2], size), percent)
             yield b.loc[good, ["a", "b"]]
         lookup.release()
 

@@ -141,6 +141,15 @@ def test_exact_sets():
             assert len(sets[i]) == len(plain[i])
 
 
+def test_ranks_of_runs():
+    """Where words are too many for their numbers to stand side by side."""
+    at = np.random.default_rng(3).integers(0, 5, 400)
+    for size in (1, 2, 3, 5, 8):
+        rank = ngram_join._ranks(at, size)
+        run = [tuple(at[i : i + size].tolist()) for i in range(400 - size + 1)]
+        assert len(rank) == len(run) and len(set(zip(run, rank.tolist(), strict=True))) == len(set(run)) == len(set(rank.tolist()))
+
+
 def _written(spark, folder, rows):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).sortWithinPartitions("doc_id").write.parquet(folder)
     return spark.read.parquet(folder)
