@@ -41,7 +41,8 @@ CHUNK = 256  # documents of a crowd that are compared with as many others at onc
 PARTS = 64  # at least; so many that small sets do not leave most parts empty
 SKETCH_BITS = 4096
 SEEN = 2_000_000  # classes that a task remembers having handed out
-COUNTED = 1_000_000  # patterns that a task counts at once
+COUNTED = 2_000_000  # patterns that a task counts at once: the more, the better are leads chosen
+BESIDE = 1_000_000  # the same where tasks share executors with other stages' workers
 SHARE = 1 << 18  # patterns that are more than this part of all n-grams are very common: at most twice as many, as a set hands out two rows of parts at most
 LEAST = 64  # and that so many classes hold
 
@@ -166,7 +167,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _signatures(docs: DataFrame, size: int, percent: int, seed: int, roll: lookup.Roll | None = None) -> DataFrame:
+def _signatures(docs: DataFrame, size: int, percent: int, seed: int, roll: lookup.Roll | None = None, at_once: int = COUNTED) -> DataFrame:
     """n, c, c2, doc_id, t, chunk of each row; and as n = -1 partial counts of patterns: t classes hold pattern c, and c2 has most such patterns of them, doc_id in number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +183,7 @@ def _signatures(docs: DataFrame, size: int, percent: int, seed: int, roll: looku
             key, c = key[by], c[by]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             n = np.diff(np.append(first, len(key)))
-            much = (n * SHARE >= min(len(key), COUNTED)) & (n > 1)
+            much = (n * SHARE >= min(len(key), at_once)) & (n > 1)
             often = np.repeat(much, n)
             key, c = key[often], c[often]
             # A pattern's lead is the class with most common patterns: copies of one text then have few leads.
@@ -207,7 +208,7 @@ def _signatures(docs: DataFrame, size: int, percent: int, seed: int, roll: looku
                     for key, bits, _ in sketch_parts(s, percent):
                         held.append((key[bits > 0], c))
                         counted += len(held[-1][0])
-                    if counted >= COUNTED:
+                    if counted >= at_once:
                         counted = 0
                         yield common()
             out = pd.DataFrame(rows, columns=["n", "c", "c2"], dtype="int64")
@@ -425,10 +426,10 @@ def _crowd_pairs(followers: DataFrame, labels: DataFrame, sketches: DataFrame, p
     return found.select("a", "b").distinct()
 
 
-def _classify(docs: DataFrame, roll: lookup.Roll, size: int, percent: int) -> DataFrame:
+def _classify(docs: DataFrame, roll: lookup.Roll, size: int, percent: int, at_once: int = COUNTED) -> DataFrame:
     """doc_id, t, chunk, n, component_id of every row of docs (doc_id, text, t, more)."""
     for seed in range(8):  # a number that two different sets share calls for another seed
-        seen = materialise(_signatures(docs, size, percent, seed, roll))
+        seen = materialise(_signatures(docs, size, percent, seed, roll, at_once))
         rows = seen.where("n >= 0")
         classes = materialise(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("named"), (F.min("c2") != F.max("c2")).alias("clash")))
         if classes.where("clash").isEmpty():
@@ -472,7 +473,7 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col:
     ship_package(docs.sparkSession)
     docs = lookup.steady(docs)
     roll = lookup.roll_call(docs, id_col)
-    found = _classify(_read(docs, id_col, text_col), roll, size, percent)
+    found = _classify(_read(docs, id_col, text_col), roll, size, percent, BESIDE)
     kept = found.where("doc_id <=> component_id").select("chunk", F.xxhash64("doc_id").alias("a"), F.col("t").alias("b")).distinct()
     return lookup.keep(docs, roll, kept, id_col, text_col)
 
