@@ -372,3 +372,8 @@ def test_moves_that_do_not_clash_add_up(spark, k):
         after = materialise(partition.moved(part, moves))
         assert cut(after) <= cut(part) - (moves.agg({"gain": "sum"}).first()[0] or 0) + 1e-9
         part = after
+
+
+def test_lattice_pairs_are_not_broadcast(spark):
+    plan = lattice.couplings(spark, 4, 3, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [cell" in plan and "BroadcastHashJoin" not in plan
