@@ -124,6 +124,12 @@ def connectivity(edges: DataFrame, part: DataFrame) -> DataFrame:
     return with_parts(symmetric(edges), part).groupBy(F.col("u").alias("id"), F.col("pv").alias("p")).agg(F.sum("w").alias("w"))
 
 
+def limits(nodes: DataFrame, part: DataFrame, k: int, tolerance: float) -> dict[str, Column]:
+    """What parts weigh and may weigh, as arrays of k numbers for expressions: tables of k rows cost a job for each join."""
+    rows = {r["p"]: r for r in bounds(part_weights(nodes, part, k), k, tolerance).collect()}
+    return {c: F.array(*[F.lit(rows[p][c]) for p in range(k)]) for c in ("weight", "lower", "upper")}
+
+
 def move_scores(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, objective: str = "cut", balance: float = 0.0, only: DataFrame | None = None) -> DataFrame:
     """(id, source, target, gain, score) of moves to a neighbouring part that keep both parts within bounds.
 
@@ -131,29 +137,32 @@ def move_scores(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tol
     squared deviations from an even share; ``cut`` scores by the gain alone.
     Of equal scores both are listed.  ``only`` (id) names the nodes that may move.
     """
+    return _moves(edges, nodes, part, limits(nodes, part, k, tolerance), objective, balance, only).drop("c")
+
+
+def _moves(edges: DataFrame, nodes: DataFrame, part: DataFrame, b: dict[str, Column], objective: str, balance: float, only: DataFrame | None) -> DataFrame:
+    """Moves with the weight c of their nodes."""
     if objective not in ("cut", "cut_balance"):
         raise ValueError(f"unknown objective {objective!r}")
-    b = bounds(part_weights(nodes, part, k), k, tolerance)
     conn = connectivity(edges, part)
     if only is not None:
         conn = conn.join(only.select("id"), "id", "left_semi")
     own = part.select("id", F.col("p").alias("source")).join(nodes.select("id", guards.node_weight(F.col("c")).alias("c")), "id")
-    here = conn.join(own, "id").where("p = source").select("id", F.col("w").alias("here"))
-    x = conn.withColumnRenamed("p", "target").join(own, "id").where("target <> source").join(here, "id", "left")
-    for end in ("source", "target"):
-        x = x.join(b.select(F.col("p").alias(end), F.col("weight").alias(f"w_{end}"), F.col("lower").alias(f"lower_{end}"), F.col("upper").alias(f"upper_{end}")), end)
-    x = x.where("w_source - c >= lower_source AND w_target + c <= upper_target")
+    here = F.sum(F.when(F.col("p") == F.col("source"), F.col("w"))).over(Window.partitionBy("id"))  # a row for each part next to a node
+    x = conn.join(own, "id").withColumn("here", here).where("p <> source").withColumnRenamed("p", "target")
+    of = lambda c, end: F.get(b[c], F.col(end))
+    x = x.where((of("weight", "source") - F.col("c") >= of("lower", "source")) & (of("weight", "target") + F.col("c") <= of("upper", "target")))
     gain = F.col("w") - F.coalesce("here", F.lit(0.0))
     # (a - c - t)^2 + (b + c - t)^2 - (a - t)^2 - (b - t)^2, in which the share t cancels
-    change = 2 * F.col("c") * (F.col("w_target") - F.col("w_source") + F.col("c"))
+    change = 2 * F.col("c") * (of("weight", "target") - of("weight", "source") + F.col("c"))
     x = x.withColumn("gain", gain).withColumn("score", gain - balance * change if objective == "cut_balance" else gain)
-    return x.where("score > 0").select("id", "source", "target", "gain", "score")
+    return x.where("score > 0").select("id", "source", "target", "gain", "score", "c")
 
 
-def best_by_score(moves: DataFrame) -> DataFrame:
-    """Each node's best move; the smaller part on ties."""
-    best = moves.groupBy("id", "source").agg(F.max(F.struct("score", (-F.col("target")).alias("t"), "gain")).alias("x"))
-    return best.select("id", "source", (-F.col("x.t")).alias("target"), "x.gain", "x.score")
+def best_by_score(moves: DataFrame, *more: Column) -> DataFrame:
+    """Each node's best move, with more aggregates of a node's moves; the smaller part on ties."""
+    best = moves.groupBy("id", "source").agg(F.max(F.struct("score", (-F.col("target")).alias("t"), "gain")).alias("x"), *more)
+    return best.select("id", "source", (-F.col("x.t")).alias("target"), "x.gain", "x.score", *best.columns[3:])
 
 
 def best_moves(edges: DataFrame, part: DataFrame) -> DataFrame:
@@ -280,11 +289,15 @@ def admitted_moves(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int,
     count a part's movers alone.  ``only`` (id) names nodes that may move,
     no two of which are neighbours.
     """
-    b = materialise(bounds(part_weights(nodes, part, k), k, tolerance))
-    moves = materialise(best_by_score(move_scores(edges, nodes, part, k, tolerance, objective, balance, only)))
+    b = limits(nodes, part, k, tolerance)
+    scores = _moves(edges, nodes, part, b, objective, balance, only)
+    moves = materialise(best_by_score(scores, F.max("c").alias("c")))
+    few = moves.count() <= FEW
     if only is None:
         moves = independent(edges, moves, clashes)
-    moves = materialise(moves.join(nodes.select("id", guards.node_weight(F.col("c")).alias("c")), "id"))
+    if not few:
+        moves = materialise(moves)
+        few = moves.count() <= FEW
     if objective == "cut_balance":
         best = F.struct("score", (-F.col("id")).alias("i"))
         top = lambda x, p: x.groupBy(p).agg(F.max_by(F.struct(*moves.columns), best).alias("m")).select("m.*")
@@ -296,10 +309,9 @@ def admitted_moves(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int,
         lost = ends.join(wins, "p").where("id <> wins").select("id").distinct()
         out = out.join(lost, "id", "left_anti")
     else:
-        few = moves.count() <= FEW
         out = _running(_running(moves, "source", "leaves", few), "target", "enters", few)
-        out = out.join(b.select(F.col("p").alias("source"), (F.col("weight") - F.col("lower")).alias("spare")), "source").join(b.select(F.col("p").alias("target"), (F.col("upper") - F.col("weight")).alias("room")), "target")
-        out = out.where("leaves <= spare AND enters <= room")
+        of = lambda c, end: F.get(b[c], F.col(end))
+        out = out.where((F.col("leaves") <= of("weight", "source") - of("lower", "source")) & (F.col("enters") <= of("upper", "target") - of("weight", "target")))
     if most is not None:
         out = out.orderBy(F.desc("score"), "id").limit(most)
     return out.select("id", "source", "target", "gain", "score")
@@ -319,10 +331,12 @@ def refine(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, toleranc
         return nodes.select("id", F.lit(0).cast("long").alias("p"))
     edges = edges.select("u", "v", guards.edge_weight(F.col("w")).alias("w"))
     for _ in range(passes):
-        moves = materialise(admitted_moves(edges, nodes, part, k, tolerance, objective, balance, most, clashes=clashes))
-        if moves.isEmpty():
+        moves = admitted_moves(edges, nodes, part, k, tolerance, objective, balance, most, clashes=clashes).select("id", "target")
+        after = part.select("id", "p").join(moves, "id", "left")
+        after = materialise(after.select("id", F.coalesce("target", "p").cast("long").alias("p"), F.col("target").isNotNull().alias("moved")))  # moves and their outcome in one job
+        if after.where("moved").isEmpty():
             break
-        part = materialise(moved(part, moves))
+        part = after.select("id", "p")
     return part
 
 

@@ -377,3 +377,13 @@ def test_moves_that_do_not_clash_add_up(spark, k):
 def test_lattice_pairs_are_not_broadcast(spark):
     plan = lattice.couplings(spark, 4, 3, 2)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [cell" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_a_refinement_pass_writes_two_tables(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(partition, "materialise", lambda df: written.append(1) or materialise(df))
+    edges = spark.createDataFrame([(0, 1, 3.0), (1, 2, 2.0), (0, 2, 1.0), (3, 4, 3.0), (4, 5, 2.0), (3, 5, 1.0), (2, 3, 1.0)], "u long, v long, w double")
+    nodes = spark.createDataFrame([(i, 1.0) for i in range(6)], "id long, c double")
+    part = nodes.selectExpr("id", "CASE WHEN id < 2 THEN 0L ELSE 1L END AS p")
+    after = partition.refine(edges, nodes, part, 2, 0.5, passes=1)
+    assert len(written) == 2 and {r["id"] for r in after.where("p = 0").collect()} == {0, 1, 2}
