@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphband.session import shared_dir, ship_package
+from graphband.session import materialise, shared_dir, ship_package
 
 #: Stages in their order, and what a message of each says, as regular expressions.
 STAGES = (
@@ -92,6 +92,8 @@ def job_states(parsed: DataFrame) -> DataFrame:
     open stage is closed at its time, and success is 100 percent.  A line
     without a time counts for telemetry and errors alone.
     """
+    # Both what ends a job and what comes before read the lines, which are parsed once.
+    parsed = materialise(parsed.select("job_id", "seq", "ts", "level", "message", "stage", "exit_code"))
     order = F.struct("seq")
     end = parsed.where("exit_code is not null").groupBy("job_id").agg(F.min_by(F.struct("seq", "ts", "exit_code"), order).alias("end"))
     x = parsed.join(end, "job_id", "left").where("end is null OR seq <= end.seq")

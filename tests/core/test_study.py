@@ -149,3 +149,14 @@ def test_documents_of_any_shape(spark):
     assert found == [(1, "$.a.b[0]", "1"), (1, "$.a.b[1].c", None), (1, "$.a.d", "x.y"), (1, "$.e", "true"), (2, "$[0]", "1.5"), (2, "$[1][0]", "2"), (3, "$", "7"), (4, "$", "not json")]
     a, b = (spark.createDataFrame(x, "doc long, path string, value string") for x in ([(1, "$.a", "1"), (1, "$.b", None), (1, "$.c", None)], [(1, "$.a", "2"), (1, "$.b", None), (1, "$.d", None)]))
     assert rows(documents.differences(a, b)) == [(1, "$.a", "1", "2", "changed"), (1, "$.c", None, None, "removed"), (1, "$.d", None, None, "added")]
+
+
+def test_job_states_parse_lines_once(spark, monkeypatch):
+    from graphband import session
+    from graphband.sources import study
+    from graphband.streaming import logs
+
+    written = []
+    monkeypatch.setattr(logs, "materialise", lambda df: written.append(df.columns) or session.materialise(df))
+    out = logs.job_states(logs.parse(study.ended_lines(spark, "/root/testdata/sf0.001")))
+    assert len(written) == 1 and "rlike" not in out._jdf.queryExecution().analyzed().toString().lower()
