@@ -233,14 +233,22 @@ def job_states(s, d):
     return logs.job_states(logs.parse(study.ended_lines(s, d))).na.fill(-1)
 
 
+TURN = 20_000  # lines in a file
+
+
 @_add(STATES)
 def job_states_streamed(s, d):
-    """The same by way of a stream: lines arrive in four files, one after another, and state is kept by job."""
+    """The same by way of a stream: lines arrive in four turns, one after another, and state is kept by job.
+
+    A turn's lines are in as many files as their number asks for, each job's in one of them, so that no
+    task writes or parses a whole turn and a job's turns come in their order however files fall into batches.
+    """
     lines, folder = materialise(study.ended_lines(s, d)), shared_dir(s)
-    top = lines.agg(F.max("seq")).first()[0] or 0
+    told = lines.agg(F.max("seq"), F.count(F.lit(1))).first()
+    top, files = told[0] or 0, 1 + told[1] // (4 * TURN)
     for k in range(4):
-        lines.where(F.expr(f"seq * 4 div {top + 1} = {k}")).coalesce(1).write.mode("append").json(folder)
-    return logs.replayed(s, folder).na.fill(-1)
+        lines.where(F.expr(f"seq * 4 div {top + 1} = {k}")).repartition(files, "job_id").write.mode("append").json(folder)
+    return logs.replayed(s, folder, files).na.fill(-1)
 
 
 @_add(f"WITH {base.LOGS}, nm AS (SELECT *, CAST(row_number() OVER (PARTITION BY job_id % 8 ORDER BY seq) - 1 AS BIGINT) AS n FROM raw) SELECT CAST(job_id % 8 AS BIGINT) AS job_id, n AS seq, coalesce(epoch(ts)::BIGINT, -1) AS at, level, message, stage FROM nm")

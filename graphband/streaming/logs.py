@@ -168,6 +168,7 @@ def live_states(parsed: DataFrame, timer: str | None = None) -> DataFrame:
     ship_package(parsed.sparkSession)
     index = {name: i for i, (name, _) in enumerate(STAGES)}
     numbers = list(TELEMETRY)
+    whole = {"percent", *index, *numbers}
     wait = None if timer is None else int(pd.Timedelta(timer).total_seconds() * 1000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -179,8 +180,8 @@ def live_states(parsed: DataFrame, timer: str | None = None) -> DataFrame:
             seq, since, now = -1, None, None
             job |= {"status": "running", "percent": 0} | {name: 0 for name in index}
         if not state.hasTimedOut:
-            lines = pd.concat(list(batches)).sort_values("seq", kind="stable")
-            for r in lines.to_dict("records"):
+            lines = [r for b in batches if len(b) for r in b.to_dict("records")]
+            for r in sorted(lines, key=lambda r: r["seq"]):
                 if job["status"] != "running" or r["seq"] <= seq:
                     continue
                 seq = r["seq"]
@@ -210,7 +211,7 @@ def live_states(parsed: DataFrame, timer: str | None = None) -> DataFrame:
         if wait is not None and job["status"] == "running":
             state.setTimeoutDuration(wait)
         row = {"job_id": key[0], "seq": int(seq), **job, "live_seconds": None if now is None else float(now - since)}
-        yield pd.DataFrame([row]).astype({c: "Int64" for c in ("percent", *index, *numbers)})
+        yield pd.DataFrame({c: pd.array([x], "Int64") if c in whole else [x] for c, x in row.items()})
 
     number = lambda rx, g: F.nullif(F.regexp_extract("message", rx, g), F.lit("")).cast("long")
     told = [number(rx, g).alias(name) for name, (rx, g) in TELEMETRY.items()]

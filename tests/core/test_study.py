@@ -160,3 +160,11 @@ def test_job_states_parse_lines_once(spark, monkeypatch):
     monkeypatch.setattr(logs, "materialise", lambda df: written.append(df.columns) or session.materialise(df))
     out = logs.job_states(logs.parse(study.ended_lines(spark, "/root/testdata/sf0.001")))
     assert len(written) == 1 and "rlike" not in out._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_turns_in_many_files_give_the_same_states(spark, monkeypatch):
+    from graphband import queries_study
+
+    monkeypatch.setattr(queries_study, "TURN", 50)
+    one, two = (q(spark, "/root/testdata/sf0.001") for q in (queries_study.job_states, queries_study.job_states_streamed))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
