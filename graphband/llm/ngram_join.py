@@ -38,6 +38,7 @@ from graphband.session import discard, materialise, ship_package
 SIZE, PERCENT = 5, 80
 CROWD = 8  # documents on a part; above this they are paired with one of them
 CHUNK = 256  # documents of a crowd that are compared with as many others at once
+FEW = 8  # candidates that a document hands out of a block at once
 PARTS = 64  # at least; so many that small sets do not leave most parts empty
 SKETCH_BITS = 4096
 SEEN = 2_000_000  # classes that a task remembers having handed out
@@ -374,6 +375,13 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
 
 
+def _moved(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``_crowd_pairs`` with the components of now, without what these join."""
+    for end in ("joined", "other"):
+        found = found.join(labels.select(F.col("id").alias(end), F.col("comp").alias("now")), end, "left").withColumn(end, F.coalesce("now", end)).drop("now")
+    return materialise(found.where("joined <> other OR far = -2"))
+
+
 def _sketches(followers: DataFrame, texts: DataFrame, size: int, seed: int) -> DataFrame:
     """c, size, sketch of the followers' classes."""
 
@@ -385,16 +393,18 @@ def _sketches(followers: DataFrame, texts: DataFrame, size: int, seed: int) -> D
     return materialise(texts.join(followers.select("c").distinct(), "c", "left_semi").mapInPandas(sketch, "c long, n long, sketch binary"))
 
 
-def _crowd_pairs(followers: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs among the followers of a lead that are still apart and whose dense sketches do not rule them out.
+def _crowd_pairs(followers: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, few: int | None, among: DataFrame | None = None) -> DataFrame:
+    """joined, other, far, a, b: pairs among the followers of a lead that are still apart and whose dense sketches do not rule them out.
 
     Of a lead's followers most are joined; only those that are not in the
     largest component are compared, with each other and with the others.  With
-    ``nearest``, each of their components is paired with the nearest document
-    outside it alone.
+    ``few``, one hands out its nearest ones of a block alone; what it leaves out
+    is told by component (far = -1), or in sum (-2) where these are more than 8 * ``few``.
+    Only components in ``among`` (id) count, where that is given.
     """
     member = followers.join(labels.select(F.col("id").alias("c"), "comp"), "c", "left")
-    member = materialise(member.select("lead", "c", F.coalesce("comp", "c").alias("joined")))
+    member = member.select("lead", "c", F.coalesce("comp", "c").alias("joined"))
+    member = materialise(member if among is None else member.join(among.withColumnRenamed("id", "joined"), "joined", "left_semi"))
     joined = member.groupBy("lead", "joined").agg(F.count(F.lit(1)).alias("n"))
     sizes = joined.groupBy("lead").agg(F.sum("n").alias("all"), F.max(F.struct("n", "joined")).alias("most"))
     sizes = sizes.where(F.col("all") > F.col("most.n")).select("lead", F.col("most.joined").alias("most"), F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks"), F.ceil((F.col("all") - F.col("most.n")) / CHUNK).cast("int").alias("odd_chunks"))
@@ -412,18 +422,14 @@ def _crowd_pairs(followers: DataFrame, labels: DataFrame, sketches: DataFrame, p
         for r in left.itertuples():
             far = np.bitwise_count(bits ^ np.frombuffer(r.sketch, np.uint64)).sum(axis=1)
             good = (far <= (r.n + n) * (100 - percent) // (100 + percent)) & (joined != r.joined) & (100 * np.minimum(n, r.n) >= percent * np.maximum(n, r.n))
-            if nearest:
-                at = np.flatnonzero(good)[np.argsort(far[good], kind="stable")[:1]]
-            else:
-                at = np.flatnonzero(good & ((joined == most) | (c > r.c)))
-            found += [(r.joined, int(f), min(r.c, x), max(r.c, x)) for x, f in zip(c[at].tolist(), far[at].tolist(), strict=True)]
-        return pd.DataFrame(found, columns=["joined", "far", "a", "b"]).astype("int64")
+            at = np.flatnonzero(good if few else good & ((joined == most) | (c > r.c)))
+            at = at[np.argsort(far[at], kind="stable")]
+            over = np.unique(joined[at[few:]]).tolist() if few else []
+            found += [(r.joined, j, f, min(r.c, x), max(r.c, x)) for j, x, f in zip(*(v[at[:few]].tolist() for v in (joined, c, far)), strict=True)]
+            found += [(r.joined, j, -1, 0, 0) for j in over] if not few or len(over) <= 8 * few else [(r.joined, r.joined, -2, 0, 0)]
+        return pd.DataFrame(found, columns=["joined", "other", "far", "a", "b"]).astype("int64")
 
-    found = odd.unionByName(all_).groupBy("lead", "x", "y").applyInPandas(compare, "joined long, far long, a long, b long")
-    if nearest:
-        best = found.groupBy("joined").agg(F.min(F.struct("far", "a", "b")).alias("x"))
-        return best.select("x.a", "x.b").distinct()
-    return found.select("a", "b").distinct()
+    return odd.unionByName(all_).groupBy("lead", "x", "y").applyInPandas(compare, "joined long, other long, far long, a long, b long")
 
 
 def _classify(docs: DataFrame, roll: lookup.Roll, size: int, percent: int, at_once: int = COUNTED) -> DataFrame:
@@ -493,14 +499,24 @@ def _joined(docs: DataFrame, seen: DataFrame, size: int, percent: int, seed: int
     followers = a.select(F.col("a").alias("lead"), F.col("b").alias("c")).unionAll(b.select(F.col("b").alias("lead"), F.col("a").alias("c")))
     if not followers.isEmpty():
         followers = materialise(followers.unionAll(followers.select("lead", F.col("lead").alias("c"))).distinct())
-        sketches, nearest = _sketches(followers, texts, size, seed), True
-        while True:  # components join their nearest ones, round by round; when few do, all pairs that are left are tried
-            pairs = materialise(_crowd_pairs(followers, labels, sketches, percent, nearest))
-            new = check(pairs)
+        sketches, few, among = _sketches(followers, texts, size, seed), FEW, None
+        while True:  # what a pass leaves out and is still apart comes again, and all of it where few were joined
+            found = materialise(_crowd_pairs(followers, labels, sketches, percent, few, among))
+            links = tries = 0
+            while True:  # components join their nearest ones, round by round; when few do, all pairs that are left are tried
+                best = materialise(found.where("far >= 0").groupBy("joined").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b").distinct())
+                new = check(best)
+                labels, n, of = extend(labels, new), new.count(), best.count()
+                found, links, tries = _moved(found, labels), links + n, tries + of
+                if 4 * n <= of:
+                    break
+            new = check(found.where("far >= 0").select("a", "b").distinct())
             labels = extend(labels, new)
-            if not nearest:
+            found = _moved(found.where("far < 0"), labels)
+            if found.isEmpty():
                 break
-            nearest = 4 * new.count() > pairs.count()
+            few = FEW if 4 * (links + new.count()) > tries else None
+            among = None if not found.where("far = -2").isEmpty() else materialise(found.select(F.explode(F.array("joined", "other")).alias("id")).distinct())
         discard(followers, sketches)
     discard(texts, candidates)
     return labels

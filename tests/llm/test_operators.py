@@ -260,6 +260,29 @@ def test_crowds_lose_no_link(spark, monkeypatch):
     assert {r["component_id"] for r in ngram_join.near_duplicates(df).collect()} == {0}
 
 
+def test_crowds_are_compared_whole_once(spark, monkeypatch):
+    """Where candidates are left out of a pass, the next one sees what is still apart alone, and no link is lost."""
+    for name, x in (("CROWD", 3), ("CHUNK", 8), ("FEW", 1)):
+        monkeypatch.setattr(ngram_join, name, x, raising=False)
+    whole, compare = [], ngram_join._crowd_pairs
+    monkeypatch.setattr(ngram_join, "_crowd_pairs", lambda *a: whole.append(len(a) < 6 or a[5] is None) or compare(*a))
+    rng = random.Random(5)
+    text, sets, rows = [f"w{i}" for i in range(80)], [], []
+    for i in range(40):
+        rows.append((i, " ".join(text)))
+        sets.append({tuple(text[k : k + 5]) for k in range(76)})
+        text = list(text) if i % 4 else [f"w{i}" for i in range(80)]
+        for _ in range(rng.randrange(1, 3)):
+            text[rng.randrange(20, 80)] = f"m{rng.randrange(9)}"
+    comp = list(range(40))
+    for a, b in itertools.combinations(range(40), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(df).collect()} == dict(enumerate(comp))
+    assert len(set(comp)) > 1 and sum(whole) == 1
+
+
 def test_sketch_keys_meet_for_every_similar_pair():
     rng = np.random.default_rng(1)
     for n in [*range(1, 40), 100, 333, 1000]:
