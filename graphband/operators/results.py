@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphband.operators.graph import ranked
+from graphband.session import materialise
 
 
 def usage_by_unit(usage: DataFrame) -> DataFrame:
@@ -129,11 +130,17 @@ def runs_listing(cases: DataFrame, kpis: DataFrame) -> DataFrame:
     return latest.join(kpis.where("matrix = 'K'").select("run_id", "bandwidth_original", "bandwidth_permuted", "bandwidth_reduction_pct"), "run_id", "left")
 
 
+def _curves_of(metrics: DataFrame, first: DataFrame) -> DataFrame:
+    """``curve_series`` of the runs in ``first`` (run_id, more), with its columns: other runs' figures are dropped before they are grouped."""
+    first = materialise(first)
+    return curve_series(metrics.join(first.select("run_id").distinct(), "run_id", "left_semi")).join(first, "run_id")
+
+
 def analysis_curves(cases: DataFrame, metrics: DataFrame, algorithms: tuple[str, ...]) -> DataFrame:
     """(geometry, matrix, size, percent, original, one column for each algorithm): shares of the first finished case of each; 0 at 0 %."""
     done = completed(cases)
     first = done.groupBy("geometry", "size", "algorithm").agg(F.min("run_id").alias("run_id"))
-    shown = curve_series(metrics).join(first, "run_id")
+    shown = _curves_of(metrics, first)
     by = ["geometry", "matrix", "size", "percent"]
     cell = lambda a: F.max(F.when(F.col("algorithm") == a, F.col("permuted"))).alias(a)
     out = shown.groupBy(*by).agg(F.min_by("original", "run_id").alias("original"), *map(cell, algorithms))
@@ -144,7 +151,7 @@ def analysis_curves(cases: DataFrame, metrics: DataFrame, algorithms: tuple[str,
 def overlay(cases: DataFrame, metrics: DataFrame, a: str, b: str, matrix: str = "K") -> DataFrame:
     """(geometry, size, percent, a, b): two algorithms' curves where both have a finished case of one geometry and size."""
     first = completed(cases).where(F.col("algorithm").isin(a, b)).groupBy("geometry", "size", "algorithm").agg(F.min("run_id").alias("run_id"))
-    x = curve_series(metrics).where(F.col("matrix") == matrix).join(first, "run_id")
+    x = _curves_of(metrics.where(F.col("matrix") == matrix), first)
     one = lambda v, to: x.where(F.col("algorithm") == v).select("geometry", "size", "percent", F.col("permuted").alias(to))
     return one(a, "a").join(one(b, "b"), ["geometry", "size", "percent"])
 

@@ -168,3 +168,17 @@ def test_turns_in_many_files_give_the_same_states(spark, monkeypatch):
     monkeypatch.setattr(queries_study, "TURN", 50)
     one, two = (q(spark, "/root/testdata/sf0.001") for q in (queries_study.job_states, queries_study.job_states_streamed))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_curves_of_shown_runs_alone(spark):
+    """Figures of runs that are not shown are dropped before curves are grouped; the rows are the same."""
+    case = lambda run, algorithm: ("g", "small", algorithm, run, "completed", f"run_{run}")
+    cases = spark.createDataFrame([case(1, "high"), case(2, "high"), case(3, "low"), case(4, "low")], "geometry string, size string, algorithm string, run_id long, status string, result_dir string")
+    rows = [(run, "K", v, "frac_within_0.1%", run + x) for run in range(1, 200) for v, x in (("original", 0.25), ("permuted", 0.5))]
+    metrics = spark.createDataFrame(rows, "run_id long, matrix string, variant string, metric string, value double")
+    out = results.overlay(cases, metrics, "high", "low")
+    assert [tuple(r) for r in out.collect()] == [("g", "small", 0.1, 1.5, 3.5)]
+    curves = results.analysis_curves(cases, metrics, ("high", "low"))
+    assert sorted(tuple(r) for r in curves.collect()) == [("g", "K", "small", 0.0, 0.0, 0.0, 0.0), ("g", "K", "small", 0.1, 1.25, 1.5, 3.5)]
+    for frame in (out, curves):
+        assert "LeftSemi" in frame._jdf.queryExecution().optimizedPlan().toString()
