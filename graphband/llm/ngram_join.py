@@ -18,7 +18,9 @@ with each other.  Many are paired with one of them, the part's lead, which mostl
 joins them; a very common pattern has an agreed lead, so that what hands it out
 is paired in place and needs no meeting.  What is left apart among the followers
 of a lead is compared with them block by block by dense sketches, whose Hamming
-distance bounds the difference from below, and then verified.
+distance bounds the difference from below.  Small sets are decided there by their
+hashes, and a block hands out no more links than join its components; large ones
+are handed out as candidates.  Both are then verified.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ from graphband.session import discard, materialise, ship_package
 
 SIZE, PERCENT = 5, 80
 CROWD = 8  # documents on a part; above this they are paired with one of them
-CHUNK = 256  # documents of a crowd that are compared with as many others at once
+CHUNK = 512  # documents of a crowd that are compared with as many others at once
+LIGHT = 512  # n-grams of a set that goes along with its dense sketch, so that a pair is decided where it is compared
 FEW = 8  # candidates that a document hands out of a block at once
 PARTS = 64  # at least; so many that small sets do not leave most parts empty
 SKETCH_BITS = 4096
@@ -383,22 +386,46 @@ def _moved(found: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _sketches(followers: DataFrame, texts: DataFrame, size: int, seed: int) -> DataFrame:
-    """c, size, sketch of the followers' classes."""
+    """c, n, sketch, own of the followers' classes; ``own`` are the hashes of a set of LIGHT n-grams at most."""
+    light = LIGHT
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = list(shingle_sets([bytes(t) for t in b["text"]], size, seed))
-            yield pd.DataFrame({"c": b["c"], "n": [len(s) for s in sets], "sketch": [dense_sketch(s) for s in sets]})
-
-    return materialise(texts.join(followers.select("c").distinct(), "c", "left_semi").mapInPandas(sketch, "c long, n long, sketch binary"))
+            own = [s.tobytes() if len(s) <= light else None for s in sets]
+            yield pd.DataFrame({"c": b["c"], "n": [len(s) for s in sets], "sketch": [dense_sketch(s) for s in sets], "own": own})
+
+    return materialise(texts.join(followers.select("c").distinct(), "c", "left_semi").mapInPandas(sketch, "c long, n long, sketch binary, own binary"))
+
+
+def _forest(pairs: list[tuple[np.ndarray, int, np.ndarray]], ends: tuple[pd.DataFrame, pd.DataFrame], percent: int) -> list[tuple]:
+    """joined, other, far, a, b, sure of the nearest similar pairs that join what is apart; of pairs (distances, left row, right rows)."""
+    far, x, y = (np.concatenate(v) for v in zip(*((f, np.full(len(f), i), at) for f, i, at in pairs), strict=True))
+    sets = [[np.frombuffer(o, U64) if o is not None else None for o in e["own"]] for e in ends]
+    comp, c = ([e[k].tolist() for e in ends] for k in ("joined", "c"))
+    root: dict[int, int] = {}
+
+    def find(j: int) -> int:
+        while (up := root.get(j, j)) != j:
+            root[j] = j = root.get(up, up)
+        return j
+
+    out, by = [], np.argsort(far, kind="stable")
+    for f, i, k in zip(far[by].tolist(), x[by].tolist(), y[by].tolist(), strict=True):
+        j, other = find(comp[0][i]), find(comp[1][k])
+        if j != other and similar(sets[0][i], sets[1][k], percent):
+            root[j] = other
+            out.append((comp[0][i], comp[1][k], f, min(c[0][i], c[1][k]), max(c[0][i], c[1][k]), True))
+    return out
 
 
 def _crowd_pairs(followers: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, few: int | None, among: DataFrame | None = None) -> DataFrame:
-    """joined, other, far, a, b: pairs among the followers of a lead that are still apart and whose dense sketches do not rule them out.
+    """joined, other, far, a, b, sure: pairs among the followers of a lead that are still apart and are similar by their hashes (sure) or may be, by dense sketches.
 
     Of a lead's followers most are joined; only those that are not in the
-    largest component are compared, with each other and with the others.  With
-    ``few``, one hands out its nearest ones of a block alone; what it leaves out
+    largest component are compared, with each other and with the others.  Of small
+    sets a block hands out similar pairs, and those alone that join its components.
+    With ``few``, a larger one hands out its nearest ones of a block alone; what it leaves out
     is told by component (far = -1), or in sum (-2) where these are more than 8 * ``few``.
     Only components in ``among`` (id) count, where that is given.
     """
@@ -416,20 +443,28 @@ def _crowd_pairs(followers: DataFrame, labels: DataFrame, sketches: DataFrame, p
 
     def compare(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         left, right = (b[b["side"] == k].reset_index(drop=True) for k in (0, 1))
-        found = []
+        found, decided = [], []
+        light = right["own"].notna().to_numpy()
         bits = np.frombuffer(b"".join(right["sketch"]), np.uint64).reshape(len(right), -1)
         n, joined, c, most = (right[k].to_numpy() for k in ("n", "joined", "c", "most"))
-        for r in left.itertuples():
+        for i, r in enumerate(left.itertuples()):
             far = np.bitwise_count(bits ^ np.frombuffer(r.sketch, np.uint64)).sum(axis=1)
             good = (far <= (r.n + n) * (100 - percent) // (100 + percent)) & (joined != r.joined) & (100 * np.minimum(n, r.n) >= percent * np.maximum(n, r.n))
-            at = np.flatnonzero(good if few else good & ((joined == most) | (c > r.c)))
+            once = good & ((joined == most) | (c > r.c))
+            if r.own is not None:
+                at = np.flatnonzero(once & light)
+                decided.append((far[at], i, at))
+                good, once = good & ~light, once & ~light
+            at = np.flatnonzero(good if few else once)
             at = at[np.argsort(far[at], kind="stable")]
             over = np.unique(joined[at[few:]]).tolist() if few else []
-            found += [(r.joined, j, f, min(r.c, x), max(r.c, x)) for j, x, f in zip(*(v[at[:few]].tolist() for v in (joined, c, far)), strict=True)]
-            found += [(r.joined, j, -1, 0, 0) for j in over] if not few or len(over) <= 8 * few else [(r.joined, r.joined, -2, 0, 0)]
-        return pd.DataFrame(found, columns=["joined", "other", "far", "a", "b"]).astype("int64")
+            found += [(r.joined, j, f, min(r.c, x), max(r.c, x), False) for j, x, f in zip(*(v[at[:few]].tolist() for v in (joined, c, far)), strict=True)]
+            found += [(r.joined, j, -1, 0, 0, False) for j in over] if not few or len(over) <= 8 * few else [(r.joined, r.joined, -2, 0, 0, False)]
+        if decided:
+            found += _forest(decided, (left, right), percent)
+        return pd.DataFrame(found, columns=["joined", "other", "far", "a", "b", "sure"]).astype(dict.fromkeys(("joined", "other", "far", "a", "b"), "int64") | {"sure": bool})
 
-    return odd.unionByName(all_).groupBy("lead", "x", "y").applyInPandas(compare, "joined long, other long, far long, a long, b long")
+    return odd.unionByName(all_).groupBy("lead", "x", "y").applyInPandas(compare, "joined long, other long, far long, a long, b long, sure boolean")
 
 
 def _classify(docs: DataFrame, roll: lookup.Roll, size: int, percent: int, at_once: int = COUNTED) -> DataFrame:
@@ -500,8 +535,9 @@ def _joined(docs: DataFrame, seen: DataFrame, size: int, percent: int, seed: int
     if not followers.isEmpty():
         followers = materialise(followers.unionAll(followers.select("lead", F.col("lead").alias("c"))).distinct())
         sketches, few, among = _sketches(followers, texts, size, seed), FEW, None
+        by_hash = sketches
         while True:  # what a pass leaves out and is still apart comes again, and all of it where few were joined
-            found = materialise(_crowd_pairs(followers, labels, sketches, percent, few, among))
+            found = materialise(_crowd_pairs(followers, labels, by_hash, percent, few, among))
             links = tries = 0
             while True:  # components join their nearest ones, round by round; when few do, all pairs that are left are tried
                 best = materialise(found.where("far >= 0").groupBy("joined").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b").distinct())
@@ -512,9 +548,11 @@ def _joined(docs: DataFrame, seen: DataFrame, size: int, percent: int, seed: int
                     break
             new = check(found.where("far >= 0").select("a", "b").distinct())
             labels = extend(labels, new)
-            found = _moved(found.where("far < 0"), labels)
+            found = _moved(found.where("far < 0 OR sure"), labels)
             if found.isEmpty():
                 break
+            if not found.where("sure").isEmpty():  # hashes met by chance: what these pairs stood for is compared again without
+                by_hash = sketches.withColumn("own", F.lit(None).cast("binary"))
             few = FEW if 4 * (links + new.count()) > tries else None
             among = None if not found.where("far = -2").isEmpty() else materialise(found.select(F.explode(F.array("joined", "other")).alias("id")).distinct())
         discard(followers, sketches)

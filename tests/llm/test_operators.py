@@ -283,6 +283,40 @@ def test_crowds_are_compared_whole_once(spark, monkeypatch):
     assert len(set(comp)) > 1 and sum(whole) == 1
 
 
+def test_crowds_hand_out_links_not_candidates(spark, monkeypatch):
+    """A crowd of small sets makes fewer rows than its components times blocks, also where most pairs are nearly similar; hashes that meet lose no link."""
+    for name, x in (("CROWD", 3), ("CHUNK", 64)):
+        monkeypatch.setattr(ngram_join, name, x)
+    made, compare = [], ngram_join._crowd_pairs
+
+    def counted(*a):
+        made.append(ngram_join.materialise(compare(*a)))
+        return made[-1]
+
+    monkeypatch.setattr(ngram_join, "_crowd_pairs", counted)
+    rng = random.Random(9)
+    base, sets, rows = [f"w{i}" for i in range(160)], [], []
+    for i in range(120):
+        text = list(base)
+        for k in rng.sample(range(32), rng.choice((2, 3, 4))):
+            text[5 * k + 2] = f"m{i}x{k}"
+        rows.append((i, " ".join(text)))
+        sets.append({tuple(text[k : k + 5]) for k in range(156)})
+    comp = list(range(120))
+    for a, b in itertools.combinations(range(120), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(df).collect()} == dict(enumerate(comp))
+    assert made and len(made) == 1 and made[0].count() < 120 * 4 and made[0].where("not sure").isEmpty()
+
+    made.clear()
+    real = ngram_join._forest
+    monkeypatch.setattr(ngram_join, "_forest", lambda pairs, ends, percent: real(pairs, ends, 40))  # hashes hold more pairs for similar
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(df).collect()} == dict(enumerate(comp))
+    assert len(made) > 1
+
+
 def test_sketch_keys_meet_for_every_similar_pair():
     rng = np.random.default_rng(1)
     for n in [*range(1, 40), 100, 333, 1000]:
