@@ -40,7 +40,7 @@ from graphband.session import discard, materialise, ship_package
 SIZE, PERCENT = 5, 80
 CROWD = 8  # documents on a part; above this they are paired with one of them
 CHUNK = 512  # documents of a crowd that are compared with as many others at once
-LIGHT = 512  # n-grams of a set that goes along with its dense sketch, so that a pair is decided where it is compared
+LIGHT = 256  # n-grams of a set that goes along with its dense sketch, so that a pair is decided where it is compared
 FEW = 8  # candidates that a document hands out of a block at once
 PARTS = 64  # at least; so many that small sets do not leave most parts empty
 SKETCH_BITS = 4096
@@ -386,13 +386,13 @@ def _moved(found: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _sketches(followers: DataFrame, texts: DataFrame, size: int, seed: int) -> DataFrame:
-    """c, n, sketch, own of the followers' classes; ``own`` are the hashes of a set of LIGHT n-grams at most."""
+    """c, n, sketch, own of the followers' classes; ``own`` are halves of the hashes of a set of LIGHT n-grams at most."""
     light = LIGHT
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = list(shingle_sets([bytes(t) for t in b["text"]], size, seed))
-            own = [s.tobytes() if len(s) <= light else None for s in sets]
+            own = [s.astype(np.uint32).tobytes() if len(s) <= light else None for s in sets]
             yield pd.DataFrame({"c": b["c"], "n": [len(s) for s in sets], "sketch": [dense_sketch(s) for s in sets], "own": own})
 
     return materialise(texts.join(followers.select("c").distinct(), "c", "left_semi").mapInPandas(sketch, "c long, n long, sketch binary, own binary"))
@@ -401,7 +401,7 @@ def _sketches(followers: DataFrame, texts: DataFrame, size: int, seed: int) -> D
 def _forest(pairs: list[tuple[np.ndarray, int, np.ndarray]], ends: tuple[pd.DataFrame, pd.DataFrame], percent: int) -> list[tuple]:
     """joined, other, far, a, b, sure of the nearest similar pairs that join what is apart; of pairs (distances, left row, right rows)."""
     far, x, y = (np.concatenate(v) for v in zip(*((f, np.full(len(f), i), at) for f, i, at in pairs), strict=True))
-    sets = [[np.frombuffer(o, U64) if o is not None else None for o in e["own"]] for e in ends]
+    sets = [[np.frombuffer(o, np.uint32) if o is not None else None for o in e["own"]] for e in ends]
     comp, c = ([e[k].tolist() for e in ends] for k in ("joined", "c"))
     root: dict[int, int] = {}
 
@@ -413,7 +413,10 @@ def _forest(pairs: list[tuple[np.ndarray, int, np.ndarray]], ends: tuple[pd.Data
     out, by = [], np.argsort(far, kind="stable")
     for f, i, k in zip(far[by].tolist(), x[by].tolist(), y[by].tolist(), strict=True):
         j, other = find(comp[0][i]), find(comp[1][k])
-        if j != other and similar(sets[0][i], sets[1][k], percent):
+        if j == other:
+            continue
+        size, union = len(sets[0][i]) + len(sets[1][k]), len(np.unique(np.concatenate([sets[0][i], sets[1][k]])))
+        if 100 * (size - union) >= percent * union:  # halves that meet make a union smaller, so no similar pair is missed
             root[j] = other
             out.append((comp[0][i], comp[1][k], f, min(c[0][i], c[1][k]), max(c[0][i], c[1][k]), True))
     return out
