@@ -5,13 +5,16 @@ Edges are (u, v, w) with u < v; nodes are (id, c) with their weight.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphband.session import materialise
+from graphband.session import discard, materialise
 
 
 def matrix_to_graph(entries: DataFrame, d: int) -> DataFrame:
@@ -65,8 +68,7 @@ def candidates(edges: DataFrame, nodes: DataFrame, strategy: str = "modified", c
 
 def best_candidates(found: DataFrame) -> DataFrame:
     """The best neighbour of each node: by score, magnitude, tie, ids."""
-    key = F.struct("score", F.abs("w").alias("m"), F.col("tie").alias("t"), F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"))
-    return found.groupBy("u").agg(F.max_by("v", key).alias("v"))
+    return found.groupBy("u").agg(F.max_by("v", _key()).alias("v"))
 
 
 def mutual_round(found: DataFrame) -> DataFrame:
@@ -80,51 +82,88 @@ def mutual(best: DataFrame) -> DataFrame:
     return best.join(back, ["u", "v"]).where("u < v").select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
-def matching(edges: DataFrame, nodes: DataFrame, strategy: str = "modified", cap: float | None = None) -> DataFrame:
+FEW = 1 << 18  # candidates, of both sides, that one task may match
+
+
+def _key() -> Column:
+    """What makes a candidate better than another: score, magnitude, tie, ids."""
+    return F.struct("score", F.abs("w").alias("m"), F.col("tie").alias("t"), F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"))
+
+
+def _greedy(left: DataFrame, *order: Column | str) -> DataFrame:
+    """Pairs (u, v) of a pass over few candidates in that order, by one task: a pair stands where both ends are still free."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken: set[int] = set()
+        for b in batches:
+            pairs = []
+            for u, v in zip(b["u"].tolist(), b["v"].tolist(), strict=True):
+                if u not in taken and v not in taken:
+                    taken.update((u, v))
+                    pairs.append((u, v))
+            yield pd.DataFrame(np.array(pairs, np.int64).reshape(-1, 2), columns=["u", "v"])
+
+    return left.repartition(1).sortWithinPartitions(*order).select("u", "v").mapInPandas(run, "u long, v long")
+
+
+def matching(edges: DataFrame, nodes: DataFrame, strategy: str = "modified", cap: float | None = None, few: int = FEW) -> DataFrame:
     """A maximal matching (id, mate) by rounds of mutual best; unmatched nodes are their own mates.
 
     The best eligible edge is always mutual, so each round matches something.
+    The rounds come to the pass over all edges, best first, with which one task
+    ends once no more than ``few`` candidates are left.
     """
     left, found = materialise(candidates(edges, nodes, strategy, cap)), []
-    while not left.isEmpty():
+    while (n := left.count()) > few:
         best = materialise(best_candidates(left))
-        pairs = mutual(best)
+        pairs = materialise(mutual(best))
         taken = pairs.select(F.explode(F.array("a", "b")).alias("x"))
         rest = left.join(taken.withColumnRenamed("x", "u"), "u", "left_anti").join(taken.withColumnRenamed("x", "v"), "v", "left_anti")
-        columns = ["u", "v", "w", "score", "tie"]
-        both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), *[F.lit(None).alias(c) for c in columns[2:]], F.lit(True).alias("matched"))
-        both = materialise(both.unionByName(rest.select(*columns, F.lit(False).alias("matched"))))  # and one job for the rest
-        found.append(both.where("matched").select("u", "v"))
-        left = both.where("not matched").select(*columns)
+        found.append(pairs.toDF("u", "v"))
+        before, left = left, materialise(rest)
+        discard(before, best)
+    if n:
+        found.append(materialise(_greedy(left.where("u < v"), F.desc(_key()))))
+    discard(left)
     return _mates(nodes, found)
 
 
-def visit_matching(edges: DataFrame, nodes: DataFrame, strategy: str = "modified", cap: float | None = None, seed: int = 0) -> DataFrame:
+def visit_matching(edges: DataFrame, nodes: DataFrame, strategy: str = "modified", cap: float | None = None, seed: int = 0, few: int = FEW) -> DataFrame:
     """The matching (id, mate) of a greedy pass that visits nodes in ``visit_order`` and takes the best neighbour still free; others are their own mates.
 
-    Deterministic reservations: in a round every free node picks its best free
-    neighbour, and the pick stands where its node comes first in the order
-    among all that could interfere: both ends' free neighbours and themselves.  Nothing that comes earlier
-    can then change what is free around the pair, so the rounds end in the same
-    matching as one visit after another, whatever the partitions.
+    Deterministic reservations: each node has a bound, the place in the order
+    before which it is surely free.  A visit takes the node itself, or one of
+    its neighbours, best first: one comes into question only where all better
+    ones may be gone by then, by their bounds.  So a node's bound is the first
+    place among its own and those of the visits for which it comes into
+    question, and bounds grow from round to round.  A node's pick of its best
+    free neighbour stands where both are surely free at its place.  The rounds
+    end in the same matching as one visit after another, whatever the
+    partitions; one task does that once no more than ``few`` candidates are left.
     """
     places = materialise(visit_order(edges, nodes, strategy, seed).select("id", "place"))
     left = candidates(edges, nodes, strategy, cap)
     for end in ("u", "v"):
         left = left.join(places.select(F.col("id").alias(end), F.col("place").alias(f"at_{end}")), end)
-    columns, found = ["u", "v", "w", "score", "tie", "at_u", "at_v"], []
-    left = materialise(left.select(*columns))
-    key = F.struct("score", F.abs("w").alias("m"), F.col("tie").alias("t"), F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"))
-    while not left.isEmpty():
-        picks = materialise(left.groupBy("u").agg(F.max_by("v", key).alias("v"), F.least(F.min("at_u"), F.min("at_v")).alias("first"), F.min("at_u").alias("at")))
-        of_v = picks.select(F.col("u").alias("v"), F.col("first").alias("first_v"))
-        pairs = picks.where("first = at").join(of_v.hint("shuffle_hash"), "v").where("first_v = at").select("u", "v")
+    left = left.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc(_key()))))
+    left, found = materialise(left.select("u", "v", "at_u", "at_v", "rank", (F.col("rank") == 1).alias("top"), F.lit(True).alias("open"))), []
+    by_u = Window.partitionBy("u")
+    while (n := left.count()) > few:
+        bounds = materialise(left.where("open").groupBy(F.col("v").alias("id")).agg(F.min("at_u").alias("bound")))  # its own place counts, too
+        of = lambda end, bounds=bounds: bounds.select(F.col("id").alias(end), F.col("bound").alias(f"bound_{end}"))
+        free = lambda end: F.coalesce(F.least(f"bound_{end}", f"at_{end}"), F.col(f"at_{end}")) >= F.col("at_u")
+        picks = left.where("top").join(of("u"), "u", "left").join(of("v"), "v", "left").where(free("u") & free("v"))
+        pairs = materialise(picks.select("u", "v"))
+        found.append(pairs)
         taken = pairs.select(F.explode(F.array("u", "v")).alias("x"))
-        rest = left.join(taken.withColumnRenamed("x", "u"), "u", "left_anti").join(taken.withColumnRenamed("x", "v"), "v", "left_anti")
-        both = pairs.select("u", "v", *[F.lit(None).alias(c) for c in columns[2:]], F.lit(True).alias("matched"))
-        both = materialise(both.unionByName(rest.select(*columns, F.lit(False).alias("matched"))))
-        found.append(both.where("matched").select("u", "v"))
-        left = both.where("not matched").select(*columns)
+        rest = left.join(taken.withColumnRenamed("x", "v"), "v", "left_anti").join(of("v"), "v", "left").join(taken.withColumnRenamed("x", "u"), "u", "left_anti")
+        last = F.min(F.when(free("v"), F.col("rank"))).over(by_u)  # what comes after it is out of the question
+        rest = rest.select("u", "v", "at_u", "at_v", "rank", (F.col("rank") == F.min("rank").over(by_u)).alias("top"), F.coalesce(F.col("rank") <= last, F.lit(True)).alias("open"))
+        before, left = left, materialise(rest)
+        discard(before, bounds)
+    if n:
+        found.append(materialise(_greedy(left, "at_u", "rank")))
+    discard(left, places)
     return _mates(nodes, found)
 
 

@@ -135,6 +135,27 @@ def one_visit_after_another(pairs, weight, order, cap):
     return mate
 
 
+def test_rounds_of_matching_are_few_and_match_one_task(spark):
+    """Rounds alone, rounds ended by one task, and one task alone match alike; a sorted order takes few rounds."""
+    rng = random.Random(3)
+    pairs = {tuple(sorted(rng.sample(range(200), 2))): float(rng.randint(1, 5)) for _ in range(2000)}
+    edges = materialise(spark.createDataFrame([(u, v, w) for (u, v), w in pairs.items()], "u long, v long, w double"))
+    nodes = materialise(spark.range(203).selectExpr("id", "1.0D + id % 3 AS c"))
+    order = [r["id"] for r in graph.visit_order(edges, nodes, "sorted").orderBy("place").collect()]
+    want = one_visit_after_another(pairs, {i: 1.0 + i % 3 for i in range(203)}, order, None)
+    rounds = []
+    for few in (0, 1000, 1 << 18):
+        made, one = [], graph.materialise
+        graph.materialise = lambda x: made.append(1) or one(x)  # noqa: B023
+        try:
+            assert dict(rows(graph.visit_matching(edges, nodes, "sorted", few=few))) == want
+        finally:
+            graph.materialise = one
+        rounds.append(len(made))
+    assert rounds[2] < rounds[1] < rounds[0] <= 45  # tables written
+    assert len({tuple(rows(graph.matching(edges, nodes, cap=5.0, few=few))) for few in (0, 1000, 1 << 18)}) == 1
+
+
 @pytest.mark.parametrize(("strategy", "cap"), [("sorted", None), ("random", None), ("random", 5.0)])
 def test_matching_in_visit_order(spark, strategy, cap):
     rng = random.Random(11)
