@@ -86,6 +86,30 @@ def test_fiedler_against_a_dense_solver(spark):
         assert abs(own @ want) / np.linalg.norm(own) / np.linalg.norm(want) == pytest.approx(1, abs=1e-6)
 
 
+def test_fiedler_in_tasks_and_in_joins(spark):
+    """Components in one task each and in joins give the same numbers; few edges cost no job a round, and rounds are few."""
+    rng = random.Random(8)
+    pairs = {tuple(sorted((c * 100 + a, c * 100 + b))): float(rng.randint(1, 9)) for c in range(2) for a, b in (rng.sample(range(60), 2) for _ in range(150))}
+    pairs |= {(c * 100 + i, c * 100 + i + 1): 1.0 for c in range(2) for i in range(59)}
+    edges = materialise(spark.createDataFrame([(u, v, w) for (u, v), w in pairs.items()], "u long, v long, w double"))
+    nodes = materialise(spark.sql("SELECT explode(sequence(0L, 159L)) AS id").where("id % 100 < 60"))
+    comps = materialise(components.graph_components(edges, nodes))
+    got, jobs = {}, {}
+    for few in (0, 1 << 18):
+        made, one = [], spectral.materialise
+        spectral.materialise = lambda x: made.append(1) or one(x)  # noqa: B023
+        try:
+            y, told = spectral.fiedler(edges, comps, rounds=40, residual=1e-6, few=few)
+        finally:
+            spectral.materialise = one
+        got[few], jobs[few] = {r["id"]: r["y"] for r in y.collect()}, len(made)
+        assert len(got[few]) == 120 and told.count() == 2 and told.where("residual > 1e-6").isEmpty()
+    assert jobs[1 << 18] <= 6 < jobs[0] <= 6 + 3 * 12  # tables written: three a round in joins
+    for c in (0, 1):
+        a, b = (np.array([got[few][c * 100 + i] for i in range(60)]) for few in got)
+        assert abs(a @ b) / np.linalg.norm(a) / np.linalg.norm(b) == pytest.approx(1, abs=1e-6)
+
+
 def test_spectral_cuts_no_worse_than_levels(spark):
     pairs = materialise(lattice.couplings(spark, 12, 4, 3))
     k = materialise(lattice.matrix(pairs, 1, "k"))
