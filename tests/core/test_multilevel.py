@@ -110,6 +110,21 @@ def test_fiedler_in_tasks_and_in_joins(spark):
         assert abs(a @ b) / np.linalg.norm(a) / np.linalg.norm(b) == pytest.approx(1, abs=1e-6)
 
 
+def test_searches_in_tasks_and_in_joins(spark):
+    """Levels from the rim are the same by joins, by tasks and by both; nodes without an edge are levels of their own."""
+    rng = random.Random(4)
+    pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(60)} | {(50 + i, 51 + i) for i in range(20)}
+    edges = materialise(spark.createDataFrame([(u, v, 1.0) for u, v in pairs], "u long, v long, w double"))
+    nodes = spark.range(80).selectExpr("id", "1.0D AS c")
+    blocks = nodes.selectExpr("id", "CASE WHEN id < 40 THEN id % 2 ELSE 0 END AS p")
+    jobs, got = {}, {}
+    for few in (0, 15, 1 << 18):
+        found, jobs[few] = _jobs(spark, lambda few=few: rows(kway._rim(edges, nodes, blocks, 1, few)))
+        got[few] = found
+    assert got[0] == got[15] == got[1 << 18] and len(got[0]) == 80
+    assert jobs[1 << 18] < jobs[0]
+
+
 def test_spectral_cuts_no_worse_than_levels(spark):
     pairs = materialise(lattice.couplings(spark, 12, 4, 3))
     k = materialise(lattice.matrix(pairs, 1, "k"))
