@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphband.operators import documents, results
 from graphband.plans import study
 from graphband.sources import artifacts
+from graphband.sources import study as figures
 from graphband.streaming import logs
 
 
@@ -182,3 +183,15 @@ def test_curves_of_shown_runs_alone(spark):
     assert sorted(tuple(r) for r in curves.collect()) == [("g", "K", "small", 0.0, 0.0, 0.0, 0.0), ("g", "K", "small", 0.1, 1.25, 1.5, 3.5)]
     for frame in (out, curves):
         assert "LeftSemi" in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_and_documents_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """However small their files are: a task has a bounded number of lines to sum up and of documents to parse."""
+    spark.sql("SELECT id AS l_orderkey, 'O' AS l_linestatus, 1.0D AS l_quantity, 0.01D AS l_tax FROM range(90)").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(figures, "LINES", 10)
+    assert figures.metrics(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count() > 5
+    made, one = [], documents.materialise
+    monkeypatch.setattr(documents, "DOCS", 10)
+    monkeypatch.setattr(documents, "materialise", lambda x: made.append(x.select(F.spark_partition_id().alias("p")).distinct().count()) or one(x))
+    docs = spark.range(90).coalesce(1).select(F.col("id").alias("doc"), F.lit('{"a":1}').alias("json"))
+    assert documents.leaves(docs).count() == 90 and made[0] > 5
