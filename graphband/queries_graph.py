@@ -74,9 +74,9 @@ def fiedler_residuals(s, d):
 def bisection_cuts(s, d):
     """(strategy, parts, cut, heaviest) of every partitioner on the derived graph, in four."""
     e, n = _graph(s, d)
-    rows = []
+    comps, rows = materialise(components.graph_components(e, n)), []
     for name in sorted(kway.PARTITIONERS):
-        part = materialise(kway.partition(name, e, n, 4, 0.1))
+        part = materialise(kway.partition(name, e, n, 4, 0.1, comps=comps))
         weight = partition.part_weights(n, part, 4).agg(F.max("weight").alias("heaviest"))
         one = partition.edge_cut(e, part).join(weight).join(part.agg(F.count_distinct("p").alias("parts")))  # one row each
         rows.append(one.select(F.lit(name).alias("strategy"), "parts", "cut", "heaviest"))

@@ -447,3 +447,49 @@ def test_a_refinement_pass_writes_two_tables(spark, monkeypatch):
     part = nodes.selectExpr("id", "CASE WHEN id < 2 THEN 0L ELSE 1L END AS p")
     after = partition.refine(edges, nodes, part, 2, 0.5, passes=1)
     assert len(written) == 2 and {r["id"] for r in after.where("p = 0").collect()} == {0, 1, 2}
+
+
+def test_components_in_a_task_and_in_rounds(spark):
+    """One task joins few edges to what the rounds give, in fewer jobs; loops, null ends and repeated edges count for nothing."""
+    rng = random.Random(6)
+    pairs = [tuple(rng.sample(range(300), 2)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(60)] + [(500, 500), (501, None)]
+    edges = materialise(spark.createDataFrame([*pairs, pairs[0]], "u long, v long"))
+    got, jobs = {}, {}
+    for few in (0, 40, 1 << 22):
+        found, jobs[few] = _jobs(spark, lambda few=few: rows(components.components(edges, few)))
+        got[few] = found
+    assert got[0] == got[40] == got[1 << 22] and jobs[1 << 22] < jobs[40] < jobs[0]
+    assert dict(got[0])[460] == 400 and 500 not in dict(got[0])
+
+
+def test_uncut_components_are_searched_once(spark, monkeypatch):
+    """Four components in four parts: no split cuts one, so that they are looked for once for all depths; where one is cut, blocks are as from a search of all."""
+    found = []
+    monkeypatch.setattr(kway, "graph_components", lambda e, n: found.append(n.count()) or components.graph_components(e, n))
+    edges = materialise(spark.createDataFrame([(c * 10 + i, c * 10 + i + 1, 1.0) for c in range(4) for i in range(9)], "u long, v long, w double"))
+    nodes = materialise(spark.range(40).selectExpr("id", "1.0D AS c"))
+    part = dict(rows(kway.partition("recursive", edges, nodes, 4)))
+    assert found == [40] and all(len({part[c * 10 + i] for i in range(10)}) == 1 for c in range(4)) and len(set(part.values())) == 4
+    found.clear()
+    one = rows(kway.by_depth(edges, nodes, 8, orders=kway.level_order))
+    assert found == [40]
+    searched = lambda e, n, b, seed: kway.level_order(e, n.select("id", "c"), b, seed)
+    pairs = materialise(lattice.couplings(spark, 8, 3, 2))
+    m = materialise(lattice.matrix(pairs, 1, "k"))
+    edges = materialise(graph.matrix_to_graph(m, 1))
+    assert len(one) == 40 and rows(kway.by_depth(edges, nodes, 6)) == rows(kway.by_depth(edges, nodes, 6, orders=searched))
+
+
+def test_long_searches_make_steps_alone_where_many_are_reached(spark, monkeypatch):
+    monkeypatch.setattr(components, "MANY", 3)
+    pairs = [(i, j) for i in range(60) for j in range(i + 1, min(60, i + 4))]
+    edges = spark.createDataFrame([(u, v, 1.0) for u, v in pairs], "u long, v long, w double")
+    assert dict(rows(components.levels(edges, spark.createDataFrame([(0,)], "id long")))) == {i: -(-i // 3) for i in range(60)}
+
+
+def test_searches_send_their_code_to_executors(spark, triangles):
+    from graphband import session
+
+    if hasattr(spark.sparkContext, session._SHIPPED):
+        delattr(spark.sparkContext, session._SHIPPED)
+    assert len(rows(kway.partition("levels", *triangles, 2))) == 6 and getattr(spark.sparkContext, session._SHIPPED)
