@@ -493,3 +493,11 @@ def test_searches_send_their_code_to_executors(spark, triangles):
     if hasattr(spark.sparkContext, session._SHIPPED):
         delattr(spark.sparkContext, session._SHIPPED)
     assert len(rows(kway.partition("levels", *triangles, 2))) == 6 and getattr(spark.sparkContext, session._SHIPPED)
+
+
+def test_scores_are_those_of_every_partitioner(spark, monkeypatch):
+    from graphband import queries_multilevel
+
+    monkeypatch.setattr(kway, "partition", lambda name, e, n, *_, **__: n.selectExpr("id", "id % 4 AS p"))
+    found = queries_multilevel.partitioner_scores(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["strategy"] for r in found) == sorted(kway.PARTITIONERS) and {r["parts"] for r in found} == {4}
