@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,10 +127,14 @@ def connectivity(edges: DataFrame, part: DataFrame) -> DataFrame:
     return with_parts(symmetric(edges), part).groupBy(F.col("u").alias("id"), F.col("pv").alias("p")).agg(F.sum("w").alias("w"))
 
 
+def _limits(nodes: DataFrame, part: DataFrame, k: int, tolerance: float) -> dict[str, list[float]]:
+    rows = {r["p"]: r for r in bounds(part_weights(nodes, part, k), k, tolerance).collect()}
+    return {c: [rows[p][c] for p in range(k)] for c in ("weight", "lower", "upper")}
+
+
 def limits(nodes: DataFrame, part: DataFrame, k: int, tolerance: float) -> dict[str, Column]:
     """What parts weigh and may weigh, as arrays of k numbers for expressions: tables of k rows cost a job for each join."""
-    rows = {r["p"]: r for r in bounds(part_weights(nodes, part, k), k, tolerance).collect()}
-    return {c: F.array(*[F.lit(rows[p][c]) for p in range(k)]) for c in ("weight", "lower", "upper")}
+    return {c: F.array(*map(F.lit, x)) for c, x in _limits(nodes, part, k, tolerance).items()}
 
 
 def move_scores(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, objective: str = "cut", balance: float = 0.0, only: DataFrame | None = None) -> DataFrame:
@@ -321,22 +328,136 @@ def moved(part: DataFrame, moves: DataFrame) -> DataFrame:
     return part.join(moves.select("id", "target"), "id", "left").select("id", F.coalesce("target", "p").cast("long").alias("p"))
 
 
-def refine(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, passes: int = 10, objective: str = "cut", balance: float = 0.0, most: int | None = None, clashes: bool = False) -> DataFrame:
+REFINED = 1 << 22  # edges that one task may refine
+LAYERS = 8  # passes that surroundings of the boundary serve
+
+
+def _surroundings(edges: DataFrame, part: DataFrame, passes: int, few: int) -> tuple[DataFrame | None, int]:
+    """The edges that up to ``passes`` passes look at, and how many passes these serve; none where more than ``few`` touch the boundary.
+
+    A node can move in a pass only if it has a neighbour in another part, so the
+    first pass moves nodes of the boundary, each further one nodes one step
+    further away at most.
+    """
+    near, served = None, 0
+    reach = boundary(edges, part)
+    while served < passes:
+        reach = materialise(reach)
+        if reach.count() > few:
+            break
+        u, v = (reach.select(F.col("id").alias(end), F.lit(True).alias(f"near_{end}")) for end in ("u", "v"))
+        found = materialise(edges.join(u, "u", "left").join(v, "v", "left").where("near_u OR near_v").select("u", "v", "w"))
+        if found.count() > few:
+            break
+        near, served = found, served + 1
+        reach = found.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    return near, served
+
+
+def _passes(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, passes: int, most: int | None, clashes: bool) -> DataFrame:
+    """(id, target) of nodes that passes of ``refine`` move along few edges, by one task; the row without an id tells how many passes moved any.
+
+    A pass is that of ``admitted_moves``: connections are summed anew for the
+    neighbours of what has moved alone.
+    """
+    told = _limits(nodes, part, k, tolerance)
+    ends = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    weights = nodes.select("id", guards.node_weight(F.col("c")).alias("w"), guards.balance_weight(F.col("c")).alias("weight"))
+    own = part.join(ends, "id", "left_semi").join(weights, "id", "left")
+    inside = F.when(F.col("p").between(0, k - 1), F.col("p")).otherwise(k).cast("long")
+    rows = own.select(F.col("id").alias("u"), inside.alias("v"), "w", "weight", F.lit(True).alias("node"))
+    rows = rows.unionAll(edges.select("u", "v", "w", F.lit(0.0).alias("weight"), F.lit(False).alias("node")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [[x.to_numpy() for x in (*(b.loc[b["node"], c] for c in ("u", "v", "w", "weight")), *(b.loc[~b["node"], c] for c in ("u", "v", "w")))] for b in batches]
+        if not found:
+            return
+        ids, p, c, weighs, a, b, w = map(np.concatenate, zip(*found, strict=True))
+        del found
+        order = np.argsort(ids)
+        ids, p, c, weighs = ids[order], p[order], c[order], weighs[order]
+        n, known = len(ids), np.isin(a, ids) & np.isin(b, ids)
+        a, b, w = np.searchsorted(ids, a[known]), np.searchsorted(ids, b[known]), np.concatenate([w[known]] * 2)
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.argsort(a * n + b)  # sums are the same whatever the partitions
+        a, b, w = a[order], b[order], w[order]
+        weight, lower, upper = (np.array(told[x]) for x in ("weight", "lower", "upper"))
+        start, at, movable = p.copy(), np.arange(n), (p < k) & ~np.isnan(c)
+        conn, met = np.zeros((n, k + 1)), np.zeros((n, k + 1), bool)
+        look, some = np.ones(n, bool), 0
+        while some < passes:
+            i, rank = np.flatnonzero(look[a]), np.cumsum(look) - 1
+            to, size = rank[a[i]] * (k + 1) + p[b[i]], int(look.sum()) * (k + 1)
+            conn[look] = np.bincount(to, w[i], size).reshape(-1, k + 1)
+            met[look] = np.bincount(to, minlength=size).reshape(-1, k + 1) > 0
+            gain = conn[:, :k] - conn[at, p][:, None]
+            q = np.minimum(p, k - 1)
+            ok = met[:, :k] & (gain > 0) & (movable & (weight[q] - c >= lower[q]))[:, None] & (weight + c[:, None] <= upper)
+            ok[at, q] = False
+            gain[~ok] = -np.inf
+            target = np.argmax(gain, axis=1)  # the smaller part on ties
+            best, moves = gain[at, target], ok.any(axis=1)
+            i = np.flatnonzero(moves[a] & moves[b])
+            x, y = a[i], b[i]
+            beaten = (best[y] > best[x]) | ((best[y] == best[x]) & (y > x))
+            if clashes:
+                beaten &= (target[x] == p[y]) | (target[y] == p[x])
+            moves[x[beaten]] = False
+            m = np.flatnonzero(moves)
+            m = m[np.lexsort((m, -best[m]))]
+            leaves, enters = np.zeros(len(m)), np.zeros(len(m))
+            for part_ in range(k):
+                for ends_, sums in ((p[m] == part_, leaves), (target[m] == part_, enters)):
+                    sums[ends_] = np.cumsum(c[m[ends_]])
+            m = m[(leaves <= (weight - lower)[p[m]]) & (enters <= (upper - weight)[target[m]])][:most]
+            if not len(m):
+                break
+            np.subtract.at(weight, p[m], weighs[m])
+            np.add.at(weight, target[m], weighs[m])
+            p[m] = target[m]
+            went = np.zeros(n, bool)
+            went[m] = True
+            look = np.zeros(n, bool)
+            look[b[went[a]]] = True
+            some += 1
+        i = np.flatnonzero(p != start)
+        yield pd.DataFrame({"id": pd.array(ids[i], "Int64"), "target": p[i]})
+        yield pd.DataFrame({"id": pd.array([None], "Int64"), "target": [some]})
+
+    return rows.repartition(1).mapInPandas(run, "id long, target long")
+
+
+def refine(edges: DataFrame, nodes: DataFrame, part: DataFrame, k: int, tolerance: float, passes: int = 10, objective: str = "cut", balance: float = 0.0, most: int | None = None, clashes: bool = False, few: int = REFINED) -> DataFrame:
     """The partition after passes of admitted moves, until there is none; the cut never grows under ``cut`` and bounds hold once they do.
 
     One part or none is one part of all.  ``clashes`` is that of ``independent``:
-    more moves in a pass, and fewer passes.
+    more moves in a pass, and fewer passes.  Under ``cut`` one task goes through
+    the passes of a graph of ``few`` edges at most, or through some passes at
+    the boundary where no more edges are near it; other passes are joins.
     """
     if k <= 1:
         return nodes.select("id", F.lit(0).cast("long").alias("p"))
-    edges = edges.select("u", "v", guards.edge_weight(F.col("w")).alias("w"))
-    for _ in range(passes):
-        moves = admitted_moves(edges, nodes, part, k, tolerance, objective, balance, most, clashes=clashes).select("id", "target")
+    edges, done, tried = edges.select("u", "v", guards.edge_weight(F.col("w")).alias("w")), 0, 0
+    whole = objective == "cut" and edges.count() <= few
+    while done < passes:
+        near, served = edges, passes
+        if not whole:
+            near, served = None, 0
+            if objective == "cut" and few and done >= tried:
+                near, served = _surroundings(edges, part, min(passes - done, LAYERS), few)
+                tried = done + 5  # where too much is near the boundary, it is looked at again after some passes
+        if served:
+            tried = 0
+            moves = materialise(_passes(near, nodes, part, k, tolerance, served, most, clashes))
+        else:
+            moves = admitted_moves(edges, nodes, part, k, tolerance, objective, balance, most, clashes=clashes).select("id", "target")
         after = part.select("id", "p").join(moves, "id", "left")
         after = materialise(after.select("id", F.coalesce("target", "p").cast("long").alias("p"), F.col("target").isNotNull().alias("moved")))  # moves and their outcome in one job
         if after.where("moved").isEmpty():
             break
-        part = after.select("id", "p")
+        part, done = after.select("id", "p"), done + max(served, 1)
+        if served and moves.where("id IS NULL").first()["target"] < served:
+            break
     return part
 
 

@@ -501,3 +501,24 @@ def test_scores_are_those_of_every_partitioner(spark, monkeypatch):
     monkeypatch.setattr(kway, "partition", lambda name, e, n, *_, **__: n.selectExpr("id", "id % 4 AS p"))
     found = queries_multilevel.partitioner_scores(spark, "/root/testdata/sf0.001").collect()
     assert sorted(r["strategy"] for r in found) == sorted(kway.PARTITIONERS) and {r["parts"] for r in found} == {4}
+
+
+@pytest.mark.parametrize("clashes", [True, False])
+def test_refinement_in_a_task_near_the_boundary_and_in_joins(spark, monkeypatch, clashes):
+    """The same moves pass after pass, with weights that are none, an end without a node and a part out of range; one task writes two tables for all passes."""
+    rng = random.Random(1)
+    drawn = [(rng.randrange(160), rng.choice([1, 2, 3, 5])) for _ in range(700)]
+    pairs = sorted({(a, a + step) for a, step in drawn})
+    edges = materialise(spark.createDataFrame([(u, v, float(rng.randint(-1, 9))) for u, v in pairs], "u long, v long, w double"))
+    nodes = materialise(spark.createDataFrame([(i, None if i == 7 else float(rng.randint(1, 4))) for i in range(160) if i != 9], "id long, c double"))
+    part = materialise(spark.range(160).selectExpr("id", "CASE WHEN id = 11 THEN 99L ELSE id * 4 div 160 END AS p"))
+    written = []
+    monkeypatch.setattr(partition, "materialise", lambda df: written.append(1) or materialise(df))
+    got, tables = {}, {}
+    for few in (0, 250, 1 << 22):
+        written.clear()
+        got[few] = rows(partition.refine(edges, nodes, part, 4, 0.25, 5, clashes=clashes, few=few))
+        tables[few] = len(written)
+    assert got[0] == got[250] == got[1 << 22] != rows(part) and tables[1 << 22] == 2 < tables[0]
+    near, served = partition._surroundings(edges, part, 5, 250)
+    assert 0 < served <= 5 and near.count() <= 250 < edges.count()
