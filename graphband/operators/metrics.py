@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphband.functions.bands import band_label, band_width, percents
+from graphband.session import materialise
 
 
 def shape(entries: DataFrame, n: int) -> DataFrame:
@@ -22,16 +23,25 @@ def fixed_band(entries: DataFrame, width: int = 200) -> DataFrame:
     return entries.agg(inside.alias("within"), F.when(n > 0, F.round(inside.cast("double") / n, 9)).otherwise(1.0).alias("fraction"))
 
 
+def by_distance(entries: DataFrame) -> DataFrame:
+    """(d, k): how many entries stand at each distance."""
+    return entries.groupBy(F.abs(F.col("i") - F.col("j")).alias("d")).agg(F.count(F.lit(1)).alias("k"))
+
+
 def band_curve(entries: DataFrame, n: int) -> DataFrame:
     """(percent, width, within, fraction) at 100 widths.
 
     Entries are first counted by distance, then by the least width that holds
     them, so that only a hundred rows are summed up in order.
     """
-    points = entries.sparkSession.range(100).select((F.col("id") * 5).alias("hundredths"), band_width(percents("id"), n).alias("width"))
+    return _curve(by_distance(entries), n)
+
+
+def _curve(far: DataFrame, n: int) -> DataFrame:
+    """``band_curve`` of the entries counted in (d, k)."""
+    points = far.sparkSession.range(100).select((F.col("id") * 5).alias("hundredths"), band_width(percents("id"), n).alias("width"))
     widths = F.array_sort(F.array_distinct(F.collect_list("width")))
     all_widths = points.agg(widths.alias("widths"))
-    far = entries.groupBy(F.abs(F.col("i") - F.col("j")).alias("d")).agg(F.count(F.lit(1)).alias("k"))
     first = F.array_min(F.filter("widths", lambda w: w >= F.col("d")))
     held = far.join(F.broadcast(all_widths)).groupBy(first.alias("width")).agg(F.sum("k").alias("k"))  # one row of at most 100 numbers
     total = far.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("nnz"))
@@ -60,9 +70,12 @@ def permutation_check(entries: DataFrame, permuted: DataFrame, order: DataFrame,
     """
     i = (F.col("id") * 7919 + seed * 31 + F.expr("id div 7")) % n
     j = (F.col("id") * 104_729 + seed * 17 + F.expr("id * id") % 1009) % n
-    at = entries.sparkSession.range(samples).select("id", i.alias("i"), j.alias("j"))
-    at = at.join(order.select(F.col("old").alias("i"), F.col("new").alias("ni")), "i").join(order.select(F.col("old").alias("j"), F.col("new").alias("nj")), "j")
-    at = at.join(entries, ["i", "j"], "left").join(permuted.select(F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("v").alias("pv")), ["ni", "nj"], "left")
+    drawn = entries.sparkSession.range(samples).select("id", i.alias("i"), j.alias("j"))
+    at = drawn.join(order.select(F.col("old").alias("i"), F.col("new").alias("ni")), "i").join(order.select(F.col("old").alias("j"), F.col("new").alias("nj")), "j")
+    # The matrices stay where they are: the positions, few in number, go to them.
+    there = permuted.select(F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("v").alias("pv"))
+    here, there = entries.join(F.broadcast(drawn), ["i", "j"], "left_semi"), there.join(F.broadcast(at), ["ni", "nj"], "left_semi")
+    at = at.join(here, ["i", "j"], "left").join(there, ["ni", "nj"], "left")
     v = F.coalesce("v", F.lit(0.0))
     err = F.abs(v - F.coalesce("pv", F.lit(0.0)))
     bad = err > tolerance
@@ -70,11 +83,19 @@ def permutation_check(entries: DataFrame, permuted: DataFrame, order: DataFrame,
 
 
 def long_figures(entries: DataFrame, n: int) -> DataFrame:
-    """(metric, value): n, nnz, bandwidth, average, the 200-wide band, and the shares of 100 widths by their labels."""
-    one = shape(entries, n).join(fixed_band(entries).select(F.col("within").alias("count_within_200"), F.col("fraction").alias("frac_within_200")))  # one row each
+    """(metric, value): n, nnz, bandwidth, average, the 200-wide band, and the shares of 100 widths by their labels; as ``shape``, ``fixed_band`` and ``band_curve`` have them.
+
+    Entries are counted by distance once for all figures.
+    """
+    far = materialise(by_distance(entries))
+    nnz, d = F.coalesce(F.sum("k"), F.lit(0)), F.col("d")
+    inside = F.coalesce(F.sum(F.when(d <= 200, F.col("k"))), F.lit(0))
+    avg = F.coalesce(F.sum(d * F.col("k")).cast("double") / F.sum("k"), F.lit(0.0))
+    share = F.when(nnz > 0, F.round(inside.cast("double") / nnz, 9)).otherwise(1.0)
+    one = far.agg(F.lit(n).cast("long").alias("n"), nnz.alias("nnz"), F.coalesce(F.max("d"), F.lit(0)).alias("bandwidth"), F.round(avg, 6).alias("avg_bandwidth"), inside.alias("count_within_200"), share.alias("frac_within_200"))
     rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in one.columns])
     label = F.concat(F.lit("frac_within_"), band_label(F.col("hundredths") / F.lit(100.0)))
-    return one.select(F.inline(rows)).unionAll(band_curve(entries, n).select(label, "fraction"))
+    return one.select(F.inline(rows)).unionAll(_curve(far, n).select(label, "fraction"))
 
 
 #: Sampled positions of the permutation check, by matrix.

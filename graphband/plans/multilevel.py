@@ -73,7 +73,8 @@ def uncoarsen(run: graph.Chain, part: DataFrame, s: Settings, k: int) -> DataFra
 def run(matrices: dict[str, DataFrame], n: int, s: Settings) -> Run:
     """``matrices`` by name, of n rows each; the graph is that of "K", and all are reordered by its parts."""
     check_shapes(n, [], s.dof)
-    stiff = materialise(matrices["K"])
+    matrices = {name: materialise(m) for name, m in matrices.items()}
+    stiff = matrices["K"]
     edges, nodes = materialise(graph.matrix_to_graph(stiff, s.dof)), materialise(graph.node_weights(stiff, n, s.dof))
     cap = s.cap
     if cap is None and s.k > 1:
@@ -88,8 +89,8 @@ def run(matrices: dict[str, DataFrame], n: int, s: Settings) -> Run:
     if not problems.isEmpty():
         raise ValueError(f"the partition does not match the nodes: {[tuple(r) for r in problems.orderBy('id').limit(10).collect()]}")
     order = materialise(partition.expand(partition.node_order(part), s.dof))
-    done = Run(s, n, chain, coarse, part, order, {name: materialise(partition.permute(stiff if name == "K" else m, order)) for name, m in matrices.items()})
-    done.figures = materialise(metrics.bundle({name: (stiff if name == "K" else m, done.permuted[name]) for name, m in matrices.items()}, order, n, s.seed))
+    done = Run(s, n, chain, coarse, part, order, {name: materialise(partition.permute(m, order)) for name, m in matrices.items()})
+    done.figures = materialise(metrics.bundle({name: (m, done.permuted[name]) for name, m in matrices.items()}, order, n, s.seed))
     return done
 
 

@@ -522,3 +522,19 @@ def test_refinement_in_a_task_near_the_boundary_and_in_joins(spark, monkeypatch,
     assert got[0] == got[250] == got[1 << 22] != rows(part) and tables[1 << 22] == 2 < tables[0]
     near, served = partition._surroundings(edges, part, 5, 250)
     assert 0 < served <= 5 and near.count() <= 250 < edges.count()
+
+
+def test_figures_count_entries_once_and_matrices_stay(spark, monkeypatch):
+    """All figures come from one count by distance, as the single ones have them; a check moves its positions, not the matrices."""
+    k = materialise(spark.createDataFrame([(i, j, float(i + j)) for i in range(40) for j in range(40) if (i * j) % 3 == 0], "i long, j long, v double"))
+    one, band, counted = metrics.shape(k, 40).first(), metrics.fixed_band(k).first(), []
+    monkeypatch.setattr(metrics, "by_distance", lambda x, f=metrics.by_distance: counted.append(1) or f(x))
+    found = metrics.long_figures(k, 40)
+    got = {r["metric"]: r["value"] for r in found.collect()}
+    assert counted == [1] and [got[x] for x in ("n", "nnz", "bandwidth", "avg_bandwidth")] == list(one) and (got["count_within_200"], got["frac_within_200"]) == tuple(band)
+    assert sorted(v for m, v in got.items() if m.endswith("%")) == sorted(r["fraction"] for r in metrics.band_curve(k, 40).collect())
+    assert metrics.long_figures(k.where("false"), 40).where("metric IN ('avg_bandwidth', 'nnz')").agg({"value": "sum"}).first()[0] == 0
+    order = materialise(spark.range(40).selectExpr("id AS old", "39 - id AS new"))
+    check = metrics.permutation_check(k, partition.permute(k, order), order, 40, 500)
+    assert check._jdf.queryExecution().executedPlan().toString().count("LeftSemi, BuildRight") >= 2
+    assert check.first()["mismatches"] == 0 and metrics.permutation_check(k, k, order, 40, 500).first()["mismatches"] > 0
